@@ -15,12 +15,29 @@ def op1_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandset.llm.decontaminate import contamination, judged
+
+    found = judged(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandset.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strandset.llm.repeats import without_repeats
+
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_units", "n_removed", removed.alias("chars_removed"), "text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandset.llm.token_counts import token_counts
 
@@ -28,8 +45,43 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_planes, op7_pack, op9_token_counts)}
+    return {f.__name__: f for f in (op1_id_planes, op5_decontaminate, op7_pack, op8_repeats, op9_token_counts)}
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Windows of up to 13 item words, found at every position of every document.
+OP5 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS g
+       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, i, dw.n FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+nh AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+#: Units, their first occurrences, and runs of later ones with 20 words or more.
+OP8 = rf"""
+WITH u AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS piece
+           FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\x09-\x0D ]*|[.!?\x09-\x0D ]+') AS p FROM documents)),
+w AS (SELECT *, trim(regexp_replace({LOWER.format("piece")}, '[\x09-\x0D ]+', ' ', 'g')) AS norm FROM u),
+m AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n,
+             norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS later FROM w),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, later ORDER BY pos) AS run FROM m),
+x AS (SELECT *, later AND sum(n) OVER (PARTITION BY doc_id, later, run) >= 20 AS gone FROM r),
+g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(piece)) FILTER (gone), 0) AS chars_removed,
+             coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT gone), '') AS text FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(chars_removed, 0) AS BIGINT) AS chars_removed,
+       coalesce(g.text, d.text) AS text FROM documents d LEFT JOIN g USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": OP5, "op8_repeats": OP8}
