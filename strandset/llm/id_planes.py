@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandset.llm.common import Scratch, binary
-from strandset.llm.tokens import encoder, slices, tokenizer_path
+from strandset.llm.common import Scratch
+from strandset.llm.tokens import encoder, text_slices, tokenizer_path
 
 MAGIC = b"IDPL1\0\0\0"
 BLOCK = 1 << 16
@@ -115,13 +115,14 @@ def write_ids(
 
         for batch in batches:
             id_type = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), binary(batch.column(1))
-            for a, b in slices([len(t) for t in texts]):
-                for key, parts in zip(keys[a:b], own.values(texts[a:b])):
-                    parts.append(last)
-                    d = b"".join(parts)
-                    ids.append(key), lengths.append(len(d) // 4), data.append(d)
-                    held += len(d) // 4
+            keys = batch.column(0).to_pylist()
+            for row, part in text_slices(batch.column(1)):
+                flat, ends = own.ids(part)
+                flat, ends = memoryview(flat).cast("B"), ends.tolist()
+                for key, start, stop in zip(keys[row:], ends, ends[1:]):
+                    n = stop - start + 1
+                    ids.append(key), lengths.append(n), data.extend((flat[4 * start : 4 * stop], last))
+                    held += n
                     if held >= CHUNK:
                         yield flush()
         if ids:

@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandset.llm.common import binary
-from strandset.llm.tokens import encoder, slices, tokenizer_path
+from strandset.llm.tokens import encoder, text_slices, tokenizer_path
 
 GROUP = 1 << 22  # ids, 1,024 windows of 4,096
 
@@ -145,11 +144,13 @@ def pack(
 
         for batch in batches:
             id_type = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), binary(batch.column(1))
-            for a, b in slices([len(t) for t in texts]):
+            keys = batch.column(0).to_pylist()
+            for row, part in text_slices(batch.column(1)):
                 out = []
-                for doc, parts in zip(keys[a:b], own.values(texts[a:b])):
-                    data = b"".join(parts) + last
+                flat, ends = own.ids(part)
+                flat, ends = memoryview(flat).cast("B"), (4 * ends).tolist()
+                for doc, first, stop in zip(keys[row:], ends, ends[1:]):
+                    data = bytes(flat[first:stop]) + last
                     n = len(data) // 4
                     full = n - n % window
                     for start in range(0, full, window):

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandset.llm.common import binary
-from strandset.llm.tokens import LONGEST, encoder, slices, tokenizer_path
+from strandset.llm.common import Scratch, binary
+from strandset.llm.tokens import LONGEST, encoder, slices, text_slices, tokenizer_path
 
 SHARE = 1 << 13
 HELD = 1 << 17  # distinct pieces a task holds while it counts
@@ -56,12 +56,12 @@ def frequent_pieces(docs: DataFrame, text: str) -> DataFrame:
 
 def length_table(docs: DataFrame, text: str, path: str) -> dict[bytes, int]:
     """Lengths in tokens of the frequent pieces; at most SHARE entries by the share each must have."""
-    found = frequent_pieces(docs, text)
+    found = Scratch(docs.sparkSession, "token-counts").keep(frequent_pieces(docs, text), "pieces")
     total = found.where("piece is null").agg(F.sum("n")).first()[0] or 0
     rows = found.where(F.col("piece").isNotNull() & (F.col("n") * SHARE >= total)).select("piece").collect()
     pieces = [bytes(r[0]) for r in rows]
     own = encoder(path, counts=True)
-    return dict(zip(pieces, own._encode(pieces))) if pieces else {}
+    return dict(zip(pieces, own.encode(pieces))) if pieces else {}
 
 
 def token_counts(
@@ -73,16 +73,15 @@ def token_counts(
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         own = encoder(path, counts=True)
         own.fixed = sent.value
         for batch in batches:
-            texts = binary(batch.column(1))
-            n = []
-            for a, b in slices([len(t) for t in texts]):
-                n += map(sum, own.values(texts[a:b]))
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            n = pa.array([x for _, part in text_slices(batch.column(1)) for x in own.lengths(part).tolist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [batch.column(0), sizes, n, pc.greater(n, limit)],
                 [id, "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -1,8 +1,11 @@
-"""Word-cached encoding with the public tokenizer files.
+"""Piece-cached encoding with the public tokenizer files.
 
 The normaliser and pre-tokenizer of ``word_bpe_49k.json`` never join text across white space, so the ids of a text
-are the ids of its white-space-separated pieces one after another. Pieces repeat; each worker keeps a bounded cache of
-them and calls the library only for misses, in batches.
+are the ids of its white-space-separated pieces one after another. A batch of texts is split and numbered by Arrow
+kernels; each worker keeps a bounded cache of distinct pieces and calls the library only for misses.
+
+Misses made of Latin letters and closing marks are encoded many at a time, joined by spaces: every pre-token ends
+in an end-of-word id, which tells the pieces apart again. All other pieces are encoded one by one.
 """
 
 from __future__ import annotations
@@ -10,7 +13,9 @@ from __future__ import annotations
 import os
 
 LONGEST = 64  # bytes of a piece worth keeping
-KEPT = 1 << 18  # pieces in one generation of a cache
+KEPT = 600_000  # pieces in one generation of a cache
+JOINED = 128
+MARKS = "!#$%&()*+,-./:;=?@]_`}~"
 
 _ENCODERS: dict = {}
 
@@ -30,49 +35,106 @@ class PieceCache:
 
     def __init__(self, path: str, counts: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor core runs one task
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # this cache takes its place
+        vocab = self.tokenizer.get_vocab()
+        self.suffix = self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        if self.suffix:
+            self.last[[i for w, i in vocab.items() if w.endswith(self.suffix)]] = True
         self.counts = counts
         self.fixed: dict = {}
         self.young: dict = {}
         self.old: dict = {}
 
-    def _encode(self, pieces: list[bytes]) -> list:
+    def _pre_tokens(self, word: str) -> int:
+        """Pre-tokens of a piece that is letters with marks after them at most; 0 for any other."""
+        letters = word.rstrip(MARKS)
+        if letters.isalpha() and max(letters) < "ɐ" and "İ" not in letters:
+            return 1 + (len(letters) < len(word))
+        return 0
+
+    def encode(self, pieces: list[bytes]) -> list:
+        """The values of some pieces."""
         import numpy as np
 
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        if self.counts:
-            return [len(e) for e in found]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def values(self, texts: list[bytes]) -> list[list]:
-        """For each text the values of its pieces."""
-        words = [t.split() for t in texts]
-        young, long = self.young, {}
-        distinct = set().union(*words) if words else set()
+        words = [p.decode("utf-8", "replace") for p in pieces]
+        sizes = [self._pre_tokens(w) for w in words] if self.suffix else [0] * len(words)
+        out: list = [None] * len(words)
+        plain = [i for i, n in enumerate(sizes) if n]
+        runs = [" ".join([words[i] for i in plain[at : at + JOINED]]) for at in range(0, len(plain), JOINED)]
+        if runs:
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+            ends, upto = np.flatnonzero(self.last[ids]) + 1, np.cumsum([sizes[i] for i in plain])
+            if len(ends) == upto[-1] and ends[-1] == len(ids):
+                stops = ends[upto - 1].tolist()
+                starts = [0, *stops[:-1]]
+                data = ids.tobytes()
+                for i, a, b in zip(plain, starts, stops):
+                    out[i] = b - a if self.counts else data[4 * a : 4 * b]
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = len(e.ids) if self.counts else np.array(e.ids, dtype="<u4").tobytes()
+        return out
+
+    def _values(self, pieces: list[bytes]) -> list:
+        young, fixed, old = self.young, self.fixed, self.old
+        out = list(map(young.get, pieces))
         missing = []
-        for w in distinct:
-            if w in young:
-                continue
-            if (v := self.fixed.get(w)) is None and (v := self.old.get(w)) is None:
-                missing.append(w)
-            else:
-                young[w] = v
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for w, v in zip(part, self._encode(part)):
-                (young if len(w) <= LONGEST else long)[w] = v
-        if long:
-            get = lambda w: young[w] if w in young else long[w]
-        else:
-            get = young.__getitem__
-        out = [list(map(get, ws)) for ws in words]
+        for i, v in enumerate(out):
+            if v is None:
+                w = pieces[i]
+                if (v := fixed.get(w)) is None and (v := old.get(w)) is None:
+                    missing.append(i)
+                else:
+                    out[i] = young[w] = v
+        for at in range(0, len(missing), 1 << 14):
+            part = missing[at : at + (1 << 14)]
+            for i, v in zip(part, self.encode([pieces[i] for i in part])):
+                out[i] = v
+                if len(pieces[i]) <= LONGEST:
+                    young[pieces[i]] = v
         if len(young) > KEPT:
             self.old, self.young = young, {}
         return out
 
+    def _pieces(self, column):
+        """(values of the distinct pieces, number of the piece at each place, places before each text)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, "").cast(pa.large_string()))
+        ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        told = lists.flatten().dictionary_encode()
+        _, offsets, data = told.dictionary.buffers()
+        stops = np.frombuffer(offsets, dtype=np.int64, count=len(told.dictionary) + 1 + told.dictionary.offset)[told.dictionary.offset :].tolist() if len(told.dictionary) else [0]
+        data = data.to_pybytes() if data else b""
+        return self._values([data[a:b] for a, b in zip(stops, stops[1:])]), np.asarray(told.indices), ends
+
+    def ids(self, column):
+        """(all ids of an Arrow text column one after another, ids before each text and their total)."""
+        import numpy as np
+
+        values, at, ends = self._pieces(column)
+        flat = np.frombuffer(b"".join(values), dtype="<u4")
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat(starts[at] - before[:-1], n) + np.arange(before[-1])], before[ends]
+
+    def lengths(self, column):
+        """Number of ids of each text of an Arrow column."""
+        import numpy as np
+
+        values, at, ends = self._pieces(column)
+        before = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[at])])
+        return np.diff(before[ends])
+
 
 def encoder(path: str, counts: bool = False) -> PieceCache:
     """The worker's cache; it outlives a task where Python workers are reused."""
@@ -82,7 +144,7 @@ def encoder(path: str, counts: bool = False) -> PieceCache:
     return _ENCODERS[key]
 
 
-def slices(lengths: list[int], size: int = 4 << 20):
+def slices(lengths: list[int], size: int = 8 << 20):
     """Runs of rows of about ``size`` bytes, so that no batch holds more than that beside one long text."""
     start, total = 0, 0
     for i, n in enumerate(lengths):
@@ -92,3 +154,15 @@ def slices(lengths: list[int], size: int = 4 << 20):
             start, total = i + 1, 0
     if start < len(lengths):
         yield start, len(lengths)
+
+
+def text_slices(column, size: int = 8 << 20):
+    """(first row, slice) of an Arrow text column in runs of about ``size`` bytes.
+
+    Slices are copies: some Arrow kernels misread the offsets of a slice that was cast."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(lengths, size):
+        yield a, column.take(np.arange(a, b))
