@@ -122,3 +122,21 @@ def test_empty_and_null_keys(spark):
     assert sorted(r.n_tokens for r in token_counts(odd).collect()) == [0, 1, 2]
     assert {r.doc_tokens for r in pack(odd).collect()} == {1, 2, 3}
     assert sorted((r.start, r.n_tokens) for r in stored_ids(odd).collect())[-1] == (4, 2)
+
+
+def test_slices_give_what_the_whole_gives(tokenizer):
+    import pyarrow as pa
+
+    from strandset.llm.near_dup import shingle_sets
+    from strandset.llm.tokens import encoder, text_slices
+
+    texts = [" ".join(f"W{i * j % 97}é" for i in range(5 + j)) for j in range(200)] + [None, ""]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    column, own, whole = pa.array(texts), encoder(tokenizer_path("word_bpe_49k.json")), []
+    sets = []
+    for _, part in text_slices(column, 3000):
+        ids, ends = own.ids(part)
+        whole += [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+        sets += [s.tolist() for s in shingle_sets(part)]
+    assert whole == want
+    assert sets == [s.tolist() for s in shingle_sets(column)]
