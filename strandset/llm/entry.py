@@ -50,8 +50,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandset.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_planes, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts)}
+    return {f.__name__: f for f in (op1_id_planes, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts, op10_toxicity)}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
