@@ -170,7 +170,7 @@ def lexicon(counts: DataFrame, toxic: int, clean: int) -> list[str]:
     n, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     other = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0.0)
     seen = seen.where((p > 0.5) & (p > rate)).withColumn("strength", n * (p * F.log(p / rate) + other))
-    strong = seen.where(F.col("strength") >= F.log(F.lit(10.0 * max(1, m)))).orderBy(F.desc("strength"), "what").limit(4 * VOTERS)
+    strong = seen.where(F.col("strength") >= F.log(F.lit(10.0 * max(1, m)))).orderBy(F.desc("strength"), F.desc(F.length(F.regexp_replace("what", r"\*", ""))), F.length("what"), "what").limit(4 * VOTERS)
     return [r[0] for r in strong.select("what").collect()]
 
 

@@ -17,7 +17,7 @@ def test_held_out_accuracy(spark, sf):
 
 
 def test_odd_rows_and_training_part(spark):
-    texts = {i: ("what a vile thing" if i % 3 == 0 else f"some fine words {i % 7}") for i in range(400)}
+    texts = {i: (f"a{i} b{i} vile c{i} d{i}" if i % 3 == 0 else f"some fine a{i} words b{i} here") for i in range(400)}
     docs = spark.createDataFrame([*texts.items(), (None, "vile"), (1000, None), (1001, ""), (1002, "vile " * 50000)], "doc_id long, text string").selectExpr("*", "1 AS label")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)] + [(7, None), (None, 1)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity(docs, fit(docs, labels)).collect()}
