@@ -1,6 +1,67 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's documents. All but the last return the columns of ``documents``. A stage drops what its operator rejects and
+keeps all else as it is; rows with a null id or text pass every filter.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandset.llm.common import Scratch, table
+from strandset.llm.decontaminate import contamination, judged
+from strandset.llm.near_dup import near_duplicates
+from strandset.llm.packing import pack
+from strandset.llm.repeats import without_repeats
+from strandset.llm.toxicity import fit
+from strandset.llm.toxicity import toxicity as scored
+
+
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c != "doc_id")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't call toxic."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, model, keep=_others(docs)).where("predicted = 0").select(*docs.columns)
+
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later occurrences of repeated passages; n_chars follows where it is given."""
+    clean = without_repeats(docs, keep=tuple(c for c in _others(docs) if c != "text"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in windows of test items."""
+    found = judged(contamination(docs, table(spark, sf_dir, "benchmark"), keep=_others(docs)))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4,096 ids."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dup", near_dup), ("repeats", repeats), ("decontaminate", decontaminate), ("packing", packing)]
+
+#: The first stage applies a trained classifier, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs
