@@ -15,6 +15,14 @@ def op1_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids(table(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strandset.llm.top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandset.llm.decontaminate import contamination, judged
 
@@ -58,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_planes, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_id_planes, op2_top_k, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts, op10_toxicity)}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -109,5 +117,15 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS c FROM reach
 """
 
 
+OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5, "op6_near_duplicates": OP6, "op8_repeats": OP8}
+    return {"op2_top_k": OP2, "op5_decontaminate": OP5, "op6_near_duplicates": OP6, "op8_repeats": OP8}
