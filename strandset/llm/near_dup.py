@@ -3,12 +3,13 @@
 1. Every text becomes its set of hashed five-word shingles, ROWS * BANDS minima over them, a key for each band of ROWS
    minima, and BITS low bits of each mixed minimum, packed plane by plane.
 2. Texts with the same set are one node, the smallest id among them.
-3. Nodes that share a band key are candidates. In each bucket every member is compared with the bucket's smallest id
-   only. A comparison first takes the bit counts of the packed signatures, corrected for chance agreement; a link
-   must show at least LEAST, more than five standard deviations below 0.75. Survivors are confirmed on full sets.
-4. Buckets that still hold several components are gone through again: pairs of different components, compared in
-   blocks of packed signatures, confirmed on full sets. Pairs inside one component cannot change the result, so
-   none is formed. No bucket is capped: the largest part of a big one is dealt over several tasks.
+3. Nodes that share a band key are candidates. In each bucket every member is compared with one only, the most central:
+   the node whose buckets hold the most members in all. A comparison first takes the bit counts of the packed signatures, corrected for chance agreement; a link
+   must show at least LEAST, more than four standard deviations below 0.75. Survivors are confirmed on full sets.
+4. Buckets that still hold several components are gone through again: members of different components are compared in
+   blocks of packed signatures, in the first band they share, and confirmed on full sets in the same task. Pairs inside
+   one component cannot change the result and are passed over; no pair becomes a row unless it is a link. No bucket is
+   capped: a large one is dealt over several tasks, in blocks of its main component and of the others.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75 ** 3) ** 32, 3e-8. Signatures, links and components
 stay in tables; the driver holds none of them.
@@ -29,9 +30,9 @@ from strandset.llm.components import components
 from strandset.llm.tokens import text_slices
 
 WORDS, ROWS, BANDS, BITS = 5, 3, 32, 4
-LEAST = 0.5
+LEAST = 0.55
 WORDS_OF = 2  # 64-bit words that hold one plane of the ROWS * BANDS signature slots
-CHUNK = 8192  # members of a bucket's main component in one task
+BLOCK = 2_000_000  # shingles of a bucket's main component, or of its others, in one task
 SHARE = 512  # documents confirmed against one copy of their partner
 
 
@@ -183,51 +184,116 @@ def confirmed(edges: DataFrame, docs: DataFrame) -> DataFrame:
     return sent.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def remaining(members: DataFrame, kind: str) -> DataFrame:
-    """Pairs (a, b) of different components among ``members`` (key, part, main, component, id, n, planes), by bucket and part.
+def _buckets(batches: Iterator, columns: int) -> Iterator[list[tuple]]:
+    """The rows of each (key, part) of sorted batches, with the shingle set in place of a last column of texts."""
+    held: list[tuple] = []
+    for batch in batches:
+        cols = [batch.column(k).to_pylist() for k in range(columns)]
+        if batch.num_columns > columns:
+            cols.append([s for _, part in text_slices(batch.column(columns), 4 << 20) for s in shingle_sets(part)])
+        for row in zip(*cols):
+            if held and held[0][:2] != row[:2]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    ``main`` marks the component that was dealt over the parts; others are in every part and meet each other in part 0."""
-    dealt = members.repartition("key", "part").sortWithinPartitions("key", "part")
 
-    def pairs(rows: list[tuple]) -> list[tuple]:
-        import numpy as np
+def _pairs(rows: list[tuple]) -> Iterator[tuple[int, list[int]]]:
+    """(i, js): rows of different components in the part that may be linked, each pair in the first band it shares.
+
+    A part "m" holds a block of the main component and one of others, which meet; a part "o" one or two blocks of
+    others, which meet each other, or themselves where there is one."""
+    import numpy as np
+
+    n = np.array([r[6] for r in rows], dtype=np.int64)
+    planes = np.array([r[7] for r in rows], dtype=np.int64).view(np.uint64).reshape(len(rows), BITS, WORDS_OF)
+    bands = np.array([r[9] for r in rows], dtype=np.int64)
+    comp = np.unique(np.array([str(r[4]) for r in rows]), return_inverse=True)[1]
+    main, block = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    meet_main, one = rows[0][1].startswith("m"), len(set(block.tolist())) == 1
+    for i in np.flatnonzero(~main).tolist():
+        rest = main if meet_main else (np.arange(len(rows)) > i) & (one | (block != block[i]))
+        at = np.flatnonzero(rest & (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * 75))
+        if len(at):
+            differ = np.bitwise_count(np.bitwise_or.reduce(planes[at] ^ planes[i], axis=1)).sum(axis=1)
+            at = at[((1 - differ / (ROWS * BANDS)) - 2.0**-BITS) / (1 - 2.0**-BITS) >= LEAST]
+        if len(at):
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == rows[0][8]]
+        if len(at):
+            yield i, at.tolist()
+
+
+OPEN = ("key", "part", "main", "block", "component", "id", "n", "planes", "band", "bands")
+
+
+def taking_part(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (columns OPEN) that are in a pair that may be linked."""
+
+    def mark(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = []
+
+        def seen():
+            for b in batches:
+                schema[:] = [b.schema]
+                yield b
 
-        rows = sorted(rows, key=lambda r: (r[2], r[3]))  # others first, then the main component
-        part = rows[0][1]
-        n = np.array([r[5] for r in rows], dtype=np.int64)
-        planes = np.array([r[6] for r in rows], dtype=np.int64).view(np.uint64).reshape(len(rows), BITS, WORDS_OF)
-        comp = np.array([hash(r[3]) for r in rows], dtype=np.int64)
-        others = sum(not r[2] for r in rows)
-        out = []
-        for i in range(others):
-            rest = slice(i + 1, len(rows)) if part == 0 else slice(others, len(rows))
-            differ = np.bitwise_count(np.bitwise_or.reduce(planes[rest] ^ planes[i], axis=1)).sum(axis=1)
-            est = ((1 - differ / (ROWS * BANDS)) - 2.0**-BITS) / (1 - 2.0**-BITS)
-            m = n[rest]
-            for j in np.flatnonzero((est >= LEAST) & (comp[rest] != comp[i]) & (np.minimum(m, n[i]) * 100 >= np.maximum(m, n[i]) * 75)):
-                x, y = rows[i][4], rows[rest.start + int(j)][4]
-                out.append((min(x, y), max(x, y)))
-        return out
+        for rows in _buckets(seen(), len(OPEN)):
+            keep: set[int] = set()
+            for i, js in _pairs(rows):
+                keep.add(i)
+                keep.update(js)
+            if keep:
+                cols = list(zip(*(rows[i] for i in sorted(keep))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema[0])], schema=schema[0])
+
+    rows = members.repartition("key", "part").sortWithinPartitions("key", "part").select(*OPEN)
+    return rows.mapInArrow(mark, rows.schema)
+
+
+def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) among ``members`` (columns OPEN) by full shingle sets; a pair that others have joined is passed over."""
+    kind = docs.schema["id"].dataType.simpleString()
+    calls = members.groupBy("id").agg(F.collect_list(F.struct(*[c for c in OPEN if c not in ("id", "n", "planes", "bands")])).alias("calls"), *[F.first(c).alias(c) for c in ("n", "planes", "bands")])
+    rows = docs.join(calls, "id").withColumn("c", F.explode("calls")).select(*[F.col(c) if c in ("id", "n", "planes", "bands") else F.col(f"c.{c}") for c in OPEN], "text")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        def batch_of(out, t):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], t), pa.array([x[1] for x in out], t)], ["a", "b"])
+        kinds = []
 
-        held, t = [], None
-        for batch in batches:
-            t = batch.column(4).type
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if held and held[0][:2] != row[:2]:
-                    if len(held) > 1 and (out := pairs(held)):
-                        yield batch_of(out, t)
-                    held = []
-                held.append(row)
-        if len(held) > 1 and (out := pairs(held)):
-            yield batch_of(out, t)
+        def seen():
+            for b in batches:
+                kinds[:] = [b.schema.field("id").type]
+                yield b
 
-    return dealt.select("key", "part", "main", "component", "id", "n", "planes").mapInArrow(run, f"a {kind}, b {kind}")
+        for rows in _buckets(seen(), len(OPEN)):
+            up: dict = {}
+
+            def root(x):
+                while x in up:
+                    x = up[x]
+                return x
+
+            out = []
+            for i, js in _pairs(rows):
+                for j in js:
+                    x, y = root(rows[i][4]), root(rows[j][4])
+                    if x != y:
+                        s, t = rows[i][-1], rows[j][-1]
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * both >= 75 * (len(s) + len(t) - both):
+                            up[x] = y
+                            out.append((rows[i][5], rows[j][5]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[0]) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,9 +311,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     )
     text_of = rows.join(nodes.select("id"), "id", "left_semi")
 
-    banded = nodes.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("m")).where("lead != last").drop("last")
-    members = scratch.keep(banded.join(buckets, "key"), "members")
+    banded = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    sizes = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("m")).where("first != last")
+    met = scratch.keep(banded.join(sizes.select("key", "m"), "key"), "met")
+    central = met.groupBy("id").agg(F.sum("m").alias("score"))
+    leads = met.join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id")).alias("x")).select("key", F.col("x.id").alias("lead"))
+    members = scratch.keep(met.join(scratch.keep(leads, "leads"), "key"), "members")
     small = nodes.select("id", "n", "planes")
     compared = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     sig = lambda name: small.select(F.col("id").alias(name), F.struct("n", "planes").alias(f"s{name}"))
@@ -259,14 +328,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     leads = first.select(F.col("id").alias("lead"), F.col("component").alias("main_component"))
     placed = placed.join(leads, "lead", "left").withColumn("main", F.col("component") == F.coalesce("main_component", "lead"))
-    open_keys = placed.where("m > 2").groupBy("key").agg(F.sum((~F.col("main")).cast("long")).alias("others"), F.max("m").alias("size")).where("others > 0")
-    open_keys = open_keys.select("key", F.ceil((F.col("size") - F.col("others")) / CHUNK).cast("int").alias("parts"))
-    again = placed.select("key", "id", "component", "main").join(open_keys, "key").join(small, "id")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    again = again.withColumn("part", F.explode(F.when(F.col("main"), F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).otherwise(every)))
-    more = remaining(again, kind).distinct().join(compared.withColumnsRenamed({"a": "x", "b": "y"}), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    more = scratch.keep(more, "more")
-    links = links.unionAll(scratch.keep(confirmed(more, text_of), "more-links"))
+    placed = placed.where("m > 2").join(nodes, "id")
+    blocks = lambda what: F.ceil(F.sum(F.when(what, F.col("n")).otherwise(0)) / BLOCK).cast("int")
+    open_keys = placed.groupBy("key").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others")).where("others > 0")
+    again = placed.select("key", "band", "id", "component", "main", "n", "planes", "bands").join(open_keys, "key")
+    again = again.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    each = lambda n, name: F.transform(F.sequence(F.lit(0), F.col(n) - 1), name)
+    parts = F.when(F.col("main"), each("others", lambda q: F.concat_ws("-", F.lit("m"), F.col("block"), q))).otherwise(
+        F.concat(
+            each("mains", lambda p: F.concat_ws("-", F.lit("m"), p, F.col("block"))),
+            each("others", lambda q: F.concat_ws("-", F.lit("o"), F.least(q, F.col("block")), F.greatest(q, F.col("block")))),
+        )
+    )
+    again = taking_part(again.withColumn("part", F.explode(parts)))
+    links = links.unionAll(scratch.keep(linked(scratch.keep(again, "again"), text_of), "more-links"))
     last = components(links.unionAll(first.select(F.col("component").alias("a"), F.col("id").alias("b"))), scratch, "last")
 
     placed = twins.join(last.withColumnRenamed("id", "node"), "node", "left").select(F.col("id").alias("twin"), F.coalesce("component", "node").alias("component")).distinct()
