@@ -23,6 +23,12 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandset.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandset.llm.decontaminate import contamination, judged
 
@@ -66,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_planes, op2_top_k, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_id_planes, op2_top_k, op3_main_text, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts, op10_toxicity)}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
