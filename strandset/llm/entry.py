@@ -29,6 +29,12 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandset.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandset.llm.decontaminate import contamination, judged
 
@@ -72,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_planes, op2_top_k, op3_main_text, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_id_planes, op2_top_k, op3_main_text, op4_lm_score, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts, op10_toxicity)}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandset.llm.common import Scratch
+
 RUN_WORDS = 20
 UNIT = r"[^.!?\n]+[.!?\x09-\x0D ]*|[.!?\x09-\x0D ]+"
 
@@ -111,6 +113,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", kee
     found = _digests(rows.where("text is not null")).select("id", "tie", F.posexplode("digests").alias("pos", "digest")).where("digest != 0")
     place = F.struct("id", "tie", "pos")
     firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    firsts = Scratch(docs.sparkSession, "repeats").keep(firsts, "firsts")  # so that the join below deals both its sides anew and can split hot digests
     later = found.join(firsts, "digest").where(~place.eqNullSafe(F.col("first"))).select("id", "tie", "pos").distinct()
     later = later.groupBy("id", "tie").agg(F.collect_list("pos").alias("later"))
     later = later.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), "later")
