@@ -185,7 +185,7 @@ def execute(rows: DataFrame, *, allow_literal: bool = False, require_join: bool
         F.when(sound, F.col("__found")).otherwise("").alias("candidate_answer"), sound.alias("answer_valid"), every.alias("errors"), cited_text.alias("cited_text"), values(F.col("__left")).alias("join_values"),
     )
     four = four.withColumn(into, F.when(program.isNotNull(), result))
-    return four.drop(*[c for c in four.columns if c.startswith("__") and c not in rows.columns])
+    return four.drop(*[c for c in four.columns if c.startswith("__") and c != into and c not in rows.columns])
 
 
 def contracts(rows: DataFrame) -> DataFrame:
