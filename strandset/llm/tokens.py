@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 
 LONGEST = 64  # bytes of a piece worth keeping
-KEPT = 600_000  # pieces in one generation of a cache
+KEPT = 250_000  # pieces in one generation of a cache
 JOINED = 128
 MARKS = "!#$%&()*+,-./:;=?@]_`}~"
 

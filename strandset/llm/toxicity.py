@@ -31,6 +31,7 @@ SAMPLE = 20_000
 BEGINNINGS = range(3, 10)
 VOTERS = 512
 TIED = 0.5
+HELD = 1 << 17  # candidates that a task counts before it reports
 PATTERNS = ("shouting", "marks", "few words")
 
 
@@ -115,6 +116,13 @@ def _counts(rows: DataFrame) -> DataFrame:
 
         both = (Counter(), Counter())
         known: dict[str, set] = {}
+
+        def told():
+            what = list(both[0].keys() | both[1].keys())
+            counts = [pa.array([c[w] for w in what], pa.int64()) for c in both]
+            both[0].clear(), both[1].clear()
+            return pa.RecordBatch.from_arrays([pa.array(what, pa.string()), *counts], ["what", "toxic", "clean"])
+
         for batch in batches:
             labels = batch.column(1).to_pylist()
             for row, part in text_slices(batch.column(0), 1 << 20):
@@ -124,17 +132,16 @@ def _counts(rows: DataFrame) -> DataFrame:
                     for p, times in Counter(at[ends[d] : ends[d + 1]].tolist()).items():
                         if (c := known.get(pieces[p])) is None:
                             c = candidates(pieces[p])
-                            if len(known) < 1 << 17:
+                            if len(known) < 1 << 14:
                                 known[pieces[p]] = c
                         for x in c:
                             own[x] += times
                     both[1 - label].update(own.keys())
                     both[1 - label].update(x + "*" for x, times in own.items() if times > 1 and x.endswith("*"))
                     both[1 - label][None] += 1
-        what = list(both[0].keys() | both[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(what, pa.string()), pa.array([both[0][w] for w in what], pa.int64()), pa.array([both[1][w] for w in what], pa.int64())], ["what", "toxic", "clean"]
-        )
+                    if len(both[0]) + len(both[1]) > HELD:
+                        yield told()
+        yield told()
 
     told = rows.select("text", "label").mapInArrow(run, "what string, toxic long, clean long")
     return told.groupBy("what").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
