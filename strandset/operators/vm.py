@@ -19,26 +19,41 @@ def _none(kind: str = TEXTS) -> Column:
     return F.array().cast(kind)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed, and written in the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def resolved(pointer: Column, documents: Column, question: Column, label: Column) -> Column:
     """Struct (value, errors) of a pointer."""
     asks = pointer["field"] == "question"
-    document = F.get(documents, pointer["doc"])
-    there = document.isNotNull()
-    sentence = F.get(document["sentences"], pointer["sent"])
-    source = F.when(~there, question).when(pointer["field"] == "title", document["title"]).otherwise(sentence)
-    place = (
-        F.when(~there & ~asks, "document out of range")
-        .when(there & (pointer["field"] == "sentence") & sentence.isNull(), "sentence out of range")
-        .when(there & ~pointer["field"].isin("title", "sentence"), "invalid pointer field")
-        .when((pointer["quote"] != "") & ~F.contains(source, pointer["quote"]), "quoted span is absent from source")
-        .when(
+
+    def with_document(found):
+        document = found["d"]
+        there = document.isNotNull()
+        sentence = F.get(document["sentences"], pointer["sent"])
+        read = F.when(~there, question).when(pointer["field"] == "title", document["title"]).otherwise(sentence)
+        early = (
+            F.when(~there & ~asks, "document out of range")
+            .when(there & (pointer["field"] == "sentence") & sentence.isNull(), "sentence out of range")
+            .when(there & ~pointer["field"].isin("title", "sentence"), "invalid pointer field")
+        )
+        return let(F.struct(read.alias("source"), early.alias("early")), with_source)
+
+    def with_source(found):
+        source = found["source"]
+        late = F.when((pointer["quote"] != "") & ~F.contains(source, pointer["quote"]), "quoted span is absent from source").when(
             (pointer["quote"] == "") & ((pointer["start"] < 0) | (pointer["end"] <= pointer["start"]) | (pointer["end"] > F.length(source))), "character span out of range"
         )
-    )
-    outside = F.when(asks & ((pointer["doc"] != -1) | (pointer["sent"] != -1)), "question pointer must use doc=sent=-1")
-    value = F.when(place.isNotNull(), "").when(pointer["quote"] != "", pointer["quote"]).otherwise(F.substr(source, pointer["start"] + 1, pointer["end"] - pointer["start"]))
-    errors = F.transform(F.filter(F.array(outside, place), lambda e: e.isNotNull()), lambda e: F.concat(label, F.lit(": "), e))
-    return F.struct(value.alias("value"), errors.alias("errors"))
+        return let(F.struct(source.alias("source"), F.coalesce(found["early"], late).alias("place")), result)
+
+    def result(found):
+        text = F.when(pointer["quote"] != "", pointer["quote"]).otherwise(F.substr(found["source"], pointer["start"] + 1, pointer["end"] - pointer["start"]))
+        outside = F.when(asks & ((pointer["doc"] != -1) | (pointer["sent"] != -1)), "question pointer must use doc=sent=-1")
+        errors = F.transform(F.filter(F.array(outside, found["place"]), lambda e: e.isNotNull()), lambda e: F.concat(label, F.lit(": "), e))
+        return F.struct(F.when(found["place"].isNull(), text).otherwise("").alias("value"), errors.alias("errors"))
+
+    return let(F.struct(F.get(documents, pointer["doc"]).alias("d")), with_document)
 
 
 def _indexed(prefix: str, i: Column, suffix: str = "") -> Column:
@@ -91,33 +106,36 @@ def execute(rows: DataFrame, *, allow_literal: bool = False, require_join: bool
     cited_text = F.filter(F.transform(seen, lambda r: F.get(F.get(documents, r["doc"])["sentences"], r["sent"])), lambda x: x.isNotNull())
 
     def join_check(j, i):
-        left = F.get(F.col("__left"), i)
         query = (j["kind"] == "query") & (j["left"]["field"] == "question")
-        by_query, bound = query, cited(j["left"])
-        right = F.array_contains(docs, j["right_doc"])
-        there = F.get(documents, j["right_doc"]).isNotNull()
-        field = j["right_field"].isin("title", "sentence")
-        has = left["value"] != ""
-        holds = F.contains(F.get(F.col("__normal"), m + i), F.get(F.col("__normal"), i))
-        say = lambda text: F.concat(_indexed("join", i), F.lit(f": {text}"))
-        errors = F.concat(
-            left["errors"],
-            _errors(
-                ((j["kind"] == "query") & ~query, say("query join must read from the question")),
-                ((j["kind"] == "equi") & (j["left"]["field"] == "question"), say("equi join cannot read from the question")),
-                (~by_query & ~bound, say("left pointer is not cited evidence")),
-                (~right, say("right document is not cited evidence")),
-                (right & ~there, say("right document out of range")),
-                (right & there & ~field, say("invalid right field")),
-                (right & there & field & has & ~holds, say("anchor is absent from right input")),
-            ),
-        )
-        edge = F.when(right & there & field & has & holds & (by_query | bound), F.struct(F.when(query, -1).otherwise(j["left"]["doc"]).alias("a"), j["right_doc"].alias("b")))
-        return F.struct(errors.alias("errors"), edge.alias("edge"))
+        facts = F.struct(
+            query.alias("query"), (query | cited(j["left"])).alias("bound"), F.array_contains(docs, j["right_doc"]).alias("right"), F.get(documents, j["right_doc"]).isNotNull().alias("there"),
+            j["right_field"].isin("title", "sentence").alias("field"), F.get(F.col("__left"), i).alias("left"),
+            F.coalesce(F.contains(F.get(F.col("__normal"), m + i), F.get(F.col("__normal"), i)), F.lit(False)).alias("holds"),
+        )
+
+        def checked(x):
+            say = lambda text: F.concat(_indexed("join", i), F.lit(f": {text}"))
+            ready = x["right"] & x["there"] & x["field"] & (x["left"]["value"] != "")
+            errors = F.concat(
+                x["left"]["errors"],
+                _errors(
+                    ((j["kind"] == "query") & ~x["query"], say("query join must read from the question")),
+                    ((j["kind"] == "equi") & (j["left"]["field"] == "question"), say("equi join cannot read from the question")),
+                    (~x["bound"], say("left pointer is not cited evidence")),
+                    (~x["right"], say("right document is not cited evidence")),
+                    (x["right"] & ~x["there"], say("right document out of range")),
+                    (x["right"] & x["there"] & ~x["field"], say("invalid right field")),
+                    (ready & ~x["holds"], say("anchor is absent from right input")),
+                ),
+            )
+            edge = F.when(ready & x["holds"] & x["bound"], F.struct(F.when(x["query"], -1).otherwise(j["left"]["doc"]).alias("a"), j["right_doc"].alias("b")))
+            return F.struct(errors.alias("errors"), edge.alias("edge"))
+
+        return let(facts, checked)
 
-    # null documents make the comparisons above null; each is guarded by an earlier one
     three = two.withColumn("__joins", F.transform(joins, join_check))
-    edges = F.filter(F.transform("__joins", lambda x: x["edge"]), lambda e: e.isNotNull())
+    three = three.withColumn("__edges", F.filter(F.transform("__joins", lambda x: x["edge"]), lambda e: e.isNotNull()))
+    edges = F.col("__edges")
     grow = lambda acc, e: F.when(F.array_contains(acc, e["a"]) & ~F.array_contains(acc, e["b"]), F.array_append(acc, e["b"])).when(
         F.array_contains(acc, e["b"]) & ~F.array_contains(acc, e["a"]), F.array_append(acc, e["a"])
     ).otherwise(acc)
@@ -142,8 +160,7 @@ def execute(rows: DataFrame, *, allow_literal: bool = False, require_join: bool
     kinds = F.array_distinct(F.transform(F.slice("__normal", 2 * m + 1, k), canonical))
     keys = F.transform(operand_values, ordered_scalar)
     unparsed = F.exists(keys, lambda x: x.isNull())
-    low, high = F.array_min(keys), F.array_max(keys)
-    chosen = F.array_position(keys, F.when(op == "argmin", low).otherwise(high)).cast("int") - 1
+    chosen = let(keys, lambda x: F.array_position(x, F.when(op == "argmin", F.array_min(x)).otherwise(F.array_max(x))).cast("int") - 1)
     truth = F.element_at("__normal", -1)
     same_size = F.size(answer["labels"]) == k
     answer_errors = F.concat(
