@@ -272,7 +272,7 @@ MODEL = {"means": [0.5] * 16, "scales": [2.0] * 16, "weight1": [[(i * j % 5 - 2)
 
 def groups(spark, sf_dir):
     rows = candidates(spark, sf_dir).withColumns({"question": t.normalize("question"), "evidence_lines": F.coalesce(F.size("result.cited_text"), F.lit(0)), "generated_tokens": F.lit(9), "n_candidates": F.lit(4)})
-    return rows, selection.answer_groups(rows)
+    return selection.answer_groups(rows)
 
 
 @query(f"""{CAND}, b AS (SELECT *, max(tier) OVER (PARTITION BY qid) AS best, sum((tier = 2)::INT) OVER (PARTITION BY qid) AS strict FROM t), c AS (SELECT *, sum((tier = best)::INT) OVER (PARTITION BY qid) AS bn FROM b)
@@ -280,13 +280,12 @@ SELECT qid, answer, round(count(*) / 4.0, 6) AS share, round(sum((tier = best)::
 round(max(score), 6) AS top_score, round(avg(score), 6) AS mean_score FROM c GROUP BY 1, 2""")
 def answer_groups(spark, sf_dir):
     names = ("share", "best_share", "tier", "strict", "own_strict", "top", "mean", "top_score", "mean_score")
-    return groups(spark, sf_dir)[1].select("qid", "answer", *[F.round(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
+    return groups(spark, sf_dir).select("qid", "answer", *[F.round(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
 
 
 @query()
 def meta_score(spark, sf_dir):
-    rows, own = groups(spark, sf_dir)
-    return selection.by_meta(rows, own, MODEL).select("qid", "index", F.round("meta_score", 6).alias("meta_score"))
+    return selection.by_meta(groups(spark, sf_dir), MODEL).select("qid", "index", F.round("meta_score", 6).alias("meta_score"))
 
 
 @query(f"{OUT} SELECT qid FROM g WHERE k % 4 <> 0")
