@@ -39,3 +39,13 @@ MINIMUM_CUES = (
 # Answer operators, and those whose valid results are certified.
 GROUNDED = ("copy", "argmin", "argmax", "equal", "common")
 SEMANTICS = "strandset-vm-1"
+
+# Words that don't identify a title by themselves.
+GENERIC_TITLE_WORDS = (
+    "the", "a", "an", "of", "in", "on", "for", "and", "film", "song", "album", "team", "season", "school", "university", "college", "episode", "series",
+)
+
+# Phrases of a question that compares.
+COMPARISON_PHRASES = (
+    "which is older", "which was earlier", "which is larger", "which is longer", "who was born first", "are both", "same nationality", "younger", "older", "which came first", "who came first", "won more",
+)
