@@ -415,3 +415,58 @@ def floor_percentiles(spark, sf_dir):
 
 
 
+
+
+@query(f"{OUT} SELECT qid, CASE WHEN kind = 'equal' AND k % 24 = 4 THEN 'literal' WHEN kind IN ('equal','bool') THEN 'bool' ELSE 'copy' END AS op, NOT (kind = 'equal' AND k % 24 = 4) AS valid FROM g")
+def gold_compile(spark, sf_dir):
+    from strandset.operators.compiler import compile_labels
+
+    rows = orders.contexts(spark, sf_dir).withColumns(
+        {"question_type": F.lit("bridge"), "decomposition": F.array().cast("array<struct<step_id:int,question:string,answer:string,support_doc:int>>"), "evidences": F.array().cast("array<array<string>>")}
+    )
+    support = F.when(F.col("kind") == "composition", F.array_append("support", F.struct(F.lit(2).alias("doc"), F.lit(0).alias("sent")))).otherwise(F.col("support"))
+    return execute(compile_labels(rows.withColumn("support", support))).select("qid", F.col("program.answer.op").alias("op"), "result.valid")
+
+
+@query("SELECT n_nationkey, CASE lower(n_name) WHEN 'american' THEN 'united states' ELSE lower(replace(n_name, '_', '')) END AS plain, 'france' AS country FROM nation")
+def canonical_scalar(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").withColumns({"a": t.normalize("n_name"), "b": t.normalize(F.concat(F.lit("the "), F.lit("French")))})
+    return rows.select("n_nationkey", t.canonical(F.col("a")).alias("plain"), t.canonical(F.col("b")).alias("country"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'argmin' WHEN o_orderkey % 3 = 1 THEN 'argmax' END AS reducer FROM orders")
+def reducer(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    asked = F.concat(F.lit("Which order "), F.when(k == 0, "is OLDER?").when(k == 1, "came later than the oldest?").otherwise("is it?"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.reducer_from_question(asked).alias("reducer"))
+
+
+@query("SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) + 17 AS replaced FROM orders")
+def disjoint_replacements(spark, sf_dir):
+    quote = F.format_number(F.round("o_totalprice"), 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.disjoint_replacement(quote).cast("long").alias("replaced"))
+
+
+@query(f"WITH {SQL} SELECT qid, length('Question: Which nation is the customer of ' || title || ' based in?') AS first_line, CASE WHEN title2 IS NULL THEN 11 ELSE 19 END AS lines FROM g")
+def context_rendering(spark, sf_dir):
+    from strandset.operators.training import context_text
+
+    text = F.split(context_text(), "\n")
+    return orders.contexts(spark, sf_dir).withColumn("x", text).select("qid", F.length(F.get("x", F.lit(0))).cast("long").alias("first_line"), F.size("x").alias("lines"))
+
+
+@query("SELECT label, count(*) AS n, round(1 / sqrt(count(*)), 6) AS weight FROM embeddings GROUP BY 1")
+def root_weights(spark, sf_dir):
+    return sampling.root_weights(table(spark, sf_dir, "embeddings"), "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.first("weight"), 6).alias("weight"))
+
+
+@query("SELECT conv_id, (length(text) - length(replace(text, 'de', ''))) // 2 AS n FROM conversations WHERE turn = 0")
+def occurrence_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("turn = 0")
+    return rows.select("conv_id", t.occurrences(F.array("text"), F.lit("de")).cast("long").alias("n"))
+
+
+@query(f"{OUT} SELECT {OPS} AS kind, 'relevant' AS changed, CASE WHEN certified THEN 'replay' ELSE 'recompile' END AS action, count(*) AS n FROM r WHERE valid GROUP BY ALL UNION ALL SELECT {OPS}, 'irrelevant', 'reuse', count(*) FROM r WHERE valid GROUP BY ALL")
+def one_cell_updates(spark, sf_dir):
+    done = lineage.refresh(updates.one_cell_updates(bound(spark, sf_dir)))
+    return done.groupBy(F.col("program.answer.op").alias("op"), F.col("kind").alias("changed"), "action").agg(F.count("*").alias("n")).withColumnRenamed("op", "kind")
