@@ -6,15 +6,17 @@ order of their 64-bit hash, their training counts, and each document as places i
 cut by hash range, to buckets; a bucket adds them up and answers each block. So only distinct words of blocks are
 shuffled, a frequent word no more often than there are blocks, and no word table is ever broadcast or collected.
 
-Subwords: the ids that the tokenizer gives for a word. The SYMBOLS - 3 most frequent ids of the training sample are
+Subwords: the ids that the tokenizer gives for a word. The SYMBOLS - 3 most frequent ids of all training documents are
 symbols of their own, the others share one (and a uniform choice among all ids). The attention model (one causal head,
-residual, tanh layer, softmax by class and member) is trained here in numpy on windows from at most ``sample``
-training documents, those with the lowest hash of their id. Scoring cuts a text into overlapping windows of WINDOW
+residual, tanh layer, softmax by class and member) is trained in numpy. ``steps`` steps on at most ``sample`` documents, those
+with the lowest hash of their id, only give it a start; then every symbol of every training document is a target once.
+Documents are dealt by hash to ROUNDS rounds and to shards of about SHARD symbols; in a round each shard is learned by a
+copy of the model and the copies are averaged by their windows, so that work grows with the corpus and memory does not. Scoring cuts a text into overlapping windows of WINDOW
 symbols; each symbol is scored once, with at least WINDOW - STRIDE symbols before it where the text has them, in batches of
 masked attention.
 
-Topics: TOPICS word distributions, found by a mixture of unigrams on the frequent words of the training sample (languages, in
-the main). Every training document counts for its likeliest topic, so the corpus has one count a word and topic; within
+Topics: TOPICS word distributions, a mixture of unigrams on the frequent words of all training documents (languages, in
+the main), started from the sample and then fitted by a step over all of them. Every training document counts for its likeliest topic, so the corpus has one count a word and topic; within
 a text the share of a topic is its posterior given the words before.
 
 The probability of a word is U times that of its subwords (and of its upper-case non-ASCII letters) plus 1 - U times the
@@ -43,6 +45,8 @@ BEGIN, END, RARE = 0, 1, 2
 WINDOW, STRIDE, WIDTH = 24, 22, 24
 SAMPLE = 1024
 STEPS, BATCH = 800, 128
+ROUNDS, SHARD, RATE = 4, 1 << 20, 0.004  # of the pass over all training documents
+GROUPS = 16  # partial sums that the driver adds
 TOPICS, FREQUENT = 4, 2000
 LOWER = 0.97  # chance that a non-ASCII letter stands in lower case
 END_WORD = b" end"  # holds a space, so no word has its hash
@@ -66,15 +70,11 @@ def _numbered(column):
 class Topics:
     """A mixture of unigrams over frequent words; a word outside them says nothing about the topic."""
 
-    def __init__(self, texts: list[list[bytes]], seed: int = 7):
+    def __init__(self, texts: list[list[bytes]], top: list[bytes], seed: int = 7):
         from collections import Counter
 
         import numpy as np
 
-        every = Counter()
-        for t in texts:
-            every.update(t)
-        top = sorted(every, key=lambda w: (-every[w], w))[:FREQUENT]
         self.number = {w: i for i, w in enumerate(top)}
         self.logp = np.zeros((len(top) + 1, TOPICS))
         self.prior = np.full(TOPICS, -np.log(TOPICS))
@@ -100,6 +100,27 @@ class Topics:
                 best = total.sum()
                 self.logp[:-1], self.prior = logp.T, prior
 
+    def sums(self, column):
+        """Sums over the texts of an Arrow column, TOPICS by frequent words and documents: what ``refit`` needs."""
+        import numpy as np
+
+        words, at, ends = _numbered(column)
+        number = np.array([self.number.get(w, len(self.number)) for w in words], dtype=np.int64)[at]
+        doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        ll = np.stack([np.bincount(doc, self.logp[number, k], len(ends) - 1) for k in range(TOPICS)], axis=1) + self.prior
+        post = np.exp(ll - ll.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        out = np.stack([np.bincount(number, post[doc, k], len(self.number) + 1) for k in range(TOPICS)])
+        out[:, -1] = post.sum(axis=0)
+        return out
+
+    def refit(self, sums) -> None:
+        import numpy as np
+
+        p, docs = sums[:, :-1] + 0.05, sums[:, -1]
+        self.logp[:-1] = np.log(p / p.sum(axis=1, keepdims=True)).T
+        self.prior = np.log((docs + 1) / (docs.sum() + TOPICS))
+
     def evidence(self, words: list[bytes]):
         """Log-likelihoods (words by topics)."""
         get, none = self.number.get, len(self.number)
@@ -224,12 +245,13 @@ class Attention:
         import numpy as np
 
         w = self.w
-        e = w["emb"][x] + w["pos"]
+        size = x.shape[1]
+        e = w["emb"][x] + w["pos"][:size]
         q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
         a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
         np.exp(np.minimum(a, 60, out=a), out=a)
-        a *= self.mask
-        a /= (a @ np.ones(WINDOW, dtype=a.dtype))[..., None]
+        a *= self.mask[:size, :size]
+        a /= (a @ np.ones(size, dtype=a.dtype))[..., None]
         r = a @ v
         u = e + r @ w["o"]
         return np.tanh(u @ w["h"] + w["hb"]), (e, q, k, v, a, r, u)
@@ -308,7 +330,8 @@ class Attention:
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
             g[name] = flat(e).T @ flat(d)
             de += d @ w[name].T
-        g["pos"] = de.sum(axis=0)
+        g["pos"] = np.zeros_like(w["pos"])
+        g["pos"][: x.shape[1]] = de.sum(axis=0)
         g["emb"] = np.zeros_like(w["emb"])
         np.add.at(g["emb"], x.reshape(n), flat(de))
         for name, d in g.items():
@@ -319,8 +342,8 @@ class Attention:
         return float(loss / n)
 
 
-def train(streams: list, steps: int = STEPS, seed: int = 7) -> Attention:
-    """A model of the symbol streams (each without BEGIN, with END)."""
+def train(streams: list, steps: int = STEPS, seed: int = 7, counts=None) -> Attention:
+    """A model of the symbol streams (each without BEGIN, with END); ``counts``: of each symbol in the corpus."""
     import numpy as np
 
     model = Attention(seed, zero=not streams)
@@ -330,6 +353,8 @@ def train(streams: list, steps: int = STEPS, seed: int = 7) -> Attention:
     whole = np.concatenate([np.concatenate([[BEGIN], s]) for s in streams])
     whole = np.concatenate([whole, np.full(WINDOW + 1, END)]).astype(np.int64)
     freq = np.bincount(whole, minlength=model.classes * MEMBERS).astype(np.float64) + 0.1
+    if counts is not None:
+        freq[:SYMBOLS] = counts + 0.1
     freq[SYMBOLS:] = 0
     by = freq.reshape(model.classes, MEMBERS)
     model.w["cb"] = np.log(by.sum(axis=1)).astype(np.float32)
@@ -341,6 +366,99 @@ def train(streams: list, steps: int = STEPS, seed: int = 7) -> Attention:
     return model
 
 
+def learn_once(model: Attention, streams: list, moments: dict, t: int, rate: float, seed: int) -> tuple[int, int]:
+    """Trains on every symbol of the streams once; returns the step reached and the windows learned."""
+    import numpy as np
+
+    whole = np.concatenate([x for s in streams for x in ([BEGIN], s)]).astype(np.int64)
+    size = min(WINDOW, len(whole) - 1)
+    first = np.minimum(np.arange(0, len(whole) - 1, size), len(whole) - 1 - size)
+    first = np.random.default_rng(seed).permutation(first)
+    for a in range(0, len(first), BATCH):
+        t += 1
+        at = first[a : a + BATCH, None] + np.arange(size)
+        model.step(whole[at], whole[at + 1], moments, t, rate * min(1.0, t / 20))
+    return t, len(first)
+
+
+def _added(rows: DataFrame, kind: str):
+    """Sum of the blobs of the rows (part, blob) as one array, added by groups of parts in order; None without rows."""
+    import numpy as np
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            for b in batch.column(1):
+                x = np.frombuffer(b.as_py(), dtype=kind)
+                total = x.astype(np.float64) if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "blob"])
+
+    from pyspark import TaskContext
+
+    dealt = rows.withColumn("group", F.pmod("part", F.lit(GROUPS))).repartition(GROUPS, "group").sortWithinPartitions("part").drop("group")
+    found = sorted((r.part, r.blob) for r in dealt.mapInArrow(run, "part long, blob binary").collect())
+    return sum(np.frombuffer(b, dtype=np.float64) for _, b in found) if found else None
+
+
+def learn(texts: DataFrame, model: Attention, symbols, kind: str, shards: int, rounds: int = ROUNDS) -> Attention:
+    """Passes the model once over the rows (h, ids) of all training documents."""
+    import numpy as np
+
+    names = sorted(model.w)
+    for k in range(rounds):
+        sent = texts.sparkSession.sparkContext.broadcast((model, symbols))
+        rate = RATE * (1 - k / rounds)
+        own = texts.where(F.pmod("h", F.lit(rounds)) == k).withColumn("shard", F.pmod(F.shiftrightunsigned("h", 20), F.lit(shards)))
+
+        def run(batches: Iterator, sent=sent, rate=rate, k=k) -> Iterator:
+            import copy
+
+            import pyarrow as pa
+
+            start, symbols = sent.value
+            now, held, size, state = None, [], 0, None
+
+            def flush():
+                nonlocal held, size
+                if held:
+                    state[2], n = learn_once(state[0], held, state[1], state[2], rate, (now << 8) + k)
+                    state[3] += n
+                held, size = [], 0
+
+            def told():
+                flush()
+                blob = np.concatenate([state[0].w[x].ravel().astype(np.float64) for x in names] + [np.ones(1)]) * state[3]
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([blob.tobytes()], pa.binary())], ["part", "blob"])
+
+            for batch in batches:
+                for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if shard != now:
+                        if state:
+                            yield told()
+                        now, state = shard, [copy.deepcopy(start), {}, 0, 0]
+                    held.append(np.append(symbols[np.frombuffer(ids.as_py(), dtype=kind)], END))
+                    size += len(held[-1])
+                    if size >= 2 * SHARD:
+                        flush()
+            if state:
+                yield told()
+
+        parts = own.repartition("shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids").mapInArrow(run, "part long, blob binary")
+        total = _added(parts, "f8")
+        sent.unpersist()
+        if total is None:
+            continue
+        mean, at = total[:-1] / total[-1], 0
+        for x in names:
+            shape = model.w[x].shape
+            model.w[x] = mean[at : at + model.w[x].size].reshape(shape).astype(np.float32)
+            at += model.w[x].size
+    return model
+
+
 def score_streams(model: Attention, stream, ends):
     """Log-probability of each symbol of ``stream``; ``ends``: symbols before each text and their total."""
     import numpy as np
@@ -400,33 +518,89 @@ class Subwords:
         return symbols, starts, left
 
 
-def fit(rows: DataFrame, path: str, sample: int = SAMPLE, steps: int = STEPS) -> tuple[Attention, Subwords, Topics]:
-    """The subword model and the topics from at most ``sample`` training rows (id, held, text)."""
+def frequent_words(rows: DataFrame) -> list[bytes]:
+    """The FREQUENT most frequent words of all texts."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, part in text_slices(batch.column(0)):
+                words, at, _ = _numbered(part)
+                n = np.bincount(at, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+
+    found = rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in found.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+
+
+def fit(rows: DataFrame, path: str, sample: int = SAMPLE, steps: int = STEPS, rounds: int = ROUNDS) -> tuple[Attention, Subwords, Topics]:
+    """The subword model and the topics from all training rows (id, held, text), started from ``sample`` of them."""
     import numpy as np
 
-    some = rows.where("not held").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample)
+    scratch = Scratch(rows.sparkSession, "lm-fit")
+    every = rows.where("not held")
+    some = every.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample)
+    size = max(encoder(path).tokenizer.get_vocab().values()) + 1
+    kind = "<u2" if size <= 1 << 16 else "<u4"
 
-    def run(batches: Iterator) -> Iterator:
+    def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = encoder(path)
         for batch in batches:
-            out = []
-            for _, part in text_slices(batch.column(0)):
+            for row, part in text_slices(batch.column(1)):
                 ids, ends = own.ids(part)
-                out += [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(binary(batch.column(0)), pa.binary())], ["ids", "text"])
+                ids = ids.astype(kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["h", "ids"])
 
-    taken = Scratch(rows.sparkSession, "lm-sample").keep(some.select("text"), "texts")
-    found = sorted((bytes(r.ids), bytes(r.text)) for r in taken.mapInArrow(run, "ids binary, text binary").collect())
-    texts = [np.frombuffer(x, dtype="<u4") for x, _ in found]
-    size = max(encoder(path).tokenizer.get_vocab().values()) + 1
-    count = np.bincount(np.concatenate(texts) if texts else np.zeros(0, int), minlength=size)
-    top = np.argsort(-count, kind="stable")[: SYMBOLS - 3]
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(size + 1, dtype=np.int64)  # the last place: documents
+        for batch in batches:
+            for ids in batch.column(0):
+                total += np.bincount(np.frombuffer(ids.as_py(), dtype=kind), minlength=size + 1)
+            total[-1] += batch.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["symbol", "n"])
+
+    def shares(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        topics, total = sent.value, None
+        for batch in batches:
+            for _, part in text_slices(batch.column(0)):
+                x = topics.sums(part)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "blob"])
+
+    texts = scratch.keep(every.select(F.xxhash64("id", "text").alias("h"), "text").mapInArrow(encode, "h long, ids binary"), "ids", compression="zstd")
+    counts = np.zeros(size + 1, dtype=np.int64)
+    for r in texts.select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+        counts[r.symbol] = r.n
+    counts, n = counts[:-1], int(counts[-1])
+    top = np.argsort(-counts, kind="stable")[: SYMBOLS - 3]
     symbols = np.full(size, RARE, dtype=np.int64)
     symbols[top] = np.arange(len(top)) + 3
-    streams = [np.concatenate([symbols[t], [END]]) for t in texts]
-    return train(streams, steps), Subwords(path, symbols), Topics([t.lower().split() for _, t in found])
+    of = np.bincount(symbols, counts, minlength=SYMBOLS)
+    of[[BEGIN, END]] = n
+
+    taken = scratch.keep(some.select(F.xxhash64("id", "text").alias("h"), "text"), "texts")
+    streams = [np.append(symbols[np.frombuffer(r.ids, dtype=kind)], END) for r in taken.mapInArrow(encode, "h long, ids binary").orderBy("h", "ids").collect()]
+    model = train(streams, steps, counts=of)
+    if n:
+        model = learn(texts, model, symbols, kind, max(1, -(-int(counts.sum()) // max(1, rounds * SHARD))), rounds)
+    sampled = sorted(bytes(r.text.encode()) if r.text else b"" for r in taken.select("text").collect())
+    topics = Topics([t.lower().split() for t in sampled], frequent_words(every))
+    if topics.number:
+        sent = rows.sparkSession.sparkContext.broadcast(topics)
+        topics.refit(_added(every.select("text").mapInArrow(shares, "part long, blob binary"), "f8").reshape(TOPICS, -1))
+    scratch.drop("ids", "texts")
+    return model, Subwords(path, symbols), topics
 
 
 def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:

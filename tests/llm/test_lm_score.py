@@ -83,3 +83,26 @@ def test_empty_table_and_no_training_rows(spark):
     df = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     assert lm_scores(df.limit(0)).count() == 0
     assert {(r.n_known, r.train_tokens) for r in lm_scores(df).collect()} == {(0, 0)}
+
+
+def test_all_training_documents_are_learned(spark):
+    """Words, order and topics that only documents outside the sample hold."""
+    from pyspark.sql import functions as F
+
+    from strandset.llm.lm_score import RARE, fit
+    from strandset.llm.tokens import tokenizer_path
+
+    ids = [r.id for r in spark.range(400).orderBy(F.xxhash64("id")).collect()]
+    other = "green house small river " * 40
+    rows = spark.createDataFrame([(i, False, "one two " * 20 if k < 8 else other) for k, i in enumerate(ids)], "id long, held boolean, text string")
+    path = tokenizer_path("word_bpe_49k.json")
+
+    def loss(rounds):
+        model, subwords, topics = fit(rows, path, sample=8, steps=30, **rounds)
+        assert b"house" in topics.number and b"one" in topics.number
+        symbols, *_ = subwords.of([b"green", b"house", b"small", b"river"])
+        assert RARE not in symbols
+        stream = np.tile(symbols, 10)
+        return -score_streams(model, stream, np.array([0, len(stream)])).mean()
+
+    assert loss({}) < loss({"rounds": 0}) - 0.5
