@@ -42,7 +42,7 @@ from strandset.llm.tokens import encoder, text_slices, tokenizer_path
 BLOCK = 4 << 20
 SYMBOLS, MEMBERS = 2048, 43  # symbols; members of a class at most
 BEGIN, END, RARE = 0, 1, 2
-WINDOW, STRIDE, WIDTH = 24, 22, 24
+WINDOW, STRIDE, WIDTH = 48, 24, 32
 SAMPLE = 1024
 STEPS, BATCH = 800, 128
 ROUNDS, SHARD, RATE = 4, 1 << 20, 0.004  # of the pass over all training documents

@@ -106,3 +106,14 @@ def test_all_training_documents_are_learned(spark):
         return -score_streams(model, stream, np.array([0, len(stream)])).mean()
 
     assert loss({}) < loss({"rounds": 0}) - 0.5
+
+
+def test_symbols_of_later_windows_see_what_stands_well_before():
+    r, model = np.random.default_rng(5), Attention(3)
+    stream = r.integers(3, SYMBOLS, 160)
+    ends = np.array([0, len(stream)])
+    plain = score_streams(model, stream, ends)
+    for t in range(24, 160):
+        other = stream.copy()
+        other[t - 20] = 3 + (stream[t - 20] + 7) % (SYMBOLS - 3)
+        assert score_streams(model, other, ends)[t] != plain[t], t
