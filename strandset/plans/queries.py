@@ -305,32 +305,38 @@ def paired_bootstrap(spark, sf_dir):
 SENTENCES = r"""c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')), s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM c)"""
 
 
-def sentences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(r"text rlike '^[\\x00-\\x7F]*$'")
+def texts(spark, sf_dir, name, every):
+    """A table with all its rows, or those that the SQL can fold."""
+    rows = table(spark, sf_dir, name)
+    return rows if every else rows.where(r"text rlike '^[\\x00-\\x7F]*$'")
+
+
+def sentences(spark, sf_dir, every=False):
+    docs = texts(spark, sf_dir, "documents", every)
     return docs.withColumn("t", t.clean("text")).select("doc_id", t.split_sentences(F.col("t")).alias("s"))
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS sent, sha256(s[i]) AS sha256 FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)")
-def sentence_cells(spark, sf_dir):
-    return sentences(spark, sf_dir).select("doc_id", F.posexplode("s").alias("sent", "x")).select("doc_id", "sent", t.text_digest(F.col("x")).alias("sha256"))
+def sentence_cells(spark, sf_dir, every=False):
+    return sentences(spark, sf_dir, every).select("doc_id", F.posexplode("s").alias("sent", "x")).select("doc_id", "sent", t.text_digest(F.col("x")).alias("sha256"))
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, sha256('[[0,' || len(s) || ']]') AS structure FROM s")
-def structure_digest(spark, sf_dir):
+def structure_digest(spark, sf_dir, every=False):
     doc = F.array(F.struct(F.lit(0).alias("doc"), F.lit("").alias("title"), F.col("s").alias("sentences")))
-    return sentences(spark, sf_dir).select("doc_id", lineage.structure_digest(doc).alias("structure"))
+    return sentences(spark, sf_dir, every).select("doc_id", lineage.structure_digest(doc).alias("structure"))
 
 
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, {NORM.format('text')} AS normal FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def normalize_ascii(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(r"text rlike '^[\\x00-\\x7F]*$'").select("doc_id", t.normalize("text").alias("normal"))
+def normalize_ascii(spark, sf_dir, every=False):
+    return texts(spark, sf_dir, "documents", every).select("doc_id", t.normalize("text").alias("normal"))
 
 
-def answer_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").where(r"text rlike '^[\\x00-\\x7F]*$'").select("item_id", t.normalize("text").alias("a"))
+def answer_pairs(spark, sf_dir, every=False):
+    rows = texts(spark, sf_dir, "benchmark", every).select("item_id", t.normalize(F.coalesce("text", F.lit(""))).alias("a"))
     nxt = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
     return rows.join(nxt, "item_id")
 
@@ -341,14 +347,23 @@ PAIRS = f"b AS (SELECT item_id, {NORM.format('text')} AS a FROM benchmark WHERE
 @query(f"""WITH {PAIRS}, ta AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(string_split(a, ' ')) AS w FROM p) WHERE w <> '' GROUP BY 1, 2), tb AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(string_split(b, ' ')) AS w FROM p) WHERE w <> '' GROUP BY 1, 2),
 o AS (SELECT item_id, sum(least(ta.n, tb.n)) AS o FROM ta JOIN tb USING (item_id, w) GROUP BY 1), na AS (SELECT item_id, sum(n) AS n FROM ta GROUP BY 1), nb AS (SELECT item_id, sum(n) AS n FROM tb GROUP BY 1)
 SELECT item_id, round(coalesce(2.0 * o / (na.n + nb.n), 0), 6) AS f1, round(coalesce(o / na.n, 0), 6) AS precision, round(coalesce(o / nb.n, 0), 6) AS recall FROM p LEFT JOIN o USING (item_id) LEFT JOIN na USING (item_id) LEFT JOIN nb USING (item_id)""")
-def token_f1_pairs(spark, sf_dir):
+def token_f1_pairs(spark, sf_dir, every=False):
     s = t.token_prf(F.col("a"), F.array("b"))
-    return answer_pairs(spark, sf_dir).withColumn("s", s).select("item_id", *[F.round(F.col(f"s.{c}"), 6).alias(c) for c in ("f1", "precision", "recall")])
+    return answer_pairs(spark, sf_dir, every).withColumn("s", s).select("item_id", *[F.round(F.col(f"s.{c}"), 6).alias(c) for c in ("f1", "precision", "recall")])
 
 
 @query(f"WITH {PAIRS} SELECT item_id, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS em FROM p")
-def exact_match_pairs(spark, sf_dir):
-    return answer_pairs(spark, sf_dir).select("item_id", t.exact_match(F.col("a"), F.array("b")).alias("em"))
+def exact_match_pairs(spark, sf_dir, every=False):
+    return answer_pairs(spark, sf_dir, every).select("item_id", t.exact_match(F.col("a"), F.array("b")).alias("em"))
+
+
+def every_row(f):
+    return lambda spark, sf_dir: f(spark, sf_dir, every=True)
+
+
+# all rows, which SQL can't fold: no SQL
+for _f, _name in ((sentence_cells, "sentence_cells"), (structure_digest, "structure_digest"), (normalize_ascii, "normalize"), (token_f1_pairs, "token_f1_pairs"), (exact_match_pairs, "exact_match_pairs")):
+    query(name=f"{_name}_all")(every_row(_f))
 
 
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS DOUBLE) AS y, CAST(month(o_orderdate) AS DOUBLE) AS m, CAST(day(o_orderdate) AS DOUBLE) AS d, CASE WHEN o_totalprice >= 1000 AND o_totalprice < 2100 THEN NULL ELSE floor(o_totalprice) END AS price FROM orders")
