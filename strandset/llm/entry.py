@@ -54,16 +54,20 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_repeats(spark: SparkSession, sf_dir: str, whole_lines: bool = False) -> DataFrame:
     from pyspark.sql import functions as F
 
     from strandset.llm.repeats import without_repeats
 
-    found = without_repeats(table(spark, sf_dir, "documents"))
+    found = without_repeats(table(spark, sf_dir, "documents"), whole_lines=whole_lines)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_units", "n_removed", removed.alias("chars_removed"), "text")
 
 
+def op8_repeats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_repeats(spark, sf_dir, whole_lines=True)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandset.llm.token_counts import token_counts
 
@@ -78,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_planes, op2_top_k, op3_main_text, op4_lm_score, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_id_planes, op2_top_k, op3_main_text, op4_lm_score, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op8_repeats_lines, op9_token_counts, op10_toxicity)}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

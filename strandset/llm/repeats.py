@@ -4,7 +4,8 @@ A unit is a stretch up to a line end or sentence end with the marks and white sp
 it up without gaps. Its digest covers its words, lower-cased (A-Z), with single spaces. Digests are grouped over the
 whole corpus; the occurrence that comes first by (id, position) stays. A later occurrence is removed when it stands in
 a run of adjacent later occurrences that holds at least ``run_words`` words, so repeated lines, paragraphs and
-passages inside a line go, while short common sentences stay where they are.
+passages inside a line go, while short common sentences stay where they are. With ``whole_lines`` lines have digests too,
+and a later occurrence of a whole line goes whatever its length.
 
 The first occurrence of a digest is a minimum, combined on the map side; marks come back through an equi join whose hot
 keys adaptive execution splits, so no digest is ever gathered in one task. What one document holds is gathered by
@@ -34,8 +35,17 @@ def units(text: str) -> list[str]:
     return re.findall(UNIT, text)
 
 
-def _digests(rows: DataFrame) -> DataFrame:
-    """(id, tie, digests): one 64-bit digest for each unit, 0 for a unit without words."""
+def lines(parts: list) -> list[tuple[int, int]]:
+    """The units [start, end) of each line."""
+    newline = b"\n" if parts and isinstance(parts[0], bytes) else "\n"
+    ends = [i + 1 for i, u in enumerate(parts) if newline in u]
+    if parts and (not ends or ends[-1] < len(parts)):
+        ends.append(len(parts))
+    return list(zip([0, *ends], ends))
+
+
+def _digests(rows: DataFrame, whole_lines: bool) -> DataFrame:
+    """(id, tie, digests): one 64-bit digest for each unit, 0 for a unit without words, then one for each line."""
 
     def run(batches: Iterator) -> Iterator:
         import re
@@ -48,9 +58,13 @@ def _digests(rows: DataFrame) -> DataFrame:
         for batch in batches:
             flat, ends = [], [0]
             for t in batch.column(2).cast(pa.large_binary()).to_pylist():
-                for u in find(t.lower()) if t else ():
+                parts = find(t.lower()) if t else []
+                for u in parts:
                     ws = u.split()
                     flat.append(digest(b" ".join(ws)) | 1 if ws else 0)
+                for a, b in lines(parts) if whole_lines else ():
+                    ws = b"".join(parts[a:b]).split()
+                    flat.append(digest(b" ".join(ws), seed=1) | 1 if ws else 0)
                 ends.append(len(flat))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "tie", "digests"])
@@ -59,6 +73,17 @@ def _digests(rows: DataFrame) -> DataFrame:
     return rows.select("id", "tie", "text").mapInArrow(run, schema)
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _cut(rows: DataFrame, run_words: int) -> DataFrame:
     """Cuts the runs of later occurrences (positions ``later``) that are long enough."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -78,7 +103,8 @@ def _cut(rows: DataFrame, run_words: int) -> DataFrame:
                 parts = find(text) if text else []
                 gone, n = [], 0
                 if later:
-                    later, runs = sorted(later), []
+                    whole = [p - len(parts) for p in later if p >= len(parts)]
+                    later, runs = sorted(p for p in later if p < len(parts)), []
                     for p in later:
                         if runs and runs[-1][1] == p:
                             runs[-1][1] = p + 1
@@ -87,7 +113,10 @@ def _cut(rows: DataFrame, run_words: int) -> DataFrame:
                     for a, b in runs:
                         if sum(len(u.encode().split()) for u in parts[a:b]) >= run_words:
                             gone.append((a, b))
-                            n += b - a
+                    if whole:
+                        of = lines(parts)
+                        gone = _joined(gone + [of[k] for k in whole])
+                    n = sum(b - a for a, b in gone)
                 kept, cuts, at, pos = [], [], 0, 0
                 for a, b in gone:
                     kept.extend(parts[at:a])
@@ -105,12 +134,12 @@ def _cut(rows: DataFrame, run_words: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), run_words: int = RUN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
     """Rows (id, text, n_units, n_removed, removed, *keep): the text without later occurrences, and the code-point
     spans [start, end) of the original text that went."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("__none")).alias("kept"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    found = _digests(rows.where("text is not null")).select("id", "tie", F.posexplode("digests").alias("pos", "digest")).where("digest != 0")
+    found = _digests(rows.where("text is not null"), whole_lines).select("id", "tie", F.posexplode("digests").alias("pos", "digest")).where("digest != 0")
     place = F.struct("id", "tie", "pos")
     firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     firsts = Scratch(docs.sparkSession, "repeats").keep(firsts, "firsts")  # so that the join below deals both its sides anew and can split hot digests

@@ -56,3 +56,21 @@ def test_empty_table_and_equal_rows(spark):
     assert without_repeats(rows.limit(0)).count() == 0
     got = without_repeats(rows).collect()
     assert sorted(str(r.text) for r in got) == ["None", "a b c. ", "a b c. ", "q"]
+
+
+def test_later_whole_lines_go_whatever_their_length(spark):
+    docs = ["Share this page\nOne text here.\nLast. Word", "Share  this PAGE\nOther. Last.\nShare this page\nOne text here. More", "Last. Word", "\n\nNew.\nNew.\n", "One. Two.\nTwo. One.\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = without_repeats(rows, whole_lines=True).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [docs[0], "Other. Last.\nOne text here. More", "", "\n\nNew.\n", docs[4]]
+    assert [r.n_removed for r in got] == [0, 2, 2, 1, 0]
+    assert [(s.start, s.end) for s in got[1].removed] == [(0, 17), (30, 46)]
+
+
+def test_no_line_stays_twice(spark):
+    r = random.Random(4)
+    stock = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) + r.choice([".\n", "\n", "! b.\n"]) for _ in range(40)]
+    rows = spark.createDataFrame([(i, "".join(r.choice(stock) for _ in range(9))) for i in range(60)], "doc_id long, text string").repartition(3)
+    lines = lambda texts: [" ".join(x.split()) for t in texts for x in t.split("\n") if x.strip()]
+    before, after = lines(x.text for x in rows.collect()), lines(x.text for x in without_repeats(rows, whole_lines=True).collect())
+    assert len(after) == len(set(after)) == len(set(before)) < len(before)
