@@ -297,7 +297,7 @@ def pending_anti_join(spark, sf_dir):
 @query()
 def paired_bootstrap(spark, sf_dir):
     rows = candidates(spark, sf_dir).withColumn("em", (F.col("answer") == t.normalize("nation")).cast("double"))
-    return significance.paired_bootstrap(significance.differences(selection.by_likelihood(rows), selection.by_execution(rows), "em"), order="qid", samples=1000)
+    return significance.paired_bootstrap(significance.differences(selection.by_likelihood(rows), selection.by_execution(rows), "em"), order="qid", samples=5000)
 
 
 # texts

@@ -64,3 +64,7 @@ def test_pairs_of_all_rows(spark, tables):
 
 def test_all_rows_have_no_sql():
     assert not [n for n in ORACLES if n.endswith("_all")]
+
+
+def test_bootstrap_draws_as_often_as_the_reference(spark, sf):
+    assert QUERIES["paired_bootstrap"](spark, sf).first().bootstrap_samples == 5000
