@@ -6,8 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 
@@ -19,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """Folder of this run inside spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a local session) a folder under the temporary directory serves.
+    Where the setting is absent a local session takes a folder under the temporary directory; a cluster has no folder
+    that all its executors see, so there that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
@@ -51,9 +56,10 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
+        """``df`` written and read again; ``by``: columns that make folders, so that a filter on them reads no other."""
         where = f"{self.path}/{name}"
-        df.write.options(**options).parquet(where)
+        df.write.options(**options).partitionBy(*by).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
@@ -65,6 +71,46 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable, encodes: bool = False) -> Callable:
+    """``run`` (for mapInArrow) in a worker that may be reused: what tokenizing tasks before it cached goes first, unless it
+    ``encodes`` itself, and freed memory goes back when it ends."""
+
+    def call(batches: Iterator) -> Iterator:
+        from strandset.llm.tokens import forget
+
+        if not encodes:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return call
+
+
+def arrow_column(run: Callable, kind):
+    """A function of one column from ``run`` (an iterator of Arrow arrays to one of arrays of type ``kind``). Rows stay in the JVM
+    meanwhile: only the column goes to the worker, and only the result comes back."""
+    import pyarrow as pa
+
+    call = lean(run)
+    call.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(call, kind)
+
+
 def binary(column) -> list:
     """Texts of an Arrow column as bytes; null becomes b''."""
     import pyarrow as pa

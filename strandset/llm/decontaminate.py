@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandset.llm.common import Scratch, binary
-from strandset.llm.tokens import slices
+from strandset.llm.common import Scratch, arrow_column, binary
+from strandset.llm.tokens import text_slices
 
 N = 13
 PART = 8 << 20
@@ -114,27 +114,26 @@ class Windows:
 
 
 def _scan(docs: DataFrame, key: str, items: list[tuple[object, bytes]], item_type: T.DataType) -> DataFrame:
+    """(key, n_words, spans, items) of the rows (key, __text)."""
     sent = docs.sparkSession.sparkContext.broadcast(Windows(items))
 
-    def run(batches: Iterator) -> Iterator:
+    def run(columns: Iterator) -> Iterator:
         import pyarrow as pa
 
-        index, kind = sent.value, None
-        for batch in batches:
-            texts, found = binary(batch.column(1)), []
-            for a, b in slices([len(t) for t in texts], 1 << 20):
-                found += index.scan(texts[a:b])
-            span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            kind = pa.int64() if isinstance(item_type, T.LongType) else pa.int32() if isinstance(item_type, T.IntegerType) else pa.string()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([[{"first": a, "end": b} for a, b in f[1]] for f in found], span),
-                 pa.array([f[2] for f in found], pa.list_(kind))],
-                [key, "n_words", "spans", "items"],
-            )
+        index = sent.value
+        span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        kind = pa.int64() if isinstance(item_type, T.LongType) else pa.int32() if isinstance(item_type, T.IntegerType) else pa.string()
+        for column in columns:
+            found = []
+            for _, part in text_slices(column, 1 << 20):
+                found += index.scan(binary(part))
+            arrays = [pa.array([f[0] for f in found], pa.int64()), pa.array([[{"first": a, "end": b} for a, b in f[1]] for f in found], span), pa.array([f[2] for f in found], pa.list_(kind))]
+            yield pa.StructArray.from_arrays(arrays, ["n_words", "spans", "items"])
 
     span_type = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([docs.schema[key], T.StructField("n_words", T.LongType()), T.StructField("spans", span_type), T.StructField("items", T.ArrayType(item_type))])
-    return docs.select(key, "__text").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", span_type), T.StructField("items", T.ArrayType(item_type))])
+    # not deterministic for the optimizer, so that it calls the function once for its three fields
+    return docs.select(key, arrow_column(run, schema).asNondeterministic()("__text").alias("__found")).select(key, "__found.*")
 
 
 def contamination(

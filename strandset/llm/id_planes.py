@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandset.llm.common import Scratch
+from strandset.llm.common import Scratch, lean
 from strandset.llm.tokens import encoder, text_slices, tokenizer_path
 
 MAGIC = b"IDPL1\0\0\0"
@@ -132,7 +132,7 @@ def write_ids(
         [T.StructField("shard", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n_ids", T.LongType()),
          T.StructField("doc_ids", T.ArrayType(docs.schema[id].dataType)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("planes", T.BinaryType())]
     )
-    rows.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(where)
+    rows.mapInArrow(lean(run, encodes=True), schema).write.option("compression", "uncompressed").parquet(where)
 
 
 def read_ids(spark, where: str, id: str = "doc_id", ids: bool = False) -> DataFrame:

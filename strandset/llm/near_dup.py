@@ -25,14 +25,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandset.llm.common import Scratch
+from strandset.llm.common import Scratch, lean
 from strandset.llm.components import components
 from strandset.llm.tokens import text_slices
 
 WORDS, ROWS, BANDS, BITS = 5, 3, 32, 4
 LEAST = 0.55
 WORDS_OF = 2  # 64-bit words that hold one plane of the ROWS * BANDS signature slots
-BLOCK = 2_000_000  # shingles of a bucket's main component, or of its others, in one task
+BLOCK = 2_000_000  # shingles of a bucket's main component, or of its others, in one task, about
+ROWS_OF = 1 << 14  # and rows
 SHARE = 512  # documents confirmed against one copy of their partner
 
 
@@ -130,7 +131,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, planes array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), f"id {kind}, n long, digest binary, bands array<long>, planes array<long>")
 
 
 def alike(a: str, b: str):
@@ -181,46 +182,62 @@ def confirmed(edges: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], kind)], ["a", "b"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return sent.mapInArrow(run, f"a {kind}, b {kind}")
+    return sent.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
-def _buckets(batches: Iterator, columns: int) -> Iterator[list[tuple]]:
-    """The rows of each (key, part) of sorted batches, with the shingle set in place of a last column of texts."""
-    held: list[tuple] = []
+def _buckets(batches: Iterator) -> Iterator:
+    """The rows of each (key, part) of sorted batches as Arrow tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    now = None
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in range(columns)]
-        if batch.num_columns > columns:
-            cols.append([s for _, part in text_slices(batch.column(columns), 4 << 20) for s in shingle_sets(part)])
-        for row in zip(*cols):
-            if held and held[0][:2] != row[:2]:
-                yield held
+        if not batch.num_rows:
+            continue
+        key, part = np.asarray(batch.column(0)), batch.column(1).dictionary_encode()
+        code = np.asarray(part.indices)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            own = (int(key[a]), part.dictionary[int(code[a])].as_py())
+            if own != now and held:
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
-            held.append(row)
+            now = own
+            held.append(batch.slice(a, b - a))
     if held:
-        yield held
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _pairs(rows: list[tuple]) -> Iterator[tuple[int, list[int]]]:
+def _whole(table, name: str):
+    """A column of a bucket as one array."""
+    column = table.column(name)
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+def _pairs(table) -> Iterator[tuple[int, list[int]]]:
     """(i, js): rows of different components in the part that may be linked, each pair in the first band it shares.
 
     A part "m" holds a block of the main component and one of others, which meet; a part "o" one or two blocks of
     others, which meet each other, or themselves where there is one."""
     import numpy as np
+    import pyarrow as pa
 
-    n = np.array([r[6] for r in rows], dtype=np.int64)
-    planes = np.array([r[7] for r in rows], dtype=np.int64).view(np.uint64).reshape(len(rows), BITS, WORDS_OF)
-    bands = np.array([r[9] for r in rows], dtype=np.int64)
-    comp = np.unique(np.array([str(r[4]) for r in rows]), return_inverse=True)[1]
-    main, block = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    meet_main, one = rows[0][1].startswith("m"), len(set(block.tolist())) == 1
+    rows = table.num_rows
+    n, band = np.asarray(_whole(table, "n")), table.column("band")[0].as_py()
+    planes = np.asarray(_whole(table, "planes").flatten()).view(np.uint64).reshape(rows, BITS, WORDS_OF)
+    bands = np.asarray(_whole(table, "bands").flatten()).reshape(rows, BANDS)
+    comp = np.asarray(_whole(table, "component").cast(pa.string()).dictionary_encode().indices)
+    main, block = _whole(table, "main").to_numpy(zero_copy_only=False), np.asarray(_whole(table, "block"))
+    meet_main, one = table.column("part")[0].as_py().startswith("m"), (block == block[0]).all()
     for i in np.flatnonzero(~main).tolist():
-        rest = main if meet_main else (np.arange(len(rows)) > i) & (one | (block != block[i]))
+        rest = main if meet_main else (np.arange(rows) > i) & (one | (block != block[i]))
         at = np.flatnonzero(rest & (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * 75))
         if len(at):
             differ = np.bitwise_count(np.bitwise_or.reduce(planes[at] ^ planes[i], axis=1)).sum(axis=1)
             at = at[((1 - differ / (ROWS * BANDS)) - 2.0**-BITS) / (1 - 2.0**-BITS) >= LEAST]
         if len(at):
-            at = at[(bands[at] == bands[i]).argmax(axis=1) == rows[0][8]]
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
         if len(at):
             yield i, at.tolist()
 
@@ -232,26 +249,16 @@ def taking_part(members: DataFrame) -> DataFrame:
     """The rows of ``members`` (columns OPEN) that are in a pair that may be linked."""
 
     def mark(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        schema = []
-
-        def seen():
-            for b in batches:
-                schema[:] = [b.schema]
-                yield b
-
-        for rows in _buckets(seen(), len(OPEN)):
+        for table in _buckets(batches):
             keep: set[int] = set()
-            for i, js in _pairs(rows):
+            for i, js in _pairs(table):
                 keep.add(i)
                 keep.update(js)
             if keep:
-                cols = list(zip(*(rows[i] for i in sorted(keep))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema[0])], schema=schema[0])
+                yield from table.take(sorted(keep)).to_batches()
 
     rows = members.repartition("key", "part").sortWithinPartitions("key", "part").select(*OPEN)
-    return rows.mapInArrow(mark, rows.schema)
+    return rows.mapInArrow(lean(mark), rows.schema)
 
 
 def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -265,35 +272,30 @@ def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        kinds = []
-
-        def seen():
-            for b in batches:
-                kinds[:] = [b.schema.field("id").type]
-                yield b
-
-        for rows in _buckets(seen(), len(OPEN)):
+        for table in _buckets(batches):
+            ids, of = _whole(table, "id"), _whole(table, "component").to_pylist()
+            sets = [s for _, part in text_slices(_whole(table, "text"), 4 << 20) for s in shingle_sets(part)]
             up: dict = {}
 
-            def root(x):
+            def root(x, up=up):
                 while x in up:
                     x = up[x]
                 return x
 
             out = []
-            for i, js in _pairs(rows):
+            for i, js in _pairs(table):
                 for j in js:
-                    x, y = root(rows[i][4]), root(rows[j][4])
+                    x, y = root(of[i]), root(of[j])
                     if x != y:
-                        s, t = rows[i][-1], rows[j][-1]
+                        s, t = sets[i], sets[j]
                         both = len(np.intersect1d(s, t, assume_unique=True))
                         if 100 * both >= 75 * (len(s) + len(t) - both):
                             up[x] = y
-                            out.append((rows[i][5], rows[j][5]))
+                            out.append((i, j))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[0]) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([ids.take([x[k] for x in out]) for k in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -329,8 +331,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     leads = first.select(F.col("id").alias("lead"), F.col("component").alias("main_component"))
     placed = placed.join(leads, "lead", "left").withColumn("main", F.col("component") == F.coalesce("main_component", "lead"))
     placed = placed.where("m > 2").join(nodes, "id")
-    blocks = lambda what: F.ceil(F.sum(F.when(what, F.col("n")).otherwise(0)) / BLOCK).cast("int")
+    placed = placed.withColumn("weight", F.greatest(F.col("n") / BLOCK, F.lit(1 / ROWS_OF)))
+    blocks = lambda what: F.ceil(F.sum(F.when(what, F.col("weight")).otherwise(0))).cast("int")
     open_keys = placed.groupBy("key").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others")).where("others > 0")
+    open_keys = scratch.keep(open_keys, "open-keys")  # so that the join deals both its sides anew and can split a hot key
     again = placed.select("key", "band", "id", "component", "main", "n", "planes", "bands").join(open_keys, "key")
     again = again.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     each = lambda n, name: F.transform(F.sequence(F.lit(0), F.col(n) - 1), name)

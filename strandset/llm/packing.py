@@ -2,11 +2,11 @@
 
 Each task encodes its documents and packs them by itself, so nothing is shuffled. A document longer than the window is
 first cut into full windows, which are sequences of their own. What remains of it waits in a group of about GROUP
-ids; a group is packed longest first, each piece into the open window with the least room that still takes it. A
+ids and PIECES pieces at most; a group is packed longest first, each piece into the open window with the least room that still takes it. A
 segment tree indexed by remaining room finds that window. Windows that stay more than 1/16 empty are cut at powers of
 two, where a sequence needs no padding.
 
-A task holds the ids of one group and one slice of texts, so its memory is bounded by GROUP beside one long text. A
+A task holds the ids of one group and one slice of texts, so its memory is bounded by GROUP and PIECES beside one long text. A
 lost task packs again to the same result, since its split of the input is the same. Sequence ids carry the task's number in their upper bits.
 
 Null texts count as empty (one piece holding the end id); repeated rows are packed as rows of their own; empty tables
@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandset.llm.common import lean
 from strandset.llm.tokens import encoder, text_slices, tokenizer_path
 
 GROUP = 1 << 22  # ids, 1,024 windows of 4,096
+PIECES = 1 << 16  # pieces that wait at most
 
 
 class RoomTree:
@@ -159,7 +161,7 @@ def pack(
                     if full < n:
                         waiting.append((doc, full, data[4 * full :], n))
                         held += n - full
-                        if held >= GROUP:
+                        if held >= GROUP or len(waiting) >= PIECES:
                             out += flush()
                 if out:
                     yield rows(out)
@@ -169,4 +171,4 @@ def pack(
     long = T.LongType()
     fields = [docs.schema[id]] + [T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * ids)
-    return docs.select(F.col(id), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(id), F.col(text).cast("string").alias("__text")).mapInArrow(lean(run, encodes=True), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandset.llm.common import Scratch
+from strandset.llm.common import Scratch, lean
 
 RUN_WORDS = 20
 UNIT = r"[^.!?\n]+[.!?\x09-\x0D ]*|[.!?\x09-\x0D ]+"
@@ -70,7 +70,7 @@ def _digests(rows: DataFrame, whole_lines: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "tie", "digests"])
 
     schema = T.StructType([rows.schema["id"], rows.schema["tie"], T.StructField("digests", T.ArrayType(T.LongType()))])
-    return rows.select("id", "tie", "text").mapInArrow(run, schema)
+    return rows.select("id", "tie", "text").mapInArrow(lean(run), schema)
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -131,7 +131,7 @@ def _cut(rows: DataFrame, run_words: int) -> DataFrame:
                 keep + [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], spans), pa.array(out[3], pa.string())], [f.name for f in fields]
             )
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(lean(run), T.StructType(fields))
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:

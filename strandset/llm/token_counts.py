@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandset.llm.common import Scratch, binary
+from strandset.llm.common import Scratch, binary, lean
 from strandset.llm.tokens import LONGEST, encoder, slices, text_slices, tokenizer_path
 
 SHARE = 1 << 13
@@ -88,4 +88,4 @@ def token_counts(
     schema = T.StructType(
         [docs.schema[id], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     )
-    return docs.select(F.col(id), F.col(text).cast("string").alias("__text")).mapInArrow(count, schema)
+    return docs.select(F.col(id), F.col(text).cast("string").alias("__text")).mapInArrow(lean(count, encodes=True), schema)

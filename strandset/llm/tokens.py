@@ -13,7 +13,8 @@ from __future__ import annotations
 import os
 
 LONGEST = 64  # bytes of a piece worth keeping
-KEPT = 250_000  # pieces in one generation of a cache
+KEPT = 40 << 20  # bytes in one generation of a cache
+COST = 220  # bytes that a piece takes in it, about
 JOINED = 128
 MARKS = "!#$%&()*+,-./:;=?@]_`}~"
 
@@ -49,6 +50,7 @@ class PieceCache:
         self.fixed: dict = {}
         self.young: dict = {}
         self.old: dict = {}
+        self.size = 0
 
     def _pre_tokens(self, word: str) -> int:
         """Pre-tokens of a piece that is letters with marks after them at most; 0 for any other."""
@@ -91,14 +93,16 @@ class PieceCache:
                     missing.append(i)
                 else:
                     out[i] = young[w] = v
+                    self.size += COST
         for at in range(0, len(missing), 1 << 14):
             part = missing[at : at + (1 << 14)]
             for i, v in zip(part, self.encode([pieces[i] for i in part])):
                 out[i] = v
                 if len(pieces[i]) <= LONGEST:
                     young[pieces[i]] = v
-        if len(young) > KEPT:
-            self.old, self.young = young, {}
+                    self.size += COST
+        if self.size > KEPT:
+            self.old, self.young, self.size = young, {}, 0
         return out
 
     def _pieces(self, column):
@@ -144,6 +148,11 @@ def encoder(path: str, counts: bool = False) -> PieceCache:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Drops the worker's caches."""
+    _ENCODERS.clear()
+
+
 def slices(lengths: list[int], size: int = 8 << 20):
     """Runs of rows of about ``size`` bytes, so that no batch holds more than that beside one long text."""
     start, total = 0, 0

@@ -22,9 +22,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandset.llm.common import Scratch
+from strandset.llm.common import Scratch, arrow_column, lean
 from strandset.llm.tokens import text_slices
 
 SAMPLE = 20_000
@@ -143,7 +142,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                         yield told()
         yield told()
 
-    told = rows.select("text", "label").mapInArrow(run, "what string, toxic long, clean long")
+    told = rows.select("text", "label").mapInArrow(lean(run), "what string, toxic long, clean long")
     return told.groupBy("what").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -291,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             votes = [v for _, part in text_slices(batch.column(0), 1 << 20) for v in own(part)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.list_(pa.int32()))], ["label", "votes"])
 
-    told = rows.select("text", "label").mapInArrow(run, "label int, votes array<int>").collect()
+    told = rows.select("text", "label").mapInArrow(lean(run), "label int, votes array<int>").collect()
     told.sort(key=lambda r: (r.label, r.votes))
     chosen = distinct_voters(told, len(words) + len(PATTERNS))
     place = {v: i for i, v in enumerate(chosen)}
@@ -306,19 +305,17 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 def toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), least: float = 0.3) -> DataFrame:
     """Rows (id, held_out, score, predicted, *keep)."""
 
-    def run(batches: Iterator) -> Iterator:
+    def run(columns: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = Votes(model.words)
-        for batch in batches:
-            score = [s for _, part in text_slices(batch.column(1), 4 << 20) for s in model.scores(own(part))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["kept", "score"])
-
-    kept = F.struct(F.col(id).alias("id"), *[F.col(c) for c in keep]).alias("kept")
-    rows = docs.select(kept, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([rows.schema["kept"], T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(run, schema)
-    held = F.coalesce(F.crc32(F.col("kept.id").cast("string")) % 4 == 2, F.lit(False))
-    return out.select(
-        F.col("kept.id").alias(id), held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *[F.col(f"kept.{c}").alias(c) for c in keep]
+        for column in columns:
+            yield pa.array([s for _, part in text_slices(column, 1 << 20) for s in model.scores(own(part))], pa.float64())
+
+    held = F.coalesce(F.crc32(F.col(id).cast("string")) % 4 == 2, F.lit(False))
+    # not deterministic for the optimizer, so that a filter on the score doesn't call the function again
+    score = arrow_column(run, "double").asNondeterministic()(F.col(text).cast("string"))
+    kept = docs.select(F.struct(F.col(id).alias("id"), held.alias("held"), *[F.col(c) for c in keep]).alias("kept"), score.alias("score"))
+    return kept.select(
+        F.col("kept.id").alias(id), F.col("kept.held").alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *[F.col(f"kept.{c}").alias(c) for c in keep]
     )
