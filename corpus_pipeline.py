@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4,096 ids."""
-    return pack(docs)
+    return pack(docs, ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_dup", near_dup), ("repeats", repeats), ("decontaminate", decontaminate), ("packing", packing)]
