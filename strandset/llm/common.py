@@ -84,6 +84,18 @@ def give_back() -> None:
         pass
 
 
+def keep_freed() -> None:
+    """Lets this worker use freed arrays again without asking the system for cleared pages, until ``give_back``."""
+    import ctypes
+
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # not glibc
+        return
+    mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+    mallopt(-1, 1 << 27)  # M_TRIM_THRESHOLD
+
+
 def lean(run: Callable, encodes: bool = False) -> Callable:
     """``run`` (for mapInArrow) in a worker that may be reused: what tokenizing tasks before it cached goes first, unless it
     ``encodes`` itself, and freed memory goes back when it ends."""

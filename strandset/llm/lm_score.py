@@ -1,31 +1,27 @@
-"""Language-model scores: a causal self-attention model on subword ids, joined with corpus word counts (operator 4).
-
-Words: texts are lower-cased (A-Z) and cut at ASCII white space; each text ends with one end token. Word counts cover
-every training document. Documents are read once into blocks (BLOCK bytes of text): the distinct words of a block in the
-order of their 64-bit hash, their training counts, and each document as places in that list. Blocks send their counts,
-cut by hash range, to buckets; a bucket adds them up and answers each block. So only distinct words of blocks are
-shuffled, a frequent word no more often than there are blocks, and no word table is ever broadcast or collected.
-
-Subwords: the ids that the tokenizer gives for a word. The SYMBOLS - 3 most frequent ids of all training documents are
-symbols of their own, the others share one (and a uniform choice among all ids). The attention model (one causal head,
-residual, tanh layer, softmax by class and member) is trained in numpy. ``steps`` steps on at most ``sample`` documents, those
-with the lowest hash of their id, only give it a start; then every symbol of every training document is a target once.
-Documents are dealt by hash to ROUNDS rounds and to shards of about SHARD symbols; in a round each shard is learned by a
-copy of the model and the copies are averaged by their windows, so that work grows with the corpus and memory does not. Scoring cuts a text into overlapping windows of WINDOW
-symbols; each symbol is scored once, with at least WINDOW - STRIDE symbols before it where the text has them, in batches of
-masked attention.
-
-Topics: TOPICS word distributions, a mixture of unigrams on the frequent words of all training documents (languages, in
-the main), started from the sample and then fitted by a step over all of them. Every training document counts for its likeliest topic, so the corpus has one count a word and topic; within
-a text the share of a topic is its posterior given the words before.
-
-The probability of a word is U times that of its subwords (and of its upper-case non-ASCII letters) plus 1 - U times the
-topics' average of its share of their training tokens; U is the Good-Turing share of unseen words, tokens that occur once over all tokens. The
-corpus part grows sharper with the corpus.
-
-Null and empty texts have the end token alone; without training documents counts are 0 and the subword model alone
-(untrained: uniform by its zero weights) scores; a null id counts as training; repeated rows are scored alike; other columns
-are ignored; empty tables give no rows.
+"""Language-model scores by a causal self-attention model on subword ids (operator 4).
+
+Words: texts are lower-cased (A-Z) and cut at ASCII white space; each text ends with one end token. Documents are read once
+into blocks (BLOCK bytes of text): the distinct words of a block in the order of their 64-bit hash with their training counts
+and their subword ids, and each document as places in that list. Everything after that reads blocks.
+
+Counts: blocks send the counts of their words, cut by hash range, to buckets; a bucket adds them up and answers each
+block. So only distinct words of blocks are shuffled, a frequent word no more often than there are blocks, and no word
+table is ever broadcast or collected. There are as many buckets as make a bucket about BUCKET bytes, whatever the corpus.
+The counts give the base score and n_known, and have no part in ``score``.
+
+Model: one causal head with a residual, a tanh layer and a softmax by class and member, trained in numpy. Its symbols are the
+SYMBOLS - 3 most frequent ids of all training documents; the other ids share one, and stand in it by their own training counts.
+``steps`` steps on a sample (TAKEN symbols of STARTERS blocks at most) give it a start, no more; then every symbol of every
+training document is a target once. Blocks are dealt by hash to ROUNDS rounds; in a round each task learns its blocks with a
+copy of the model, and the copies are averaged by the windows that they learned: work grows with the corpus, memory doesn't.
+
+Scoring cuts a text into windows of WINDOW symbols that overlap by half; a batch of masked attention scores each symbol once,
+in the first window of a text all, in the others the last STRIDE, so a symbol sees WINDOW - STRIDE symbols at least where the
+text has them. ``score`` is the sum of the log10 probabilities of a text's symbols (and of its upper-case non-ASCII
+letters, which the ids don't tell) up to its end.
+
+Null and empty texts have the end token alone; without training documents counts are 0 and the model is uniform; a null id
+counts as training; repeated rows are scored alike; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,18 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandset.llm.common import Scratch, binary, partitions
+from strandset.llm.common import Scratch, keep_freed, lean
 from strandset.llm.tokens import encoder, text_slices, tokenizer_path
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+BUCKET = 8 << 20  # bytes of hashes and counts
+CACHE = 128 << 20  # bytes of one generation of a worker's token cache
 SYMBOLS, MEMBERS = 2048, 43  # symbols; members of a class at most
 BEGIN, END, RARE = 0, 1, 2
 WINDOW, STRIDE, WIDTH = 48, 24, 32
-SAMPLE = 1024
+STARTERS, TAKEN = 16, 1 << 20  # blocks and symbols of the starting sample
 STEPS, BATCH = 800, 128
-ROUNDS, SHARD, RATE = 4, 1 << 20, 0.004  # of the pass over all training documents
+ROUNDS, RATE = 4, 0.006  # of the pass over all training documents
 GROUPS = 16  # partial sums that the driver adds
-TOPICS, FREQUENT = 4, 2000
+SPAN = 1 << 18  # symbols that a task holds at once, beside those of one document
 LOWER = 0.97  # chance that a non-ASCII letter stands in lower case
 END_WORD = b" end"  # holds a space, so no word has its hash
 
@@ -67,68 +65,22 @@ def _numbered(column):
     return told.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(told.indices).astype(np.int64), ends
 
 
-class Topics:
-    """A mixture of unigrams over frequent words; a word outside them says nothing about the topic."""
-
-    def __init__(self, texts: list[list[bytes]], top: list[bytes], seed: int = 7):
-        from collections import Counter
-
-        import numpy as np
-
-        self.number = {w: i for i, w in enumerate(top)}
-        self.logp = np.zeros((len(top) + 1, TOPICS))
-        self.prior = np.full(TOPICS, -np.log(TOPICS))
-        if not top:
-            return
-        x = np.zeros((len(texts), len(top)))
-        for i, t in enumerate(texts):
-            for w, n in Counter(t).items():
-                if (k := self.number.get(w)) is not None:
-                    x[i, k] = n
-        best = -np.inf
-        for r in map(np.random.default_rng, range(seed, seed + 4)):
-            post = r.dirichlet(np.full(TOPICS, 0.3), len(texts))
-            for _ in range(40):
-                p = post.T @ x + 0.05
-                logp = np.log(p / p.sum(axis=1, keepdims=True))
-                prior = np.log((post.sum(axis=0) + 1) / (len(texts) + TOPICS))
-                ll = x @ logp.T + prior
-                most = ll.max(axis=1, keepdims=True)
-                total = most[:, 0] + np.log(np.exp(ll - most).sum(axis=1))
-                post = np.exp(ll - total[:, None])
-            if total.sum() > best:
-                best = total.sum()
-                self.logp[:-1], self.prior = logp.T, prior
-
-    def sums(self, column):
-        """Sums over the texts of an Arrow column, TOPICS by frequent words and documents: what ``refit`` needs."""
-        import numpy as np
-
-        words, at, ends = _numbered(column)
-        number = np.array([self.number.get(w, len(self.number)) for w in words], dtype=np.int64)[at]
-        doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        ll = np.stack([np.bincount(doc, self.logp[number, k], len(ends) - 1) for k in range(TOPICS)], axis=1) + self.prior
-        post = np.exp(ll - ll.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
-        out = np.stack([np.bincount(number, post[doc, k], len(self.number) + 1) for k in range(TOPICS)])
-        out[:, -1] = post.sum(axis=0)
-        return out
-
-    def refit(self, sums) -> None:
-        import numpy as np
+def _case(word: bytes) -> float:
+    """Log-probability of the upper-case non-ASCII letters of a word, which the tokenizer's ids don't tell."""
+    from math import log
 
-        p, docs = sums[:, :-1] + 0.05, sums[:, -1]
-        self.logp[:-1] = np.log(p / p.sum(axis=1, keepdims=True)).T
-        self.prior = np.log((docs + 1) / (docs.sum() + TOPICS))
+    if word.isascii():
+        return 0.0
+    letters = [c for c in word.decode("utf-8", "replace") if not c.isascii() and (c.lower() != c or c.upper() != c)]
+    return sum(log(LOWER if c.lower() == c else 1 - LOWER) for c in letters)
 
-    def evidence(self, words: list[bytes]):
-        """Log-likelihoods (words by topics)."""
-        get, none = self.number.get, len(self.number)
-        return self.logp[[get(w, none) for w in words]]
 
+def blocks(rows: DataFrame, path: str, rounds: int) -> DataFrame:
+    """(block, round, words, ids, held, sizes, places, hashes, counts, parts, lengths, case) of the rows (id, held, text).
 
-def blocks(rows: DataFrame, topics: Topics) -> DataFrame:
-    """(block, ids, held, sizes, places, hashes, counts, words) of the rows (id, held, text)."""
+    ``words``: number of distinct words; ``parts`` and ``lengths``: their ids one after another, and how many each has (the
+    end token and a word that the tokenizer gives no id have one number above all ids each)."""
+    top = encoder(path).ids_in_all
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -136,36 +88,80 @@ def blocks(rows: DataFrame, topics: Topics) -> DataFrame:
         from pyspark import TaskContext
         from xxhash import xxh3_64_intdigest as digest
 
-        k = TaskContext.get().partitionId() << 32
+        own, k = encoder(path), TaskContext.get().partitionId() << 32
+        own.kept = CACHE
+        marks = [np.array([top + i], dtype="<u4").tobytes() for i in range(2)]
         for batch in batches:
             for row, part in text_slices(batch.column(2), BLOCK):
                 words, at, ends = _numbered(part)
                 words.append(END_WORD)
                 h = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
                 order = np.argsort(h, kind="stable")
-                new = np.empty(len(order), dtype=np.int32)
-                new[order] = np.arange(len(order), dtype=np.int32)
-                at = np.insert(new[at], ends[1:], new[-1]).astype(np.int64)
+                new = np.empty(len(order), dtype=np.int64)
+                new[order] = np.arange(len(order))
+                at = np.insert(new[at], ends[1:], new[-1])
                 sizes = np.diff(ends) + 1
                 held = np.array([bool(x) for x in batch.column(1).slice(row, len(part)).to_pylist()])
+                counts = np.bincount(at[np.repeat(~held, sizes)], minlength=len(words)).astype(np.uint32)
                 words = [words[i] for i in order.tolist()]
-                own = np.add.reduceat(topics.evidence(words).astype(np.float32)[at], np.cumsum(sizes) - sizes) + topics.prior
-                topic = np.repeat(own.argmax(axis=1), sizes)[np.repeat(~held, sizes)]
-                counts = np.bincount(at[np.repeat(~held, sizes)] * TOPICS + topic, minlength=len(words) * TOPICS).astype(np.uint32)
+                values = [v or marks[1] for v in own._values(words)]
+                values[new[-1]] = marks[0]
+                lengths = np.fromiter(map(len, values), dtype=np.uint32, count=len(values)) // 4
+                lengths = lengths.astype(np.uint8) if lengths.max() < 256 else lengths
+                case = np.fromiter(map(_case, words), dtype=np.float32, count=len(words))
+                blobs = (
+                    at.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes(), h[order].tobytes(), counts.tobytes(),
+                    np.frombuffer(b"".join(values), dtype="<u4").astype(np.uint16 if top + 2 <= 1 << 16 else np.uint32).tobytes(), lengths.tobytes(), case.tobytes() if case.any() else b"",
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int64()), pa.array([batch.column(0).slice(row, len(part)).to_pylist()], pa.list_(batch.column(0).type)), pa.array([held.tolist()], pa.list_(pa.bool_())),
-                     pa.array([sizes.tolist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (at.astype(np.int32).tobytes(), h[order].tobytes(), counts.tobytes(), b"\n".join(words)))],
-                    ["block", "ids", "held", "sizes", "places", "hashes", "counts", "words"],
+                    [pa.array([k], pa.int64()), pa.array([digest(k.to_bytes(8, "little")) % max(1, rounds)], pa.int32()), pa.array([len(words)], pa.int64()),
+                     pa.array([batch.column(0).slice(row, len(part)).to_pylist()], pa.list_(batch.column(0).type)), pa.array([held.tolist()], pa.list_(pa.bool_())),
+                     pa.array([sizes.tolist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)],
+                    ["block", "round", "words", "ids", "held", "sizes", "places", "hashes", "counts", "parts", "lengths", "case"],
                 )
                 k += 1
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, sizes array<long>, places binary, hashes binary, counts binary, words binary")
+    blobs = ", ".join(f"{x} binary" for x in ("places", "hashes", "counts", "parts", "lengths", "case"))
+    return rows.mapInArrow(lean(run, encodes=True), f"block long, round int, words long, ids array<{kind}>, held array<boolean>, sizes array<long>, {blobs}")
+
+
+class Block:
+    """One row of ``blocks`` as arrays; ``top``: number of the tokenizer's ids."""
+
+    def __init__(self, top: int, sizes, places: bytes, words: int, parts: bytes, lengths: bytes):
+        import numpy as np
+
+        self.lengths = np.frombuffer(lengths, dtype=np.uint8 if len(lengths) == words else np.uint32).astype(np.int64)
+        self.sizes = np.asarray(sizes, dtype=np.int64)
+        self.places = np.frombuffer(places, dtype=np.uint16 if len(self.lengths) <= 1 << 16 else np.uint32)
+        self.ids = np.frombuffer(parts, dtype=np.uint16 if top + 2 <= 1 << 16 else np.uint32)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.edges = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """Documents [first, end) of about SPAN symbols."""
+        import numpy as np
+
+        before, first = np.concatenate([[0], np.cumsum(self.lengths[self.places])])[self.edges], 0
+        while first < len(self.sizes):
+            end = max(first + 1, int(np.searchsorted(before, before[first] + SPAN, side="right")) - 1)
+            yield first, end
+            first = end
+
+    def stream(self, symbols, first: int, end: int):
+        """(symbols of the documents, symbols before each word and their total)."""
+        import numpy as np
+
+        at = self.places[self.edges[first] : self.edges[end]]
+        n = self.lengths[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        return symbols[self.ids[np.repeat(self.starts[at] - before[:-1], n) + np.arange(before[-1])]], before
 
 
 def totals(parts: DataFrame, bits: int) -> DataFrame:
-    """(block, bucket, totals, v, n, once): for each block and hash range the corpus counts of its words; v, n and once
-    (distinct words, tokens, words met once in the range) stand in one row of each range, with a null block."""
+    """(block, bucket, totals, v, n): for each block and hash range the corpus counts of its words; v and n (distinct words and
+    tokens of the range) stand in one row of each range, with a null block."""
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
@@ -174,16 +170,17 @@ def totals(parts: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 h = np.frombuffer(batch.column(1)[r].as_py(), dtype=np.uint64)
-                c = np.frombuffer(batch.column(2)[r].as_py(), dtype=np.uint32).reshape(-1, TOPICS)
-                edge = np.searchsorted(h >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64)).tolist()
-                own = [(b, s, e) for b, (s, e) in enumerate(zip(edge, edge[1:])) if e > s]
+                c = np.frombuffer(batch.column(2)[r].as_py(), dtype=np.uint32)
+                to = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+                edge = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(h)]
+                own = [(int(to[s]), s, e) for s, e in zip(edge, edge[1:]) if e > s]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, *_ in own], pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(own), pa.int64()),
+                    [pa.array([b for b, *_ in own], pa.int64()), pa.array([batch.column(0)[r].as_py()] * len(own), pa.int64()),
                      pa.array([h[s:e].tobytes() for _, s, e in own], pa.binary()), pa.array([c[s:e].tobytes() for _, s, e in own], pa.binary())],
                     ["bucket", "block", "hashes", "counts"],
                 )
 
-    sent = parts.select("block", "hashes", "counts").mapInArrow(cut, "bucket int, block long, hashes binary, counts binary")
+    sent = parts.select("block", "hashes", "counts").mapInArrow(lean(cut), "bucket long, block long, hashes binary, counts binary")
     sent = sent.repartition("bucket").sortWithinPartitions("bucket", "block")
 
     def add(batches: Iterator) -> Iterator:
@@ -191,23 +188,19 @@ def totals(parts: DataFrame, bits: int) -> DataFrame:
         import pyarrow as pa
 
         def answer(bucket, held):
-            h = np.concatenate([x[1] for x in held])
-            distinct, at = np.unique(h, return_inverse=True)
-            total = np.zeros((len(distinct), TOPICS), dtype=np.int64)
-            s = 0
-            for _, x, c in held:  # the hashes of a block are distinct, but for words that share one
-                np.add.at(total, at[s : s + len(x)], c)
-                s += len(x)
+            distinct, at = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
+            total = np.zeros(len(distinct), dtype=np.int64)
+            ends = np.cumsum([0] + [len(x) for _, x, _ in held]).tolist()
+            for (_, _, c), s, e in zip(held, ends, ends[1:]):  # the hashes of a block are distinct, but for words that share one
+                np.add.at(total, at[s:e], c)
             kind = np.uint32 if total.max(initial=0) < 2**32 else np.uint64
-            blobs, s = [], 0
-            for _, x, _ in held:  # the first byte tells the width
-                blobs.append(bytes([kind().itemsize]) + total[at[s : s + len(x)]].astype(kind).tobytes())
-                s += len(x)
-            n, whole = len(held), total.sum(axis=1)
+            told = total[at].astype(kind)  # the first byte tells the width
+            blobs = [bytes([kind().itemsize]) + told[s:e].tobytes() for s, e in zip(ends, ends[1:])]
+            n = len(held)
             return pa.RecordBatch.from_arrays(
-                [pa.array([None] + [x[0] for x in held], pa.int64()), pa.array([bucket] * (n + 1), pa.int32()), pa.array([None, *blobs], pa.binary()),
-                 pa.array([int((whole > 0).sum())] + [0] * n, pa.int64()), pa.array([total.sum(axis=0).tolist()] + [None] * n, pa.list_(pa.int64())), pa.array([int((whole == 1).sum())] + [0] * n, pa.int64())],
-                ["block", "bucket", "totals", "v", "n", "once"],
+                [pa.array([None] + [x[0] for x in held], pa.int64()), pa.array([bucket] * (n + 1), pa.int64()), pa.array([None, *blobs], pa.binary()),
+                 pa.array([int((total > 0).sum())] + [0] * n, pa.int64()), pa.array([int(total.sum())] + [0] * n, pa.int64())],
+                ["block", "bucket", "totals", "v", "n"],
             )
 
         now, held = None, []
@@ -217,131 +210,237 @@ def totals(parts: DataFrame, bits: int) -> DataFrame:
                     yield answer(now, held)
                     held = []
                 now = bucket
-                held.append((block, np.frombuffer(h, dtype=np.uint64), np.frombuffer(c, dtype=np.uint32).reshape(-1, TOPICS)))
+                held.append((block, np.frombuffer(h, dtype=np.uint64), np.frombuffer(c, dtype=np.uint32)))
         if held:
             yield answer(now, held)
 
-    return sent.mapInArrow(add, "block long, bucket int, totals binary, v long, n array<long>, once long")
+    return sent.mapInArrow(lean(add), "block long, bucket long, totals binary, v long, n long")
 
 
 class Attention:
-    """One causal attention head with a residual and a tanh layer over symbols; softmax by class, then by member."""
+    """One causal attention head with a residual and a tanh layer over symbols; softmax by class, then by member.
+
+    All weights lie in one array, ``flat``; ``w`` has them by name."""
 
     def __init__(self, seed: int = 7, zero: bool = False):
         import numpy as np
 
-        r, d = np.random.default_rng(seed), WIDTH
-        self.classes = -(-SYMBOLS // MEMBERS)
-        shape = {
-            "emb": (SYMBOLS, d), "pos": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "h": (d, d), "hb": (d,), "c": (d, self.classes), "cb": (self.classes,),
-            "m": (self.classes, d, MEMBERS), "mb": (self.classes, MEMBERS),
-        }
-        scale = {"emb": 0.3, "pos": 0.05, "cb": 0, "mb": 0, "hb": 0}
-        self.w = {n: (r.normal(0, scale.get(n, d**-0.5), s) * (not zero)).astype(np.float32) for n, s in shape.items()}
+        r, d, self.classes = np.random.default_rng(seed), WIDTH, -(-SYMBOLS // MEMBERS)
+        self.flat = np.zeros(sum(int(np.prod(s)) for s in self.shapes().values()), dtype=np.float32)
+        self._name()
+        if not zero:
+            scale = {"emb": 0.3, "pos": 0.05, "cb": 0, "mb": 0, "hb": 0}
+            for n, x in self.w.items():
+                x[:] = r.normal(0, scale.get(n, d**-0.5), x.shape)
         self.w["mb"][-1, SYMBOLS - MEMBERS * (self.classes - 1) :] = -1e9  # places without a symbol
+
+    def shapes(self) -> dict[str, tuple]:
+        d, c = WIDTH, -(-SYMBOLS // MEMBERS)
+        return {"emb": (SYMBOLS, d), "pos": (WINDOW, d), "qkv": (d, 3 * d), "h": (d, d), "hb": (d,), "c": (d, c), "cb": (c,), "m": (c, d, MEMBERS), "mb": (c, MEMBERS)}
+
+    def views(self, flat) -> dict:
+        out, at = {}, 0
+        for name, shape in self.shapes().items():
+            size = 1
+            for s in shape:
+                size *= s
+            out[name] = flat[at : at + size].reshape(shape)
+            at += size
+        return out
+
+    def _name(self) -> None:
+        import numpy as np
+
+        self.w = self.views(self.flat)
         self.mask = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
-    def hidden(self, x):
+    def __getstate__(self):
+        return self.classes, self.flat
+
+    def __setstate__(self, state):
+        self.classes, self.flat = state
+        self.flat = self.flat.copy()
+        self._name()
+
+    def _attended(self, e, rows: int):
+        """(queries, keys, values, attention, what the last ``rows`` places take from the places before and theirs)."""
+        import numpy as np
+
+        b, t, d = e.shape
+        qkv = self.w["qkv"]
+        kv = (e.reshape(b * t, d) @ qkv[:, d:]).reshape(b, t, 2 * d)
+        q = (np.ascontiguousarray(e[:, t - rows :]).reshape(b * rows, d) @ (qkv[:, :d] * np.float32(d**-0.5))).reshape(b, rows, d)
+        a = q @ kv[..., :d].transpose(0, 2, 1)
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a *= self.mask[t - rows : t, :t]
+        a /= (a @ np.ones(t, dtype=a.dtype))[..., None]
+        return q, kv[..., :d], kv[..., d:], a, a @ kv[..., d:]
+
+    def hidden(self, x, rows: int | None = None):
+        """Hidden values at the last ``rows`` places (all, if not given) of the windows x."""
+        import numpy as np
+
+        b, t = x.shape
+        rows = rows or t
+        e = self.w["emb"][x] + self.w["pos"][:t]
+        u = self._attended(e, rows)[-1]
+        u += e[:, t - rows :]
+        out = u.reshape(b * rows, WIDTH) @ self.w["h"]
+        out += self.w["hb"]
+        return np.tanh(out, out=out).reshape(b, rows, WIDTH)
+
+    def _bound(self) -> float:
+        """No logit is larger, since hidden values lie in [-1, 1]."""
         import numpy as np
 
         w = self.w
-        size = x.shape[1]
-        e = w["emb"][x] + w["pos"][:size]
-        q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
-        a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-        np.exp(np.minimum(a, 60, out=a), out=a)
-        a *= self.mask[:size, :size]
-        a /= (a @ np.ones(size, dtype=a.dtype))[..., None]
-        r = a @ v
-        u = e + r @ w["o"]
-        return np.tanh(u @ w["h"] + w["hb"]), (e, q, k, v, a, r, u)
+        return max(float(np.abs(w["c"]).sum(axis=0).max() + w["cb"].max()), float((np.abs(w["m"]).sum(axis=1) + np.maximum(w["mb"], 0)).max()))
 
-    def logprob(self, hidden, target):
-        """Natural log-probabilities of the targets given the rows of ``hidden``."""
+    @staticmethod
+    def _exp(z, bound: float):
+        """exp(z) in place, less its row's largest value where logits may be large; what was taken away."""
         import numpy as np
 
-        def soft(z, at):
-            chosen = z[np.arange(len(z)), at]
-            if bound > 80:
-                top = z.max(axis=1)
-                chosen = chosen - top
-                z -= top[:, None]
-            np.exp(z, out=z)
-            return chosen - np.log(z @ np.ones(z.shape[1], dtype=z.dtype))
-
-        # hidden values lie in [-1, 1], so that logits are bounded and most often need no shift
-        bound = max(float(np.abs(self.w["c"]).sum(axis=0).max() + self.w["cb"].max()), float((np.abs(self.w["m"]).sum(axis=1) + np.maximum(self.w["mb"], 0)).max()))
-        cls, member = target // MEMBERS, target % MEMBERS
-        out = np.empty(len(hidden), dtype=hidden.dtype)
-        for a in range(0, len(hidden), 4096):
-            z = hidden[a : a + 4096] @ self.w["c"]
-            z += self.w["cb"]
-            out[a : a + 4096] = soft(z, cls[a : a + 4096])
+        top = 0.0
+        if bound > 80:
+            top = z.max(axis=1)
+            z -= top[:, None]
+        np.exp(z, out=z)
+        return top
+
+    def _members(self, hidden, target):
+        """Rows by class: (order, edges of the classes, hidden values in order, member logits in order, members in order)."""
+        import numpy as np
+
+        cls = (target // MEMBERS).astype(np.uint16)
         order = np.argsort(cls, kind="stable")
         edge = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        sorted_hidden = hidden[order]
+        z = np.empty((len(target), MEMBERS), dtype=hidden.dtype)
         for c in range(self.classes):
-            at = order[edge[c] : edge[c + 1]]
-            if len(at):
-                z = hidden[at] @ self.w["m"][c]
-                z += self.w["mb"][c]
-                out[at] += soft(z, member[at])
+            if edge[c] < edge[c + 1]:
+                part = slice(edge[c], edge[c + 1])
+                np.matmul(sorted_hidden[part], self.w["m"][c], out=z[part])
+                z[part] += self.w["mb"][c]
+        return order, edge, sorted_hidden, z, (target % MEMBERS)[order]
+
+    def logprob(self, hidden, target):
+        """Natural log-probabilities of the targets given the rows of ``hidden``."""
+        import numpy as np
+
+        bound, out = self._bound(), np.empty(len(hidden), dtype=hidden.dtype)
+        for a in range(0, len(hidden), 1 << 14):
+            h, y = hidden[a : a + (1 << 14)], target[a : a + (1 << 14)]
+            lane = np.arange(len(h))
+            z = h @ self.w["c"]
+            z += self.w["cb"]
+            chosen = z[lane, y // MEMBERS]
+            top = self._exp(z, bound)
+            own = chosen - top - np.log(z @ np.ones(z.shape[1], dtype=z.dtype))
+            order, _, _, z, member = self._members(h, y)
+            chosen = z[lane, member]
+            top = self._exp(z, bound)
+            own[order] += chosen - top - np.log(z @ np.ones(MEMBERS, dtype=z.dtype))
+            out[a : a + (1 << 14)] = own
         return out
 
-    def step(self, x, y, moments, t, rate):
-        """One Adam step on windows x with targets y; returns the mean loss."""
+    def gradient(self, x, y, g: dict) -> float:
+        """Mean loss on windows x with targets y; its gradient goes into ``g``."""
         import numpy as np
 
-        w, g = self.w, {}
-        h, (e, q, k, v, a, r, u) = self.hidden(x)
-        n = x.size
-        hf, yf = h.reshape(n, WIDTH), y.reshape(n)
-        cls, member = yf // MEMBERS, yf % MEMBERS
-        z = hf @ w["c"] + w["cb"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        loss = -np.log(z[np.arange(n), cls] + 1e-30).sum()
-        z[np.arange(n), cls] -= 1
-        z /= n
-        g["c"], g["cb"] = hf.T @ z, z.sum(axis=0)
+        w, (b, t), d, n = self.w, x.shape, WIDTH, x.size
+        xf, yf, lane = x.reshape(n), y.reshape(n), np.arange(n)
+        e = w["emb"][x] + w["pos"][:t]
+        q, k, v, a, r = self._attended(e, t)
+        ef, uf = e.reshape(n, d), r.reshape(n, d)
+        uf = uf + ef
+        h = uf @ w["h"]
+        h += w["hb"]
+        np.tanh(h, out=h)
+        bound = self._bound()
+
+        def soft(z, at):
+            self._exp(z, bound)
+            z /= (z @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
+            loss = -np.log(z[lane, at] + 1e-30).sum()
+            z[lane, at] -= 1
+            z *= z.dtype.type(1 / n)
+            return loss
+
+        z = h @ w["c"]
+        z += w["cb"]
+        loss = soft(z, yf // MEMBERS)
+        np.matmul(h.T, z, out=g["c"])
+        g["cb"][:] = z.sum(axis=0)
         dh = z @ w["c"].T
-        g["m"], g["mb"] = np.zeros_like(w["m"]), np.zeros_like(w["mb"])
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        order, edge, hs, z, member = self._members(h, yf)
+        loss += soft(z, member)
+        g["m"][:] = 0
+        g["mb"][:] = 0
+        back = np.empty_like(hs)
         for c in range(self.classes):
-            at = order[edge[c] : edge[c + 1]]
-            if len(at):
-                z = hf[at] @ w["m"][c] + w["mb"][c]
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                z /= z.sum(axis=1, keepdims=True)
-                loss -= np.log(z[np.arange(len(at)), member[at]] + 1e-30).sum()
-                z[np.arange(len(at)), member[at]] -= 1
-                z /= n
-                g["m"][c], g["mb"][c] = hf[at].T @ z, z.sum(axis=0)
-                dh[at] += z @ w["m"][c].T
-        du = (dh * (1 - hf * hf)).reshape(h.shape)
-        flat = lambda z: z.reshape(n, WIDTH)
-        g["h"], g["hb"] = flat(u).T @ flat(du), flat(du).sum(axis=0)
-        du = du @ w["h"].T
-        g["o"] = flat(r).T @ flat(du)
-        dr, de = du @ w["o"].T, du.copy()
-        da, dv = dr @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dr
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(e).T @ flat(d)
-            de += d @ w[name].T
-        g["pos"] = np.zeros_like(w["pos"])
-        g["pos"][: x.shape[1]] = de.sum(axis=0)
-        g["emb"] = np.zeros_like(w["emb"])
-        np.add.at(g["emb"], x.reshape(n), flat(de))
-        for name, d in g.items():
-            m1, m2 = moments.setdefault(name, [np.zeros_like(d), np.zeros_like(d)])
-            m1 += 0.1 * (d - m1)
-            m2 += 0.01 * (d * d - m2)
-            w[name] -= (rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            if edge[c] < edge[c + 1]:
+                part = slice(edge[c], edge[c + 1])
+                np.matmul(hs[part].T, z[part], out=g["m"][c])
+                g["mb"][c] = z[part].sum(axis=0)
+                np.matmul(z[part], w["m"][c].T, out=back[part])
+        dh[order] += back
+        dh *= 1 - h * h
+        np.matmul(uf.T, dh, out=g["h"])
+        g["hb"][:] = dh.sum(axis=0)
+        de = dh @ w["h"].T
+        dr = de.reshape(b, t, d)
+        da = dr @ v.transpose(0, 2, 1)
+        da -= np.einsum("bij,bij->bi", da, a)[..., None]
+        da *= a
+        dp = np.empty((b, t, 3 * d), dtype=e.dtype)
+        dp[..., :d] = da @ k
+        dp[..., :d] *= e.dtype.type(d**-0.5)
+        dp[..., d : 2 * d] = da.transpose(0, 2, 1) @ q  # q holds the scale
+        dp[..., 2 * d :] = a.transpose(0, 2, 1) @ dr
+        dp = dp.reshape(n, 3 * d)
+        np.matmul(ef.T, dp, out=g["qkv"])
+        de += dp @ w["qkv"].T
+        g["pos"][:] = 0
+        g["pos"][:t] = de.reshape(b, t, d).sum(axis=0)
+        order = np.argsort(xf.astype(np.uint16), kind="stable")
+        first = np.flatnonzero(np.diff(xf[order], prepend=-1))
+        g["emb"][:] = 0
+        g["emb"][xf[order[first]]] = np.add.reduceat(de[order], first, axis=0)
         return float(loss / n)
 
 
+class Adam:
+    """Steps on all weights of a model."""
+
+    def __init__(self, model: Attention):
+        import numpy as np
+
+        self.model, self.t = model, 0
+        self.g, self.m1, self.m2 = (np.zeros_like(model.flat) for _ in range(3))
+        self.named = model.views(self.g)
+
+    def step(self, x, y, rate: float) -> float:
+        import numpy as np
+
+        loss = self.model.gradient(x, y, self.named)
+        self.t += 1
+        g, m1, m2 = self.g, self.m1, self.m2
+        m1 += np.float32(0.1) * (g - m1)
+        np.square(g, out=g)
+        g -= m2
+        g *= np.float32(0.01)
+        m2 += g
+        np.multiply(m2, np.float32(1 / (1 - 0.99**self.t)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(m1, g, out=g)
+        g *= np.float32(rate / (1 - 0.9**self.t))
+        self.model.flat -= g
+        return loss
+
+
 def train(streams: list, steps: int = STEPS, seed: int = 7, counts=None) -> Attention:
     """A model of the symbol streams (each without BEGIN, with END); ``counts``: of each symbol in the corpus."""
     import numpy as np
@@ -350,38 +449,38 @@ def train(streams: list, steps: int = STEPS, seed: int = 7, counts=None) -> Atte
     if not streams:
         return model
     r = np.random.default_rng(seed)
-    whole = np.concatenate([np.concatenate([[BEGIN], s]) for s in streams])
+    whole = np.concatenate([x for s in streams for x in ([BEGIN], s)])
     whole = np.concatenate([whole, np.full(WINDOW + 1, END)]).astype(np.int64)
     freq = np.bincount(whole, minlength=model.classes * MEMBERS).astype(np.float64) + 0.1
     if counts is not None:
         freq[:SYMBOLS] = counts + 0.1
     freq[SYMBOLS:] = 0
     by = freq.reshape(model.classes, MEMBERS)
-    model.w["cb"] = np.log(by.sum(axis=1)).astype(np.float32)
-    model.w["mb"] = np.where(by > 0, np.log(np.maximum(by, 1e-9)), -1e9).astype(np.float32)
-    moments: dict = {}
+    model.w["cb"][:] = np.log(by.sum(axis=1))
+    model.w["mb"][:] = np.where(by > 0, np.log(np.maximum(by, 1e-9)), -1e9)
+    model.w["cb"][:] -= model.w["cb"].max()
+    model.w["mb"][:] = np.maximum(model.w["mb"] - model.w["mb"].max(axis=1, keepdims=True), -1e9)
+    own = Adam(model)
     for t in range(1, steps + 1):
         at = r.integers(0, len(whole) - WINDOW, BATCH)[:, None] + np.arange(WINDOW)
-        model.step(whole[at], whole[at + 1], moments, t, 0.02 * min(1.0, t / 20) * (1 - t / (steps + 1)) ** 0.5)
+        own.step(whole[at], whole[at + 1], 0.02 * min(1.0, t / 20) * (1 - t / (steps + 1)) ** 0.5)
     return model
 
 
-def learn_once(model: Attention, streams: list, moments: dict, t: int, rate: float, seed: int) -> tuple[int, int]:
-    """Trains on every symbol of the streams once; returns the step reached and the windows learned."""
+def learn_once(own: Adam, stream, rate: float, seed: int) -> int:
+    """Trains on every symbol of the stream (documents with BEGIN and END) once; returns the windows learned."""
     import numpy as np
 
-    whole = np.concatenate([x for s in streams for x in ([BEGIN], s)]).astype(np.int64)
-    size = min(WINDOW, len(whole) - 1)
-    first = np.minimum(np.arange(0, len(whole) - 1, size), len(whole) - 1 - size)
+    size = min(WINDOW, len(stream) - 1)
+    first = np.minimum(np.arange(0, len(stream) - 1, size), len(stream) - 1 - size)
     first = np.random.default_rng(seed).permutation(first)
     for a in range(0, len(first), BATCH):
-        t += 1
         at = first[a : a + BATCH, None] + np.arange(size)
-        model.step(whole[at], whole[at + 1], moments, t, rate * min(1.0, t / 20))
-    return t, len(first)
+        own.step(stream[at], stream[at + 1], rate * min(1.0, (own.t + 1) / 20))
+    return len(first)
 
 
-def _added(rows: DataFrame, kind: str):
+def _added(rows: DataFrame):
     """Sum of the blobs of the rows (part, blob) as one array, added by groups of parts in order; None without rows."""
     import numpy as np
 
@@ -391,71 +490,64 @@ def _added(rows: DataFrame, kind: str):
         total = None
         for batch in batches:
             for b in batch.column(1):
-                x = np.frombuffer(b.as_py(), dtype=kind)
-                total = x.astype(np.float64) if total is None else total + x
+                x = np.frombuffer(b.as_py(), dtype="f8")
+                total = x.copy() if total is None else total + x
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "blob"])
 
     from pyspark import TaskContext
 
     dealt = rows.withColumn("group", F.pmod("part", F.lit(GROUPS))).repartition(GROUPS, "group").sortWithinPartitions("part").drop("group")
-    found = sorted((r.part, r.blob) for r in dealt.mapInArrow(run, "part long, blob binary").collect())
+    found = sorted((r.part, r.blob) for r in dealt.mapInArrow(lean(run), "part long, blob binary").collect())
     return sum(np.frombuffer(b, dtype=np.float64) for _, b in found) if found else None
 
 
-def learn(texts: DataFrame, model: Attention, symbols, kind: str, shards: int, rounds: int = ROUNDS) -> Attention:
-    """Passes the model once over the rows (h, ids) of all training documents."""
+def _training(block: Block, held: list, symbols) -> Iterator:
+    """The training documents of a block as streams of BEGIN, symbols and END, about SPAN symbols each time."""
+    import numpy as np
+
+    held = np.array(held, dtype=bool)
+    for first, end in block.spans():
+        stream, before = block.stream(symbols, first, end)
+        ends = before[block.edges[first : end + 1] - block.edges[first]]
+        keep = ~held[first:end]
+        if keep.any():
+            kept = np.repeat(keep, np.diff(ends))
+            lengths = np.diff(ends)[keep]
+            yield np.insert(stream[kept], np.cumsum(lengths) - lengths, BEGIN).astype(np.int64)
+
+
+def learn(parts: DataFrame, model: Attention, symbols, top: int, rounds: int = ROUNDS) -> Attention:
+    """Passes the model once over all training documents of the blocks."""
     import numpy as np
 
-    names = sorted(model.w)
     for k in range(rounds):
-        sent = texts.sparkSession.sparkContext.broadcast((model, symbols))
+        sent = parts.sparkSession.sparkContext.broadcast((model, symbols))
         rate = RATE * (1 - k / rounds)
-        own = texts.where(F.pmod("h", F.lit(rounds)) == k).withColumn("shard", F.pmod(F.shiftrightunsigned("h", 20), F.lit(shards)))
 
-        def run(batches: Iterator, sent=sent, rate=rate, k=k) -> Iterator:
+        def run(batches: Iterator, sent=sent, rate=rate) -> Iterator:
             import copy
 
             import pyarrow as pa
 
+            keep_freed()
             start, symbols = sent.value
-            now, held, size, state = None, [], 0, None
-
-            def flush():
-                nonlocal held, size
-                if held:
-                    state[2], n = learn_once(state[0], held, state[1], state[2], rate, (now << 8) + k)
-                    state[3] += n
-                held, size = [], 0
-
-            def told():
-                flush()
-                blob = np.concatenate([state[0].w[x].ravel().astype(np.float64) for x in names] + [np.ones(1)]) * state[3]
-                return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([blob.tobytes()], pa.binary())], ["part", "blob"])
-
+            own, n, least = Adam(copy.deepcopy(start)), 0, None
             for batch in batches:
-                for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if shard != now:
-                        if state:
-                            yield told()
-                        now, state = shard, [copy.deepcopy(start), {}, 0, 0]
-                    held.append(np.append(symbols[np.frombuffer(ids.as_py(), dtype=kind)], END))
-                    size += len(held[-1])
-                    if size >= 2 * SHARD:
-                        flush()
-            if state:
-                yield told()
-
-        parts = own.repartition("shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids").mapInArrow(run, "part long, blob binary")
-        total = _added(parts, "f8")
+                for row in range(batch.num_rows):
+                    number, held, *rest = (batch.column(c)[row].as_py() for c in range(7))
+                    least = number if least is None else min(least, number)
+                    for i, stream in enumerate(_training(Block(top, *rest), held, symbols)):
+                        n += learn_once(own, stream, rate, (number << 8) + i)
+            if n:
+                blob = np.append(own.model.flat.astype(np.float64), 1.0) * n
+                yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([blob.tobytes()], pa.binary())], ["part", "blob"])
+
+        own = parts.where(F.col("round") == k).select("block", "held", "sizes", "places", "words", "parts", "lengths")
+        total = _added(own.mapInArrow(lean(run), "part long, blob binary"))
         sent.unpersist()
-        if total is None:
-            continue
-        mean, at = total[:-1] / total[-1], 0
-        for x in names:
-            shape = model.w[x].shape
-            model.w[x] = mean[at : at + model.w[x].size].reshape(shape).astype(np.float32)
-            at += model.w[x].size
+        if total is not None:
+            model.flat[:] = total[:-1] / total[-1]
     return model
 
 
@@ -467,217 +559,142 @@ def score_streams(model: Attention, stream, ends):
     windows = np.maximum(1, -(-(lengths - (WINDOW - STRIDE)) // STRIDE))
     doc = np.repeat(np.arange(len(lengths)), windows)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-    first = ends[:-1][doc] + nth * STRIDE
     given = np.concatenate([[BEGIN], stream[:-1]])
     given[ends[:-1][lengths > 0]] = BEGIN
     out = np.zeros(len(stream))
-    lane = np.arange(WINDOW)
-    hidden, places, size = [], [], 0
-    for a in range(0, len(doc), 256):
-        at = first[a : a + 256, None] + lane
-        valid = at < ends[1:][doc[a : a + 256]][:, None]
-        scored = valid & ((nth[a : a + 256, None] == 0) | (lane >= WINDOW - STRIDE))
-        h, _ = model.hidden(given[np.where(valid, at, 0)])
-        hidden.append(h[scored])
-        places.append(at[scored])
-        size += len(places[-1])
-        if size >= 1 << 16 or a + 256 >= len(doc):
-            where = np.concatenate(places)
-            out[where] = model.logprob(np.concatenate(hidden), stream[where])
-            hidden, places, size = [], [], 0
+    for rows, own in ((WINDOW, np.flatnonzero(nth == 0)), (STRIDE, np.flatnonzero(nth > 0))):
+        for a in range(0, len(own), 512):
+            which = own[a : a + 512]
+            at = (ends[:-1][doc[which]] + nth[which] * STRIDE)[:, None] + np.arange(WINDOW)
+            stop = ends[1:][doc[which]][:, None]
+            here = at[:, WINDOW - rows :]
+            there = here < stop
+            hidden = model.hidden(given[np.minimum(at, stop - 1)], rows)[there]
+            out[here[there]] = model.logprob(hidden, stream[here[there]])
     return out
 
 
-def _case(word: bytes) -> float:
-    """Log-probability of the upper-case non-ASCII letters of a word, which the tokenizer's ids don't tell."""
-    from math import log
-
-    if word.isascii():
-        return 0.0
-    letters = [c for c in word.decode("utf-8", "replace") if not c.isascii() and (c.lower() != c or c.upper() != c)]
-    return sum(log(LOWER if c.lower() == c else 1 - LOWER) for c in letters)
-
-
-class Subwords:
-    def __init__(self, path: str, symbols):
-        self.path, self.symbols = path, symbols  # symbol of each id
-
-    def of(self, words: list[bytes]):
-        """(symbols, symbols before each word and their total, log-probability of what symbols leave open)."""
-        import numpy as np
-
-        values = encoder(self.path)._values(words)
-        rare = np.array([len(self.symbols)], dtype="<u4").tobytes()
-        values = [v or rare for v in values]
-        ids = np.frombuffer(b"".join(values), dtype="<u4")
-        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        symbols = np.concatenate([self.symbols, [RARE]])[ids]
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        rare = np.concatenate([[0], np.cumsum(symbols == RARE)])
-        left = np.fromiter(map(_case, words), dtype=float, count=len(words)) - np.log(len(self.symbols)) * (rare[starts[1:]] - rare[starts[:-1]])
-        return symbols, starts, left
-
+class Symbols:
+    """What ids stand for: ``symbol`` by id, and ``left``, the log-probability of the id given its symbol."""
 
-def frequent_words(rows: DataFrame) -> list[bytes]:
-    """The FREQUENT most frequent words of all texts."""
-
-    def run(batches: Iterator) -> Iterator:
+    def __init__(self, counts):
+        """``counts``: training counts of all ids, then of the end token and of words without ids."""
         import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for _, part in text_slices(batch.column(0)):
-                words, at, _ = _numbered(part)
-                n = np.bincount(at, minlength=len(words))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-    found = rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in found.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+        top = np.argsort(-counts[:-2], kind="stable")[: SYMBOLS - 3]
+        self.symbol = np.full(len(counts), RARE, dtype=np.uint16)
+        self.symbol[top] = np.arange(len(top)) + 3
+        self.symbol[-2] = END
+        rare = self.symbol == RARE
+        self.left = np.where(rare, np.log((counts + 1) / max(1, (counts[rare] + 1).sum())), 0.0)
+        self.counts = np.bincount(self.symbol, counts, minlength=SYMBOLS)
+        self.counts[BEGIN] = self.counts[END]
 
 
-def fit(rows: DataFrame, path: str, sample: int = SAMPLE, steps: int = STEPS, rounds: int = ROUNDS) -> tuple[Attention, Subwords, Topics]:
-    """The subword model and the topics from all training rows (id, held, text), started from ``sample`` of them."""
+def fit(parts: DataFrame, top: int, steps: int = STEPS, rounds: int = ROUNDS) -> tuple[Attention, Symbols]:
+    """The model and its symbols from all training documents of the blocks."""
     import numpy as np
 
-    scratch = Scratch(rows.sparkSession, "lm-fit")
-    every = rows.where("not held")
-    some = every.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample)
-    size = max(encoder(path).tokenizer.get_vocab().values()) + 1
-    kind = "<u2" if size <= 1 << 16 else "<u4"
-
-    def encode(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        own = encoder(path)
-        for batch in batches:
-            for row, part in text_slices(batch.column(1)):
-                ids, ends = own.ids(part)
-                ids = ids.astype(kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["h", "ids"])
-
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(size + 1, dtype=np.int64)  # the last place: documents
+        total = np.zeros(top + 2)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_py(), dtype=kind), minlength=size + 1)
-            total[-1] += batch.num_rows
+            for row in range(batch.num_rows):
+                counts, words, ids, lengths = (batch.column(c)[row].as_py() for c in range(4))
+                block = Block(top, [], b"", words, ids, lengths)
+                total += np.bincount(block.ids, np.repeat(np.frombuffer(counts, dtype=np.uint32), block.lengths), minlength=top + 2)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["symbol", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64))], ["number", "n"])
+
+    counts = np.zeros(top + 2)
+    for r in parts.select("counts", "words", "parts", "lengths").mapInArrow(lean(count), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect():
+        counts[r.number] = r.n
+    symbols = Symbols(counts)
+
+    chosen = [r.block for r in parts.where("exists(held, x -> not x)").select("block").orderBy(F.xxhash64("block")).limit(STARTERS).collect()]
+    each = TAKEN // max(1, len(chosen))
 
-    def shares(batches: Iterator) -> Iterator:
+    def starters(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        topics, total = sent.value, None
         for batch in batches:
-            for _, part in text_slices(batch.column(0)):
-                x = topics.sums(part)
-                total = x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "blob"])
-
-    texts = scratch.keep(every.select(F.xxhash64("id", "text").alias("h"), "text").mapInArrow(encode, "h long, ids binary"), "ids", compression="zstd")
-    counts = np.zeros(size + 1, dtype=np.int64)
-    for r in texts.select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
-        counts[r.symbol] = r.n
-    counts, n = counts[:-1], int(counts[-1])
-    top = np.argsort(-counts, kind="stable")[: SYMBOLS - 3]
-    symbols = np.full(size, RARE, dtype=np.int64)
-    symbols[top] = np.arange(len(top)) + 3
-    of = np.bincount(symbols, counts, minlength=SYMBOLS)
-    of[[BEGIN, END]] = n
-
-    taken = scratch.keep(some.select(F.xxhash64("id", "text").alias("h"), "text"), "texts")
-    streams = [np.append(symbols[np.frombuffer(r.ids, dtype=kind)], END) for r in taken.mapInArrow(encode, "h long, ids binary").orderBy("h", "ids").collect()]
-    model = train(streams, steps, counts=of)
-    if n:
-        model = learn(texts, model, symbols, kind, max(1, -(-int(counts.sum()) // max(1, rounds * SHARD))), rounds)
-    sampled = sorted(bytes(r.text.encode()) if r.text else b"" for r in taken.select("text").collect())
-    topics = Topics([t.lower().split() for t in sampled], frequent_words(every))
-    if topics.number:
-        sent = rows.sparkSession.sparkContext.broadcast(topics)
-        topics.refit(_added(every.select("text").mapInArrow(shares, "part long, blob binary"), "f8").reshape(TOPICS, -1))
-    scratch.drop("ids", "texts")
-    return model, Subwords(path, symbols), topics
-
-
-def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
+            for row in range(batch.num_rows):
+                number, held, *rest = (batch.column(c)[row].as_py() for c in range(7))
+                left = each
+                for i, some in enumerate(_training(Block(top, *rest), held, symbols.symbol)):
+                    some = some[1 : left + 1].astype("<u2")
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([i], pa.int64()), pa.array([some.tobytes()], pa.binary())], ["block", "at", "stream"])
+                    left -= len(some)
+                    if left <= 0:
+                        break
+
+    some = parts.where(F.col("block").isin(chosen)).select("block", "held", "sizes", "places", "words", "parts", "lengths")
+    streams = [np.frombuffer(r.stream, dtype="<u2") for r in sorted(some.mapInArrow(lean(starters), "block long, at long, stream binary").collect())]
+    model = train(streams, steps, counts=symbols.counts)
+    return (learn(parts, model, symbols.symbol, top, rounds) if streams else model), symbols
+
+
+def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", steps: int = STEPS, rounds: int = ROUNDS) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``."""
     spark, path = docs.sparkSession, tokenizer_path(tokenizer)
-    scratch = Scratch(spark, "lm")
+    scratch, top = Scratch(spark, "lm"), encoder(path).ids_in_all
     held = F.coalesce(F.crc32(F.col(id).cast("string")) % 7 == 2, F.lit(False))
     rows = docs.select(F.col(id).alias("id"), held.alias("held"), F.col(text).cast("string").alias("text"))
-    model = fit(rows, path, sample, steps)
-    sent = spark.sparkContext.broadcast(model)
-    parts = scratch.keep(blocks(rows, model[2]), "blocks", compression="zstd")
-    bits = max(4, min(12, partitions(spark).bit_length()))
-    counted = scratch.keep(totals(parts, bits), "totals", compression="zstd")
-    of_all = counted.where("block is null").agg(F.sum("v"), F.sum("once"), *[F.sum(F.get("n", F.lit(k))) for k in range(TOPICS)]).first()
-    by_topic = [int(x or 0) for x in of_all[2:]]
-    distinct, tokens = int(of_all[0] or 0), sum(by_topic)
-    unseen = min(0.98, max(0.02, int(of_all[1] or 0) / max(1, tokens)))
+    parts = scratch.keep(blocks(rows, path, rounds), "blocks", by=("round",), compression="zstd")
+    sent = spark.sparkContext.broadcast(fit(parts, top, steps, rounds))
+    size = 12 * (parts.agg(F.sum("words")).first()[0] or 0)
+    counted = scratch.keep(totals(parts, (-(-size // BUCKET) - 1).bit_length() if size else 0), "totals", compression="zstd")
+    of_all = counted.where("block is null").agg(F.sum("v"), F.sum("n")).first()
+    distinct, tokens = int(of_all[0] or 0), int(of_all[1] or 0)
+    # a block has at most one answer of each bucket that one of its own words is in
     counted = counted.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("totals"))
-    joined = parts.drop("hashes", "counts").join(counted, "block").select("ids", "held", "sizes", "places", "words", F.col("totals.totals").alias("totals"))
 
-    def run(batches: Iterator) -> Iterator:
+    def by_model(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        keep_freed()
+        model, symbols = sent.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                case, *rest = (batch.column(c)[r].as_py() for c in range(3, 9))
+                block = Block(top, *rest)
+                left = np.add.reduceat(symbols.left[block.ids], block.starts)
+                if case:
+                    left += np.frombuffer(case, dtype=np.float32)
+                score = np.add.reduceat(left[block.places], block.edges[:-1])
+                for first, end in block.spans():
+                    stream, before = block.stream(symbols.symbol, first, end)
+                    ends = before[block.edges[first : end + 1] - block.edges[first]]
+                    score[first:end] += np.add.reduceat(score_streams(model, stream, ends), ends[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(r, 1) for c in (0, 1, 2, 4, 5)), pa.array([score / np.log(10)], pa.list_(pa.float64()))],
+                    ["block", "ids", "held", "sizes", "places", "scores"],
+                )
+
+    kind = docs.schema[id].dataType.simpleString()
+    scored = parts.select("block", "ids", "held", "case", "sizes", "places", "words", "parts", "lengths").mapInArrow(
+        lean(by_model), f"block long, ids array<{kind}>, held array<boolean>, sizes array<long>, places binary, scores array<double>"
+    )
+    joined = scored.join(counted, "block").select("ids", "held", "scores", "sizes", "places", F.col("totals.totals").alias("totals"))
+
+    def by_counts(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        model, subwords, topics = sent.value
-        share = np.array(by_topic) / max(1, tokens)
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, held, sizes, places, words, answers = (batch.column(k)[r] for k in range(6))
-                sizes = np.array(sizes.as_py(), dtype=np.int64)
-                at = np.frombuffer(places.as_py(), dtype=np.int32)
-                words = words.as_py().split(b"\n")
-                counts = np.concatenate([np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.int64) for b in answers.as_py()]).reshape(-1, TOPICS)
-                count = counts.sum(axis=1)
-                evidence, likely = topics.evidence(words), (counts / np.maximum(1, np.array(by_topic))).astype(np.float32)
-                del counts
-                end = words.index(END_WORD)
-                words[end] = b"."
-                symbols, starts, left = subwords.of(words)
-                n = np.diff(starts)
-                n[end], left[end] = 1, 0.0
-                symbols = symbols.copy()
-                symbols[starts[end]] = END
-                edges = np.concatenate([[0], np.cumsum(sizes)])
-                word_lp = np.empty(len(at))
-                docs_at = 0
-                while docs_at < len(sizes):  # some documents at a time
-                    stop = max(docs_at + 1, int(np.searchsorted(edges, edges[docs_at] + 60_000, side="right")) - 1)
-                    own = at[edges[docs_at] : edges[stop]]
-                    size = n[own]
-                    before = np.concatenate([[0], np.cumsum(size)])
-                    stream = symbols[np.repeat(starts[own] - before[:-1], size) + np.arange(before[-1])]
-                    lp = score_streams(model, stream, before[edges[docs_at : stop + 1] - edges[docs_at]])
-                    word_lp[edges[docs_at] : edges[stop]] = np.add.reduceat(lp, before[:-1])
-                    if tokens:
-                        # the posterior of a topic given the words before, starting from its share of the corpus
-                        e = np.cumsum(evidence[own], axis=0) - evidence[own]
-                        e -= np.repeat(e[edges[docs_at:stop] - edges[docs_at]], sizes[docs_at:stop], axis=0)
-                        e -= e.max(axis=1, keepdims=True)
-                        np.exp(e, out=e)
-                        e *= np.maximum(share, 1e-9)
-                        mean = np.einsum("ij,ij->i", e, likely[own]) / e.sum(axis=1)
-                        here = slice(edges[docs_at], edges[stop])
-                        with np.errstate(divide="ignore"):
-                            word_lp[here] = np.logaddexp(np.log(unseen) + word_lp[here] + left[own], np.log(1 - unseen) + np.log(mean))
-                    docs_at = stop
-                if not tokens:
-                    word_lp += left[at]
-                c = count[at]
-                base = np.log10((c + 1) / (tokens + distinct + 1))
-                add = lambda x: np.add.reduceat(x, edges[:-1])
-                k = len(sizes)
+                sizes, places, answers = (batch.column(c)[r].as_py() for c in range(3, 6))
+                count = np.concatenate([np.frombuffer(b, dtype=f"<u{b[0]}", offset=1) for b in answers]).astype(np.int64)
+                at = np.frombuffer(places, dtype=np.uint16 if len(count) <= 1 << 16 else np.uint32)
+                first = np.cumsum(sizes) - sizes
+                known, base = (np.add.reduceat(x[at], first) for x in ((count > 0).astype(np.int64), np.log10((count + 1) / (tokens + distinct + 1))))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, held.values, pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array([tokens] * k, pa.int64()), pa.array(add(base)), pa.array(add(word_lp) / np.log(10))],
+                    [batch.column(0)[r].values, batch.column(1)[r].values, pa.array(sizes, pa.int64()), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base), batch.column(2)[r].values],
                     [id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     long, double = T.LongType(), T.DoubleType()
     fields = [("held_out", T.BooleanType()), ("n_tokens", long), ("n_known", long), ("train_tokens", long), ("base_score", double), ("score", double)]
-    return joined.mapInArrow(run, T.StructType([docs.schema[id], *(T.StructField(*f) for f in fields)]))
+    return joined.mapInArrow(lean(by_counts), T.StructType([docs.schema[id], *(T.StructField(*f) for f in fields)]))

@@ -43,14 +43,15 @@ class PieceCache:
         self.tokenizer.model._resize_cache(0)  # this cache takes its place
         vocab = self.tokenizer.get_vocab()
         self.suffix = self.tokenizer.model.end_of_word_suffix
-        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ids_in_all = max(vocab.values()) + 1
+        self.last = np.zeros(self.ids_in_all, dtype=bool)
         if self.suffix:
             self.last[[i for w, i in vocab.items() if w.endswith(self.suffix)]] = True
         self.counts = counts
         self.fixed: dict = {}
         self.young: dict = {}
         self.old: dict = {}
-        self.size = 0
+        self.size, self.kept = 0, KEPT
 
     def _pre_tokens(self, word: str) -> int:
         """Pre-tokens of a piece that is letters with marks after them at most; 0 for any other."""
@@ -101,7 +102,7 @@ class PieceCache:
                 if len(pieces[i]) <= LONGEST:
                     young[pieces[i]] = v
                     self.size += COST
-        if self.size > KEPT:
+        if self.size > self.kept:
             self.old, self.young, self.size = young, {}, 0
         return out
 
@@ -165,7 +166,7 @@ def slices(lengths: list[int], size: int = 8 << 20):
         yield start, len(lengths)
 
 
-def text_slices(column, size: int = 8 << 20):
+def text_slices(column, size: int = 4 << 20):
     """(first row, slice) of an Arrow text column in runs of about ``size`` bytes.
 
     Slices are copies: some Arrow kernels misread the offsets of a slice that was cast."""
