@@ -61,7 +61,8 @@ def op8_repeats(spark: SparkSession, sf_dir: str, whole_lines: bool = False) ->
 
     found = without_repeats(table(spark, sf_dir, "documents"), whole_lines=whole_lines)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_units", "n_removed", removed.alias("chars_removed"), "text")
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_units", "n_removed", removed.alias("chars_removed"), spans.alias("spans_removed"), "text")
 
 
 def op8_repeats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +110,16 @@ OP8 = rf"""
 WITH u AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS piece
            FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\x09-\x0D ]*|[.!?\x09-\x0D ]+') AS p FROM documents)),
 w AS (SELECT *, trim(regexp_replace({LOWER.format("piece")}, '[\x09-\x0D ]+', ' ', 'g')) AS norm FROM u),
-m AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n,
+m AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS stop, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n,
              norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS later FROM w),
 r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, later ORDER BY pos) AS run FROM m),
 x AS (SELECT *, later AND sum(n) OVER (PARTITION BY doc_id, later, run) >= 20 AS gone FROM r),
 g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(piece)) FILTER (gone), 0) AS chars_removed,
-             coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT gone), '') AS text FROM x GROUP BY doc_id)
+             coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT gone), '') AS text FROM x GROUP BY doc_id),
+s AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans_removed
+      FROM (SELECT doc_id, CAST(min(stop - length(piece)) AS BIGINT) AS a, CAST(max(stop) AS BIGINT) AS b FROM x WHERE gone GROUP BY doc_id, run) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(chars_removed, 0) AS BIGINT) AS chars_removed,
-       coalesce(g.text, d.text) AS text FROM documents d LEFT JOIN g USING (doc_id)
+       coalesce(spans_removed, '') AS spans_removed, coalesce(g.text, d.text) AS text FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 

@@ -33,7 +33,7 @@ WORDS, ROWS, BANDS, BITS = 5, 3, 32, 4
 LEAST = 0.55
 WORDS_OF = 2  # 64-bit words that hold one plane of the ROWS * BANDS signature slots
 BLOCK = 2_000_000  # shingles of a bucket's main component, or of its others, in one task, about
-ROWS_OF = 1 << 14  # and rows
+ROWS_OF = 1 << 10  # and rows
 SHARE = 512  # documents confirmed against one copy of their partner
 
 
@@ -134,8 +134,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(lean(run), f"id {kind}, n long, digest binary, bands array<long>, planes array<long>")
 
 
-def alike(a: str, b: str):
-    """Whether the signatures in array columns ``a`` and ``b`` may belong to a link: sizes and corrected agreement."""
+def estimate(a: str, b: str):
+    """Similarity that the signatures in columns ``a`` and ``b`` show, less chance agreement."""
     size = ROWS * BANDS
     differ = None
     for w in range(WORDS_OF):
@@ -145,8 +145,12 @@ def alike(a: str, b: str):
             word = x if word is None else word.bitwiseOR(x)
         differ = F.bit_count(word) if differ is None else differ + F.bit_count(word)
     chance = 2.0**-BITS
-    estimate = ((1 - differ / size) - chance) / (1 - chance)
-    return (estimate >= LEAST) & (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * 75)
+    return ((1 - differ / size) - chance) / (1 - chance)
+
+
+def alike(a: str, b: str):
+    """Whether the signatures in columns ``a`` and ``b`` may belong to a link: sizes and corrected agreement."""
+    return (estimate(a, b) >= LEAST) & (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * 75)
 
 
 def confirmed(edges: DataFrame, docs: DataFrame) -> DataFrame:

@@ -45,31 +45,32 @@ def lines(parts: list) -> list[tuple[int, int]]:
 
 
 def _digests(rows: DataFrame, whole_lines: bool) -> DataFrame:
-    """(id, tie, digests): one 64-bit digest for each unit, 0 for a unit without words, then one for each line."""
+    """(id, tie, digests): one 128-bit digest (two numbers) for each unit, 0 for a unit without words, then one for each line."""
 
     def run(batches: Iterator) -> Iterator:
         import re
 
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest as digest
+        from xxhash import xxh3_128_digest as digest
 
-        find = re.compile(UNIT.encode()).findall
+        find, none = re.compile(UNIT.encode()).findall, bytes(16)
         for batch in batches:
             flat, ends = [], [0]
             for t in batch.column(2).cast(pa.large_binary()).to_pylist():
                 parts = find(t.lower()) if t else []
                 for u in parts:
                     ws = u.split()
-                    flat.append(digest(b" ".join(ws)) | 1 if ws else 0)
+                    flat.append(digest(b" ".join(ws)) if ws else none)
                 for a, b in lines(parts) if whole_lines else ():
                     ws = b"".join(parts[a:b]).split()
-                    flat.append(digest(b" ".join(ws), seed=1) | 1 if ws else 0)
+                    flat.append(digest(b" ".join(ws), seed=1) if ws else none)
                 ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.uint64).view(np.int64)))
+            pairs = np.frombuffer(b"".join(flat), dtype="<i8").reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "tie", "digests"])
 
-    schema = T.StructType([rows.schema["id"], rows.schema["tie"], T.StructField("digests", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["id"], rows.schema["tie"], T.StructField("digests", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))])
     return rows.select("id", "tie", "text").mapInArrow(lean(run), schema)
 
 
@@ -139,11 +140,11 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", kee
     spans [start, end) of the original text that went."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("__none")).alias("kept"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    found = _digests(rows.where("text is not null"), whole_lines).select("id", "tie", F.posexplode("digests").alias("pos", "digest")).where("digest != 0")
+    found = _digests(rows.where("text is not null"), whole_lines).select("id", "tie", F.posexplode("digests").alias("pos", "d")).where("d.a != 0 or d.b != 0").select("id", "tie", "pos", "d.a", "d.b")
     place = F.struct("id", "tie", "pos")
-    firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    firsts = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     firsts = Scratch(docs.sparkSession, "repeats").keep(firsts, "firsts")  # so that the join below deals both its sides anew and can split hot digests
-    later = found.join(firsts, "digest").where(~place.eqNullSafe(F.col("first"))).select("id", "tie", "pos").distinct()
+    later = found.join(firsts, ["a", "b"]).where(~place.eqNullSafe(F.col("first"))).select("id", "tie", "pos").distinct()
     later = later.groupBy("id", "tie").agg(F.collect_list("pos").alias("later"))
     later = later.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), "later")
     joined = rows.join(later, F.col("id").eqNullSafe(F.col("id2")) & F.col("tie").eqNullSafe(F.col("tie2")), "left").drop("id2", "tie2", "tie")

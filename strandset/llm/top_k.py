@@ -1,13 +1,14 @@
 """Exact top-k inner products by norm buckets (operator 2).
 
 Vectors become integers, floor(256 * x), and are sorted by length into buckets of BUCKET. Buckets are dealt over
-groups; a task holds one group and lets the query blocks pass. For each block it goes through its buckets from the
-longest on with the k-th best score so far as threshold. The local threshold of a query in a bucket is the cosine that a
+groups in rounds, in the order of length, so each group has its share of every length; a task holds one group and lets the
+query blocks pass. A query starts with the k-th best score among the HEADS longest buckets as threshold; a group goes through its
+buckets from the longest on with the k-th best score so far. The local threshold of a query in a bucket is the cosine that a
 vector of the bucket's largest length needs: above one the bucket is skipped; from COORDINATE on candidates are those
 whose focus coordinate lies in the range that such a cosine allows (coordinate pruning); below, those long enough
 (length pruning). Survivors are verified by exact integer products; the best of all groups are merged.
 
-Queries are dealt to the groups in blocks of a fixed size, so no broadcast grows with the data, and no pair of a query
+Queries are dealt to the groups in blocks of a fixed size and HEADS is fixed, so no broadcast grows with the data, and no pair of a query
 and a vector becomes a row unless it is among the k best of a group.
 
 Null vectors and those with null or non-finite components take no part; vectors meet only vectors of their own number
@@ -23,30 +24,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandset.llm.common import Scratch, partitions
+from strandset.llm.common import Scratch, lean, partitions
 
 BUCKET = 512
 GROUP = 1 << 17  # vectors in one group at most, on average
 BLOCK = 1024  # queries that pass together
+HEADS = 4  # longest buckets that give queries their first threshold
 COORDINATE = 0.7
 SAFE = 1e-9
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Packs (dims, id, values) rows of a task into rows (dims, ids, data) of at most ``size`` vectors, in the order that
-    they come in."""
+    """Packs (dims, id, values) rows of a task into rows (dims, ids, data, at) of at most ``size`` vectors, in the order that
+    they come in; ``at`` numbers those of a task and dims."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         held: dict[int, list] = {}
+        made: dict[int, int] = {}
 
         def out(dims):
             ids, data = zip(*held.pop(dims))
+            made[dims] = made.get(dims, -1) + 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([dims], pa.int32()), pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), pa.array([np.array(data, dtype=np.int64).tobytes()], pa.binary())],
-                ["dims", "ids", "data"],
+                [pa.array([dims], pa.int32()), *(pa.array([np.array(x, dtype=np.int64).tobytes()], pa.binary()) for x in (ids, data)), pa.array([made[dims]], pa.int64())],
+                ["dims", "ids", "data", "at"],
             )
 
         for batch in batches:
@@ -57,7 +61,43 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         for d in list(held):
             yield out(d)
 
-    return rows.select("dims", "id", "values").mapInArrow(run, "dims int, ids binary, data binary")
+    return rows.select("dims", "id", "values").mapInArrow(lean(run), "dims int, ids binary, data binary, at long")
+
+
+def _started(queries: DataFrame, heads: dict[int, list[tuple]], k: int) -> DataFrame:
+    """The query blocks (dims, ids, data) with ``least``: for each query the k-th best score among the head buckets."""
+    sent = queries.sparkSession.sparkContext.broadcast(heads)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dims, ids, data = (batch.column(c)[row].as_py() for c in range(3))
+                if dims not in held:
+                    held[dims] = [Bucket(*b, dims) for b in sent.value.get(dims, ())]
+                one = Bucket(ids, data, dims)
+                top = best(one, held[dims], k)
+                least = np.full(len(one.ids), -np.inf)
+                number = np.arange(len(top)) - np.searchsorted(top[:, 0], top[:, 0])
+                kth = top[number == k - 1]
+                least[kth[:, 0]] = kth[:, 2]
+                again = np.empty(len(one.ids))  # the order of the ids as they were stored
+                again[one.order] = least
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(row, 1) for c in range(3)] + [pa.array([again.tobytes()], pa.binary())], ["dims", "ids", "data", "least"])
+
+    return queries.select("dims", "ids", "data").mapInArrow(lean(run), "dims int, ids binary, data binary, least binary")
+
+
+def _dealing(spark, n: int):
+    """A column function: a key that hash partitioning deals to partition 0 .. n - 1, for each of these numbers."""
+    rows = spark.range(20 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("part")).groupBy("part").agg(F.min("id")).collect()
+    keys = list(range(n))
+    for part, key in rows:
+        keys[part] = key
+    return lambda group: F.element_at(F.array(*map(F.lit, keys)), (group + 1).cast("int")).cast("long") if n <= 1 << 12 else group.cast("long")
 
 
 class Bucket:
@@ -67,7 +107,7 @@ class Bucket:
         ids, rows = np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=np.int64).reshape(len(ids) // 8, dims)
         length = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
         order = np.argsort(-length, kind="stable")
-        self.ids, self.rows, self.length = ids[order], rows[order], length[order]
+        self.ids, self.rows, self.length, self.order = ids[order], rows[order], length[order], order
         self.most = float(np.abs(rows).max()) if rows.size else 0.0
         self.values = self.rows.astype(np.float64)
         self.unit = self.values / np.maximum(self.length, 1e-300)[:, None]
@@ -83,13 +123,14 @@ def products(queries: Bucket, q, bucket: Bucket, b):
     return np.array([max(-(2**63), min(2**63 - 1, x)) for x in whole], dtype=np.int64)
 
 
-def best(queries: Bucket, buckets: list[Bucket], k: int):
-    """(query row, id, score) of the k best of each query among the buckets, which come longest first."""
+def best(queries: Bucket, buckets: list[Bucket], k: int, least=None):
+    """(query row, id, score) of the k best of each query among the buckets, which come longest first; lower scores than ``least`` need not
+    be told."""
     import numpy as np
 
     n, dims = queries.rows.shape
     top = np.zeros((0, 3), dtype=np.int64)
-    least = np.full(n, -np.inf)
+    least = np.full(n, -np.inf) if least is None else least.copy()
     focus = np.abs(queries.unit).argmax(axis=1) if dims else np.zeros(n, dtype=int)
     qf = queries.unit[np.arange(n), focus] if dims else np.zeros(n)
     for bucket in buckets:
@@ -134,7 +175,7 @@ def best(queries: Bucket, buckets: list[Bucket], k: int):
         rank = np.arange(len(top)) - first
         top = top[rank < k]
         kth = top[rank[rank < k] == k - 1]
-        least[kth[:, 0]] = kth[:, 2]
+        least[kth[:, 0]] = np.maximum(least[kth[:, 0]], kth[:, 2])
     return top
 
 
@@ -150,19 +191,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
     rows = scratch.keep(rows.withColumn("dims", F.size("values")).withColumn("length", F.sqrt(square)), "rows")
     groups = max(partitions(spark), -(-rows.count() // GROUP))
     ranged = rows.repartitionByRange(groups, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
-    buckets = _blocks(ranged, BUCKET).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumn("role", F.lit(0))
+    # buckets of a task are in the order of length: one after another goes to the next group
+    buckets = _blocks(ranged, BUCKET).withColumn("part", F.spark_partition_id())
+    buckets = scratch.keep(buckets.withColumn("group", F.pmod(F.col("at") + F.col("part") * F.lit(7919), F.lit(groups)).cast("int")), "buckets")
+    heads: dict[int, list[tuple]] = {}
+    for r in buckets.where((F.col("part") == 0) & (F.col("at") < HEADS)).orderBy("dims").limit(4 * HEADS).collect():
+        heads.setdefault(r.dims, []).append((bytes(r.ids), bytes(r.data)))
+    buckets = buckets.select("dims", "ids", "data", "group", F.lit(None).cast("binary").alias("least"), F.lit(0).alias("role"))
     asking = rows.where("asks").dropDuplicates(["id"]).repartition(max(1, groups // 4), F.xxhash64("id")).sortWithinPartitions("id")
-    asking = scratch.keep(_blocks(asking, BLOCK), "queries")
+    asking = scratch.keep(_started(_blocks(asking, BLOCK), heads, k), "queries")
     sent = asking.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("role", F.lit(1))
-    dealt = buckets.unionByName(sent).repartition(groups, "group").sortWithinPartitions("group", "dims", "role")
+    key = _dealing(spark, groups)
+    dealt = buckets.unionByName(sent).withColumn("to", key(F.col("group"))).repartition(groups, "to").sortWithinPartitions("group", "dims", "role")
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         now, held, ordered = None, [], False
         for batch in batches:
             for row in range(batch.num_rows):
-                group, dims, role, ids, data = (batch.column(c)[row].as_py() for c in range(5))
+                group, dims, role, ids, data, least = (batch.column(c)[row].as_py() for c in range(6))
                 if (group, dims) != now:
                     now, held, ordered = (group, dims), [], False
                 one = Bucket(ids, data, dims)
@@ -172,11 +221,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
                 if not ordered:
                     held.sort(key=lambda b: -b.length[0])
                     ordered = True
-                top = best(one, held, k)
+                top = best(one, held, k, np.frombuffer(least, dtype=np.float64)[one.order])
                 if len(top):
                     yield pa.RecordBatch.from_arrays([pa.array(one.ids[top[:, 0]]), pa.array(top[:, 1]), pa.array(top[:, 2])], ["query_id", "id", "score"])
 
-    found = dealt.select("group", "dims", "role", "ids", "data").mapInArrow(run, "query_id long, id long, score long")
+    found = dealt.select("group", "dims", "role", "ids", "data", "least").mapInArrow(lean(run), "query_id long, id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id), "score")

@@ -147,25 +147,17 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def _first_copies(rows: DataFrame) -> DataFrame:
-    """One row of each set of near copies in the bounded sample: rows that share one of three shingle minima."""
-    from strandset.llm.near_dup import factors, minima, shingle_sets
+    """The ids of the bounded sample (id, text) less near copies: of rows that share a band of minima, those go whose signature shows
+    a similarity of 0.75 or more with the first of them (by the hash of the id). Texts without words are no copies."""
+    from strandset.llm.near_dup import estimate, signatures
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        by = factors()[:3]
-        for batch in batches:
-            low = []
-            for _, part in text_slices(batch.column(1), 4 << 20):
-                low += [minima(s, by).view("i8").tolist() if len(s) else [0, 0, 0] for s in shingle_sets(part)]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array([x[k] for x in low], pa.int64()) for k in range(3)], ["id", "text", "label", "m0", "m1", "m2"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.select("id", "text", "label").mapInArrow(run, f"id {kind}, text string, label int, m0 long, m1 long, m2 long")
-    for k in range(3):
-        least = rows.groupBy(f"m{k}").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"))
-        rows = rows.join(least, f"m{k}").where((F.col("first.id") == F.col("id"))).drop("first")
-    return rows.select("id", "text", "label")
+    signed = Scratch(rows.sparkSession, "toxicity-copies").keep(signatures(rows).where("n > 0").select("id", "n", "bands", "planes"), "signed")
+    banded = signed.select("id", F.explode("bands").alias("key"))
+    first = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    pairs = banded.join(first.select("key", F.col("first.id").alias("a")), "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    of = lambda name: signed.select(F.col("id").alias(name), F.struct("n", "planes").alias(f"s{name}"))
+    gone = pairs.join(of("a"), "a").join(of("b"), "b").where(estimate("sa", "sb") >= 0.75).select(F.col("b").alias("id")).distinct()
+    return rows.select("id").distinct().join(gone, "id", "left_anti")
 
 
 def lexicon(counts: DataFrame, toxic: int, clean: int) -> list[str]:
@@ -271,9 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     given = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     given = given.where(F.crc32(F.col("id").cast("string")) % 4 != 2).groupBy("id").agg(F.max("label").alias("label"))
     given = given.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(given), "id")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(given), "id").dropDuplicates(["id", "text"])
     scratch = Scratch(spark, "toxicity")
-    rows = scratch.keep(_first_copies(rows), "sample")
+    rows = scratch.keep(rows, "sample")
+    rows = scratch.keep(rows.join(F.broadcast(_first_copies(rows)), "id"), "distinct")  # at most ``sample`` ids
     counts = scratch.keep(_counts(rows), "counts")
     total = counts.where("what is null").first()
     toxic, clean = (total.toxic, total.clean) if total else (0, 0)
