@@ -49,3 +49,25 @@ GENERIC_TITLE_WORDS = (
 COMPARISON_PHRASES = (
     "which is older", "which was earlier", "which is larger", "which is longer", "who was born first", "are both", "same nationality", "younger", "older", "which came first", "who came first", "won more",
 )
+
+# Fixed value: what a word of a title is.
+TITLE_WORD = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
+
+# Fixed value: a closing parenthesis of a title.
+CLOSING_PARENTHESIS = r"\s*\([^)]*\)\s*$"
+
+# Marks around the digest that replaces a text, tried in this order.
+REPLACEMENT_MARKS = ("§", "¤", "※", "⌁", "◊", "☷")
+
+# Wiki markup, in the order that it goes, and what stands in its place.
+WIKI_MARKUP = (
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?is)<ref\b[^>]*>.*?</ref>", " "),
+    (r"<[^>]+>", " "),
+    (r"\[\[(?:[^\]|]*\|)?([^\]]+)\]\]", "$1"),
+    (r"\{\{[^{}]*\}\}", " "),
+    (r"'{2,}", ""),
+)
+
+# Numbers that are edited downwards (days that end a month, the last year read as one); all others go up.
+EDITED_DOWN = (29, 30, 31, 2099)

@@ -127,11 +127,13 @@ def refresh(rows: DataFrame, cached: str = "cached_answer", snapshot: str = "sna
         "uncertified": "stale result is not certified for deterministic VM replay",
     }
     why = F.coalesce(*[F.when(F.col("__step") == k, F.array(F.lit(v))) for k, v in texts.items()], F.array().cast("array<string>"))
-    settled = staged.where("__step != 'replay'")
-    reuse = F.col("__step") == "reuse"
-    settled = settled.withColumns(
-        {"action": F.when(reuse, "reuse").otherwise("recompile"), "new_answer": F.when(reuse, F.col(cached)).otherwise(""), "new_snapshot": F.when(reuse, s), "refresh_errors": why}
-    )
-    again = bind(execute(staged.where("__step = 'replay'"), into="__again"), "__again", "new_snapshot")
-    again = again.withColumns({"action": F.when(F.col("__again.valid"), "replay").otherwise("recompile"), "new_answer": F.col("__again.answer"), "refresh_errors": F.col("__again.errors")})
-    return settled.unionByName(again.drop("__again")).drop("__check", "__step")
+    reuse, replay, again = F.col("__step") == "reuse", F.col("__step") == "replay", F.col("__again")
+    # a row that isn't replayed has no program while programs run, which costs nothing
+    ran = staged.withColumns({"__program": F.col("program"), "program": F.when(replay, F.col("program"))})
+    ran = bind(execute(ran, into="__again"), "__again", "new_snapshot").withColumn("program", F.col("__program"))
+    return ran.withColumns(
+        {
+            "action": F.when(reuse, "reuse").when(replay & again["valid"], "replay").otherwise("recompile"), "new_answer": F.when(reuse, F.col(cached)).when(replay, again["answer"]).otherwise(""),
+            "new_snapshot": F.when(reuse, s).otherwise(F.col("new_snapshot")), "refresh_errors": F.when(replay, again["errors"]).otherwise(why),
+        }
+    ).drop("__check", "__step", "__program", "__again")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandset.functions.text import exact_match, normalize, normalize_all, token_prf
 from strandset.operators.program import parsed
@@ -80,29 +81,23 @@ def summary(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*[v.alias(k) for k, v in aggregates.items()])
 
 
-def error_histogram(rows: DataFrame) -> DataFrame:
-    """(error, n): execution errors, and missing_prediction, parse_error, valid_wrong_answer."""
+def error_histogram(rows: DataFrame, *by: str) -> DataFrame:
+    """(*by, error, n): execution errors, and missing_prediction, parse_error, valid_wrong_answer."""
     own = F.when(F.col("status").isin("missing_prediction", "parse_error"), F.array(F.col("status"))).when(F.col("status") == "invalid", F.col("result.errors")).when(
         F.col("em") == 0, F.array(F.lit("valid_wrong_answer"))
     )
-    return rows.select(F.explode(own).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
+    return rows.select(*by, F.explode(own).alias("error")).groupBy(*by, "error").agg(F.count("*").alias("n"))
 
 
-def join_family(program: Column) -> Column:
-    kinds = F.array_distinct(F.transform(program["joins"], lambda j: j["kind"]))
-    return F.when(F.size(kinds) == 0, "none").when(F.size(kinds) > 1, "mixed").otherwise(F.get(kinds, F.lit(0)))
+def floor_percentiles(rows: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
+    """(*by, n, name, …): for each fraction the value at place floor(fraction * (n - 1)) of a group's sorted values.
 
-
-def breakdown(rows: DataFrame, by: Column, name: str) -> DataFrame:
-    """(name, examples, valid, certified, em, f1) of parsed programs by operator, join family or mode."""
-    ok = F.col("result.valid")
-    return rows.where("program is not null").groupBy(by.alias(name)).agg(
-        F.count("*").alias("examples"), F.sum(ok.cast("long")).alias("valid"), F.sum(F.col("result.certified").cast("long")).alias("certified"),
-        (100.0 * F.avg(F.when(ok, F.col("em")).otherwise(0.0))).alias("strict_em"), (100.0 * F.avg(F.when(ok, F.col("prf.f1")).otherwise(0.0))).alias("strict_f1"),
-    )
-
-
-def floor_percentile(values: Column, fraction: float) -> Column:
-    """The value at place floor(fraction * (n - 1)) of the sorted values of a group (collected, so for bounded groups)."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.lit(fraction) * (F.size(ordered) - 1)).cast("int"))
+    Equal values are counted on the map side; the distinct ones of a group are ranked in a sort that spills, and none is held as a list."""
+    keys = list(by) or ["__all"]
+    rows = rows if by else rows.withColumn("__all", F.lit(1))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    own = W.partitionBy(*keys)
+    upto = F.sum("__n").over(own.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counted.withColumns({"__upto": upto, "n": F.sum("__n").over(own)})
+    at = lambda f: F.min(F.when(F.col("__upto") > F.floor(F.lit(f) * (F.col("n") - 1)), F.col(value)))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[at(f).alias(name) for name, f in fractions.items()]).drop("__all")

@@ -66,7 +66,7 @@ def parsed(rows: DataFrame, text: str = "output") -> DataFrame:
 
 def wrapped_answer(text: Column) -> Column:
     """The trimmed text in the first answer tags, null without them."""
-    return F.when(text.rlike(r"(?s)<ANSWER>.*?</ANSWER>"), F.trim(F.regexp_extract(text, r"(?s)<ANSWER>(.*?)</ANSWER>", 1)))
+    return F.when(text.rlike(r"(?s)<ANSWER>.*?</ANSWER>"), F.regexp_extract(text, r"(?s)<ANSWER>\s*(.*?)\s*</ANSWER>", 1))
 
 
 @arrow_udf("struct<ok:boolean,answer:string,evidence:array<struct<doc:int,sent:int>>>")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandset.functions.text import text_digest
+from strandset.functions.text import normalize, normalize_all, strip_wiki, text_digest, wiki_cells
 
 
 def streams(rows: DataFrame, title: str = "title", id: str = "revid", time: str = "timestamp", line: str = "line") -> DataFrame:
@@ -30,6 +30,91 @@ def lost_cells(changes: DataFrame, k: int, seed: Column) -> DataFrame:
     return changes.withColumn("read", read).withColumn("recompute", F.size(F.array_except("read", "new")) > 0)
 
 
+def resolved_pages(pages: DataFrame, moves: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pages joined with the profile that asked for them: by the title that was redirected or, else, normalised to theirs, else by their own.
+
+    ``pages``: (response, title, missing, …), a row for each revision; ``moves``: (response, from, to, redirect), ``profiles``: (dataset, title, dependency_cells)."""
+    one = lambda redirect, name: moves.where(F.col("redirect") == redirect).groupBy("response", F.col("to").alias("title")).agg(F.max("from").alias(name))
+    rows = pages.where(~F.coalesce("missing", F.lit(False))).join(one(True, "__r"), ["response", "title"], "left").join(one(False, "__n"), ["response", "title"], "left")
+    rows = rows.withColumn("__asked", F.coalesce("__r", "__n", "title"))
+    p = lambda name: profiles.select(F.col("title").alias(f"__{name}"), F.struct("dataset", "title", "dependency_cells").alias(f"__p{name}"))
+    rows = rows.join(p("asked"), "__asked", "left").join(p("own"), F.col("title") == F.col("__own"), "left")
+    profile = F.coalesce("__pasked", "__pown")
+    rows = rows.where(profile.isNotNull()).withColumns({"dataset": profile["dataset"], "requested": profile["title"], "dependency_cells": profile["dependency_cells"]})
+    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+
+
+def stream_events(rows: DataFrame) -> DataFrame:
+    """One row for each pair of consecutive revisions of a page whose older one has cells: selected cells (``dependency_cells`` of the old ones
+    by digest), lost ones, page_changed, and the timestamps. ``rows``: (dataset, requested, title, dependency_cells, revid, timestamp, sha1, content)."""
+    w = W.partitionBy("dataset", "title").orderBy("timestamp", "revid")
+    known = ("revid", "timestamp", "sha1", "__cells")
+    own = rows.withColumn("__cells", wiki_cells(F.coalesce("content", F.lit("")))).select("dataset", "requested", "title", "dependency_cells", *known)
+    own = own.withColumn("__next", F.lead(F.struct(*known)).over(w)).where(F.col("__next").isNotNull() & (F.size("__cells") > 0))
+    seed = F.concat_ws(":", "title", "revid")
+    order = lambda c: F.struct(text_digest(F.concat_ws(":", seed, c)).alias("d"), c.alias("c"))
+    own = own.withColumn("__read", F.transform(F.slice(F.array_sort(F.transform("__cells", order)), F.lit(1), F.col("dependency_cells").cast("int")), lambda x: x["c"]))
+    return own.select(
+        "dataset", "requested", "title", "revid", F.col("__next.revid").alias("next_revid"), F.size("__read").cast("long").alias("selected"),
+        F.size(F.array_except("__read", "__next.__cells")).cast("long").alias("lost"), (~F.col("sha1").eqNullSafe(F.col("__next.sha1"))).alias("page_changed"),
+        F.least("timestamp", "__next.timestamp").alias("earliest"), F.greatest("timestamp", "__next.timestamp").alias("latest"),
+    )
+
+
+def stream_report(events: DataFrame, *by: str) -> DataFrame:
+    """Events, changed pages, selected and lost cells, recomputations and rates, over all events or by group (dataset, say)."""
+    n = lambda c: F.sum(c.cast("long"))
+    whole = F.greatest(F.count("*"), F.lit(1))
+    again = F.col("lost") > 0
+    return events.groupBy(*by).agg(
+        F.count("*").alias("events"), n(F.col("page_changed")).alias("changed_events"), F.sum("selected").alias("selected_cells"), F.sum("lost").alias("changed_cells"), n(again).alias("recomputations"),
+        (100.0 * n(again) / whole).alias("recompute_rate"), (100.0 * n(F.col("page_changed")) / whole).alias("document_recompute_rate"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest"),
+    )
+
+
+def linked_documents(bound: DataFrame) -> DataFrame:
+    """(dataset, qid, title, sentences, quotes) of each document that a certified program cites: its cited sentences, and the quotes that the
+    program reads in it or joins to it."""
+    program, documents = F.col("program"), F.col("documents")
+    a = program["answer"]
+    points = F.concat(F.filter(F.array(a["pointer"]), lambda p: p.isNotNull()), a["operands"], a["labels"], F.transform(program["joins"], lambda j: j["left"]))
+    rows = bound.where("result.certified").withColumn("__doc", F.explode(F.array_distinct(F.transform(program["evidence"], lambda r: r["doc"]))))
+    doc = F.col("__doc")
+    sentences = F.transform(F.filter(program["evidence"], lambda r: r["doc"] == doc), lambda r: F.get(F.get(documents, r["doc"])["sentences"], r["sent"]))
+    read = F.transform(F.filter(points, lambda p: p["doc"] == doc), lambda p: p["quote"])
+    joined = F.transform(F.filter(program["joins"], lambda j: j["right_doc"] == doc), lambda j: j["left"]["quote"])
+    quotes = F.array_sort(F.array_distinct(F.filter(F.concat(read, joined), lambda q: q != "")))
+    rows = rows.select("dataset", "qid", F.get(documents, doc)["title"].alias("title"), sentences.alias("sentences"), quotes.alias("quotes"))
+    return rows.where((F.size("sentences") > 0) & (F.size("quotes") > 0))
+
+
+def history_events(linked: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(dataset, qid, title, revid, next_revid, page_changed, action) for each linked document and pair of revisions of its title whose older
+    one holds all its sentences and quotes. ``revisions``: (title, revid, timestamp, sha1, content).
+
+    Pages are stripped and folded once each, before the join; consecutive ones are paired within a title, so a program meets
+    only the pairs of its own titles."""
+    pages = revisions.withColumn("folded", normalize(strip_wiki(F.coalesce("content", F.lit(""))))).select("title", "revid", "timestamp", F.struct("folded", "sha1").alias("page"))
+    steps = pairs(pages, value="page").withColumnsRenamed({"old": "__old", "new": "__new"})
+    rows = linked.withColumns({"__sentences": normalize_all("sentences"), "__quotes": normalize_all("quotes")}).join(steps, "title")
+    holds = lambda parts, text: F.forall(parts, lambda x: F.contains(text, x))
+    rows = rows.where(holds("__sentences", F.col("__old.folded")) & holds("__quotes", F.col("__old.folded")))
+    changed = ~F.col("__old.sha1").eqNullSafe(F.col("__new.sha1"))
+    action = F.when(~changed | holds("__sentences", F.col("__new.folded")), "reuse").when(holds("__quotes", F.col("__new.folded")), "replay").otherwise("recompile")
+    return rows.select("dataset", "qid", "title", "revid", "next_revid", changed.alias("page_changed"), action.alias("action"))
+
+
+def history_report(events: DataFrame) -> DataFrame:
+    """Events, changed ones, actions and their rates, and the share of changed events that cells spare a document gate."""
+    n = lambda c: F.sum(c.cast("long"))
+    changed, whole = n(F.col("page_changed")), F.greatest(F.count("*"), F.lit(1))
+    did = {a: n(F.col("action") == a) for a in ("reuse", "replay", "recompile")}
+    return events.agg(
+        F.count("*").alias("events"), F.count_distinct("qid", "title").alias("bound_documents"), changed.alias("changed_events"), *[v.alias(a) for a, v in did.items()], *[(100.0 * v / whole).alias(f"{a}_rate") for a, v in did.items()],
+        (100.0 * (changed - did["recompile"]) / F.greatest(changed, F.lit(1))).alias("spared"),
+    )
+
+
 def history_action(sentences: Column, quotes: Column, old: Column, new: Column) -> Column:
     """reuse where the page is unchanged or all read sentences persist, replay where the quotes do, else recompile."""
     holds = lambda parts: F.forall(parts, lambda x: F.contains(new, x))

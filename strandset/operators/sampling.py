@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandset.functions.text import hash_bucket, text_digest
+from strandset.operators.metrics import floor_percentiles
 
 
 def split(rows: DataFrame, key: Column, holdout: float = 0.05, name: str = "part") -> DataFrame:
@@ -40,6 +41,27 @@ def root_weights(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def length_profile(rows: DataFrame, length: str, most: int, by: str) -> DataFrame:
-    """Kept rows and lengths by group: n, kept, min, max (percentiles by ``metrics.floor_percentile`` on bounded groups)."""
+    """Rows, kept rows and lengths by group: n, kept, shortest, p50, p95, p99, longest."""
     ok = F.col(length) <= most
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("kept"), F.min(length).alias("shortest"), F.max(length).alias("longest"))
+    ends = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.coalesce(ok, F.lit(False)).cast("long")).alias("kept"), F.min(length).alias("shortest"), F.max(length).alias("longest"))
+    middle = floor_percentiles(rows, length, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by).drop("n")
+    return ends.join(middle.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in a given order (of files and lines, say), never whichever come first."""
+    return rows.orderBy(*order).limit(n)
+
+
+def longest(rows: DataFrame, length: str, id: str, n: int = 10) -> DataFrame:
+    """(id, length) of the n longest rows, ties by id."""
+    return rows.select(id, length).orderBy(F.desc(length), id).limit(n)
+
+
+def within_length(rows: DataFrame, length: str, most: int, id: str, skip: bool = True) -> DataFrame:
+    """Rows of at most ``most``; with ``skip`` false one that is longer fails the query, since nothing is ever cut."""
+    ok = F.coalesce(F.col(length) <= most, F.lit(False))
+    if skip:
+        return rows.where(ok)
+    message = F.concat(F.col(id).cast("string"), F.lit(" has "), F.coalesce(F.col(length).cast("string"), F.lit("no")), F.lit(f" tokens, more than {most}"))
+    return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

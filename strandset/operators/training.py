@@ -22,6 +22,19 @@ TASKS = {
 }
 
 
+#: What a model is told first.
+SYSTEMS = {
+    "program": "Answer by a program over the numbered sentences: cite evidence, join documents through quoted text, reduce quoted values.", "answer": "Answer the question with the shortest text that the documents hold.",
+    "citation": "Answer the question and cite each sentence that the answer needs.", "free_literal": "Cite evidence and join documents through quoted text; write the answer as a literal.",
+}
+
+
+def messages(task: str = "program", reply: Column | None = None, system: bool = True) -> Column:
+    """The chat of a context row: what the model is told, the documents, and the wanted output where there is one."""
+    say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.array(*([say("system", F.lit(SYSTEMS[task]))] if system else []), say("user", context_text(task)), *([say("assistant", reply)] if reply is not None else []))
+
+
 def context_text(task: str = "program") -> Column:
     """The question and the numbered documents as text."""
     lines = F.flatten(
@@ -46,16 +59,14 @@ def target(task: str = "program") -> Column:
     return {"program": tag("PROGRAM", rendered(program)), "answer": tag("ANSWER", first), "citation": tag("CITATION", cited), "free_literal": tag("PROGRAM", rendered(literal))}[task]
 
 
-def training_rows(contexts: DataFrame, task: str = "program", holdout: float = 0.05, strict: bool = True) -> DataFrame:
+def training_rows(contexts: DataFrame, task: str = "program", holdout: float = 0.05, strict: bool = True, system: bool = False) -> DataFrame:
     """(id, dataset, part, messages, strict_valid): compiled rows without literal answers, split by the digest of their id."""
     rows = execute(compile_labels(contexts)).where("program is not null and program.answer.op != 'literal'")
     if strict:
         rows = rows.where("result.valid")
     id = F.concat_ws(":", "dataset", "qid")
-    say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    messages = F.array(say("user", context_text(task)), say("assistant", target(task)))
     part = F.when(hash_bucket(id) < int(holdout * 10_000), "holdout").otherwise("train")
-    return rows.select(id.alias("id"), "dataset", part.alias("part"), messages.alias("messages"), F.col("result.valid").alias("strict_valid"))
+    return rows.select(id.alias("id"), "dataset", part.alias("part"), messages(task, target(task), system).alias("messages"), F.col("result.valid").alias("strict_valid"))
 
 
 def audit(contexts: DataFrame) -> DataFrame:
@@ -77,6 +88,8 @@ def deletion_provenance(bound: DataFrame) -> DataFrame:
     is checkpointed in the session's shared folder."""
     spark = bound.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
     rows = bound.where("result.valid").withColumns({"__cells": all_cells(F.col("documents")), "__old": F.col("documents"), "kept": F.array().cast("array<struct<field:string,doc:int,sent:int>>")}).checkpoint()
     most = rows.agg(F.max(F.size("__cells"))).first()[0] or 0

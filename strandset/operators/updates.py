@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandset.functions.text import disjoint_replacement, mutate_number, occurrences
+from strandset.functions.text import disjoint_replacement, mutate_number, normalize, occurrences
 from strandset.operators.lineage import cell_text, document_digest, key, refresh, verify
 from strandset.operators.vm import execute
 from strandset.schema import DOCUMENTS, PROGRAM
@@ -198,3 +198,39 @@ def recovery_cases(bound: DataFrame) -> DataFrame:
     rows = rows.withColumns({"documents": with_cell(documents, p, lambda t: F.replace(t, p["quote"], F.col("new_value")))})
     rows = execute(rows.withColumn("program", F.col("repaired")), into="new_result").where("new_result.certified")
     return rows.withColumns({"program": F.col("__program"), "changed_documents": F.col("documents"), "documents": F.col("__old")}).drop("__old", "__program")
+
+
+def update_summary(bound: DataFrame, suffix: str = " [updated]") -> DataFrame:
+    """One row over all contexts: examples, valid, certified, corpus_cells and dependency_cells of valid results, mean_cells, the uniform-cell
+    expected_recompute, and what one-cell updates of a read and of an unread cell came to. ``bound`` has results of all contexts."""
+    valid = F.coalesce(F.col("result.valid"), F.lit(False))
+    cells = F.size(all_cells(F.col("documents")))
+    read = F.size(dependencies(F.col("snapshot")))
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    sizes = bound.agg(
+        F.count("*").alias("examples"), n(valid).alias("valid"), n(valid & F.col("result.certified")).alias("certified"), F.sum(F.when(valid, cells)).alias("corpus_cells"), F.sum(F.when(valid, read)).alias("dependency_cells"),
+        F.avg(F.when(valid, F.size("snapshot.cells"))).alias("mean_cells"),
+    )
+    done = refresh(one_cell_updates(bound, suffix))
+    relevant, act = F.col("kind") == "relevant", F.col("action")
+    told = done.agg(
+        n(relevant).alias("relevant"), n(relevant & (act != "reuse")).alias("relevant_detected"), n(relevant & (act == "replay")).alias("relevant_replayed"), n(relevant & (act == "recompile")).alias("relevant_recompiled"),
+        n(~relevant).alias("irrelevant"), n(~relevant & (act == "reuse")).alias("irrelevant_reused"),
+    )
+    both = sizes.unionByName(told, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.withColumn("expected_recompute", 100.0 * F.col("dependency_cells") / F.greatest("corpus_cells", F.lit(1)))
+
+
+def recovery_report(cases: DataFrame) -> DataFrame:
+    """One row over recovery cases: how often the cached answer and the old program still stand, and what the repaired program answers.
+
+    The right answer of a case is its new value."""
+    old = execute(cases.withColumn("documents", F.col("changed_documents")), into="__old")
+    same = lambda a, b: normalize(F.coalesce(a, F.lit(""))) == normalize(b)
+    rows = old.withColumns({"__cached": same(F.col("result.answer"), F.col("new_value")), "__now": same(F.col("new_result.answer"), F.col("new_value"))})
+    rate = lambda c: 100.0 * F.avg(c.cast("double"))
+    return rows.agg(
+        F.count("*").alias("cases"), rate(F.col("__cached")).alias("cached_em"), rate(F.col("__old.valid")).alias("old_plan_valid"), rate(F.col("new_result.valid")).alias("repaired_valid"),
+        rate(F.col("new_result.certified")).alias("repaired_certified"), rate(F.col("__now")).alias("repaired_em"),
+    )

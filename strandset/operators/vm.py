@@ -1,7 +1,8 @@
 """Executing programs over their contexts: one row in, one row out, no shuffle.
 
-``execute`` works in three projections: pointers are resolved to texts; all texts that are compared are normalised in one
-Arrow call; checks and reductions are expressions on arrays. Errors are texts in the order of their checks.
+``checked`` works in three projections: pointers are resolved to texts; all texts that are compared are normalised in one
+Arrow call; checks and reductions are expressions on arrays. Errors are texts in the order of their checks. ``execute`` and
+``contracts`` only choose which groups of checks count, so that all contracts share one pass.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from strandset.functions.constants import GROUNDED
 from strandset.functions.text import canonical, normalize_all, ordered_scalar
 
 TEXTS = "array<string>"
+LITERAL = "ungrounded literal answer is disabled"
 
 
 def _none(kind: str = TEXTS) -> Column:
@@ -64,14 +66,12 @@ def _errors(*pairs: tuple[Column, Column | str]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(e) if isinstance(e, str) else e) for c, e in pairs]), lambda e: e.isNotNull())
 
 
-def execute(rows: DataFrame, *, allow_literal: bool = False, require_join: bool = True, validate_joins: bool = True, into: str = "result") -> DataFrame:
-    """Adds ``into``: struct (valid, certified, answer, candidate_answer, answer_valid, errors, cited_text, join_values).
-
-    ``rows`` has question, documents and program; a null program gives a null result."""
+def checked(rows: DataFrame) -> DataFrame:
+    """Adds __of_evidence, __of_joins, __of_graph, __of_answer (errors by group), __found (what the answer reduces to), __cited and __left."""
     documents, question, program = F.col("documents"), F.col("question"), F.col("program")
     answer = program["answer"]
     evidence = F.array_distinct(program["evidence"])
-    joins = program["joins"] if validate_joins else F.filter(program["joins"], lambda j: F.lit(False))
+    joins = program["joins"]
     cited = lambda p: F.array_contains(F.col("__evidence"), F.struct(p["doc"].alias("doc"), p["sent"].alias("sent")))
 
     def target(j):
@@ -140,7 +140,7 @@ def execute(rows: DataFrame, *, allow_literal: bool = False, require_join: bool
         F.array_contains(acc, e["b"]) & ~F.array_contains(acc, e["a"]), F.array_append(acc, e["a"])
     ).otherwise(acc)
     reached = F.aggregate(F.flatten(F.array_repeat(edges, F.size(docs) + 1)), F.slice(docs, 1, 1), grow)
-    must_join = F.lit(validate_joins and require_join) & (F.size(docs) > 1) & program["mode"].isin("bridge", "composition")
+    must_join = (F.size(docs) > 1) & program["mode"].isin("bridge", "composition")
     graph_errors = _errors(
         (must_join & (F.size(program["joins"]) == 0), "multi-document proof has no executable join"),
         (must_join & (F.size(edges) > 0) & (F.size(F.array_except(docs, reached)) > 0), "multi-document proof join graph is disconnected"),
@@ -168,7 +168,7 @@ def execute(rows: DataFrame, *, allow_literal: bool = False, require_join: bool
         _errors(
             ((op == "copy") & answer["pointer"].isNull(), "copy answer has no pointer"),
             ((op == "bool") & ~truth.isin("yes", "no"), "boolean answer must be yes or no"),
-            ((op == "literal") & F.lit(not allow_literal), "ungrounded literal answer is disabled"),
+            (op == "literal", LITERAL),
         ),
         F.when(many, pointer_errors("__operands", answer["operands"], "answer.operand")).otherwise(_none()),
         _errors((many & (k < 2), F.concat(op, F.lit(" requires at least two grounded operands"))), ((op == "common") & (k >= 2) & (F.size(kinds) > 1), "common operands do not normalize to one value")),
@@ -188,30 +188,55 @@ def execute(rows: DataFrame, *, allow_literal: bool = False, require_join: bool
         .when(ordered & (k >= 2) & same_size & ~unparsed, F.get(label_values, chosen))
         .otherwise("")
     )
-    four = three.withColumns(
+    return three.withColumns(
         {
-            "__errors": F.concat(evidence_errors, F.flatten(F.transform("__joins", lambda x: x["errors"])), graph_errors),
-            "__answer_errors": answer_errors,
-            "__found": F.coalesce(found, F.lit("")),
+            "__of_evidence": evidence_errors, "__of_joins": F.flatten(F.transform("__joins", lambda x: x["errors"])), "__of_graph": graph_errors, "__of_answer": answer_errors,
+            "__found": F.coalesce(found, F.lit("")), "__cited": cited_text,
         }
-    )
-    every = F.concat("__errors", "__answer_errors")
-    valid, sound = F.size(every) == 0, F.size("__answer_errors") == 0
+    )
+
+
+def _result(allow_literal: bool, require_join: bool, validate_joins: bool) -> Column:
+    """The result of a row of ``checked`` under a contract."""
+    of_answer, found, op = F.col("__of_answer"), F.col("__found"), F.col("program.answer.op")
+    if allow_literal:
+        of_answer = F.array_remove(of_answer, LITERAL)
+    groups = [F.col("__of_evidence"), *([F.col("__of_joins")] if validate_joins else []), *([F.col("__of_graph")] if validate_joins and require_join else []), of_answer]
+    every = F.concat(*groups)
+    valid, sound = F.size(every) == 0, F.size(of_answer) == 0
+    left = F.transform("__left", lambda x: x["value"]) if validate_joins else _none()
     result = F.struct(
-        valid.alias("valid"), (valid & op.isin(*GROUNDED)).alias("certified"), F.when(valid, F.col("__found")).otherwise("").alias("answer"),
-        F.when(sound, F.col("__found")).otherwise("").alias("candidate_answer"), sound.alias("answer_valid"), every.alias("errors"), cited_text.alias("cited_text"), values(F.col("__left")).alias("join_values"),
+        valid.alias("valid"), (valid & op.isin(*GROUNDED)).alias("certified"), F.when(valid, found).otherwise("").alias("answer"), F.when(sound, found).otherwise("").alias("candidate_answer"),
+        sound.alias("answer_valid"), every.alias("errors"), F.col("__cited").alias("cited_text"), left.alias("join_values"),
     )
-    four = four.withColumn(into, F.when(program.isNotNull(), result))
-    return four.drop(*[c for c in four.columns if c.startswith("__") and c != into and c not in rows.columns])
+    return F.when(F.col("program").isNotNull(), result)
+
+
+def _tidied(done: DataFrame, rows: DataFrame, *keep: str) -> DataFrame:
+    return done.drop(*[c for c in done.columns if c.startswith("__") and c not in keep and c not in rows.columns])
+
+
+def execute(rows: DataFrame, *, allow_literal: bool = False, require_join: bool = True, validate_joins: bool = True, into: str = "result") -> DataFrame:
+    """Adds ``into``: struct (valid, certified, answer, candidate_answer, answer_valid, errors, cited_text, join_values).
+
+    ``rows`` has question, documents and program; a null program gives a null result."""
+    return _tidied(checked(rows).withColumn(into, _result(allow_literal, require_join, validate_joins)), rows, into)
+
+
+#: Execution contracts, from all checks to those of evidence and answer; ``answer_only`` accepts any sound answer.
+CONTRACTS = {
+    "full": (False, True, True), "no_connectivity": (False, False, True), "citation_only": (False, False, False), "free_literal": (True, True, True), "answer_only": (False, True, True),
+}
+
+
+def by_contract(done: DataFrame) -> DataFrame:
+    """Rows of ``checked`` once for each contract, with variant, result and accepted."""
+    each = F.array(*[F.struct(F.lit(name).alias("variant"), _result(*options).alias("result")) for name, options in CONTRACTS.items()])
+    done = done.withColumn("__each", F.explode(each)).withColumns({"variant": F.col("__each.variant"), "result": F.col("__each.result")})
+    accepted = F.when(F.col("variant") == "answer_only", F.col("result.answer_valid")).otherwise(F.col("result.valid"))
+    return done.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
 
 
 def contracts(rows: DataFrame) -> DataFrame:
-    """(…, variant, result): each row under the five execution contracts."""
-    variants = {
-        "full": {}, "no_connectivity": {"require_join": False}, "citation_only": {"require_join": False, "validate_joins": False}, "free_literal": {"allow_literal": True},
-    }
-    out = None
-    for name, options in variants.items():
-        one = execute(rows, **options).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(…, variant, accepted, result): each row under the five execution contracts, which share one pass over its checks."""
+    return _tidied(by_contract(checked(rows)), rows)

@@ -101,6 +101,7 @@ def outputs(rows: DataFrame, kind: Column = F.col) -> DataFrame:
         "disconnected": program("composition", refs((0, 0), (1, 0), (2, 0)), F.array(ask, to_customer), by_nation),
         "uncited": program("bridge", bridge, F.array(ask, to_customer), answer("copy", point(2, 0, "region"))),
         "unparsed": F.lit("<PROGRAM>{not json}</PROGRAM>"),
+        "day": program("bridge", refs((0, 0), (0, 1)), F.array(ask), answer("copy", point(0, 1, "day"))),
     }
     text = F.coalesce(*[F.when(kind == k, v) for k, v in texts.items()])
     wrapped = F.when(F.col("k") % 2 == 0, F.concat(F.lit("Plan: <PROGRAM> "), text, F.lit(" </PROGRAM>"))).otherwise(text)
@@ -111,6 +112,19 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(outputs(contexts(spark, sf_dir)))
 
 
+def programs_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Every order with a program of one kind."""
+    return parsed(outputs(contexts(spark, sf_dir), F.lit(kind)))
+
+
+def predictions(rows: DataFrame) -> DataFrame:
+    """Stored predictions (id, output, line) of context rows: a tenth is missing, a third has the dataset before its id, and a seventh has
+    an older line that can't be read."""
+    id = F.when(F.col("k") % 3 == 0, F.concat(F.lit("orders:"), "qid")).otherwise(F.col("qid")).alias("id")
+    good = outputs(rows).where("k % 10 != 9").select(id, "output", F.col("k").alias("line"))
+    return good.unionByName(rows.where("k % 7 = 0").select(id, F.lit("nonsense").alias("output"), F.lit(-1).cast("long").alias("line")))
+
+
 def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four candidates a question, of the four kinds from its own on, with a made-up likelihood and ranker score."""
     rows = contexts(spark, sf_dir).withColumn("index", F.explode(F.array(*[F.lit(i) for i in range(4)])))
@@ -140,5 +154,5 @@ SELECT *, sound AND NOT broken AS valid, sound AND NOT broken AND {kind} <> 'boo
 SELECT *, CASE WHEN {kind} IN ('copy','no_anchor','disconnected') THEN nation WHEN {kind} = 'composition' THEN region
      WHEN {kind} = 'argmin' THEN CASE WHEN d2 < d THEN title2 ELSE title END WHEN {kind} = 'argmax' THEN CASE WHEN d2 > d THEN title2 ELSE title END
      WHEN {kind} = 'equal' THEN CASE WHEN nation = nation2 THEN 'yes' ELSE 'no' END WHEN {kind} = 'common' THEN nation WHEN {kind} = 'bool' THEN 'yes' ELSE '' END AS found,
-  {kind} <> 'unparsed' AND NOT ({pair} AND title2 IS NULL) AND {kind} NOT IN ('literal','uncited') AND NOT ({kind} = 'common' AND nation <> nation2) AS sound,
-  {kind} IN ('no_anchor','disconnected') OR {kind} = 'unparsed' AS broken FROM {source})"""
+  {kind} NOT IN ('unparsed','missing') AND NOT ({pair} AND title2 IS NULL) AND {kind} NOT IN ('literal','uncited') AND NOT ({kind} = 'common' AND nation <> nation2) AS sound,
+  {kind} IN ('no_anchor','disconnected') OR {kind} IN ('unparsed','missing') AS broken FROM {source})"""

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandset.functions import text as t
-from strandset.operators import lineage, metrics, revisions, sampling, selection, significance, updates
-from strandset.operators.vm import contracts, execute
+from strandset.functions.constants import DEMONYMS, MAXIMUM_CUES, MINIMUM_CUES
+from strandset.operators import lineage, metrics, reports, revisions, sampling, selection, significance, updates
+from strandset.operators.training import TASKS, context_text
+from strandset.operators.vm import execute
 from strandset.plans import orders
 from strandset.plans.orders import SQL, outcome_sql, table
 
@@ -35,9 +37,14 @@ def results(spark, sf_dir):
     return execute(orders.programs(spark, sf_dir))
 
 
+def kind_sql(kind):
+    """Outcomes of programs of one kind for every order."""
+    return f"WITH {SQL}, a AS (SELECT g.*, '{kind}' AS own FROM g), r AS ({outcome_sql('own', 'a')})"
+
+
 def vm_kind(kind):
     def run(spark, sf_dir):
-        rows = orders.programs(spark, sf_dir).where(F.col("kind") == kind)
+        rows = orders.programs_of(spark, sf_dir, kind)
         return execute(rows).select("qid", "result.valid", "result.certified", "result.answer", F.col("result.candidate_answer").alias("candidate"))
 
     return run
@@ -47,7 +54,7 @@ for _kind, _name in {
     "copy": "vm_copy_bridge", "composition": "vm_composition", "argmin": "vm_argmin", "argmax": "vm_argmax", "equal": "vm_equal", "common": "vm_common", "bool": "vm_bool_uncertified",
     "literal": "vm_literal_rejected", "no_anchor": "vm_join_missing_anchor", "disconnected": "vm_disconnected", "uncited": "vm_uncited",
 }.items():
-    query(f"{OUT} SELECT qid, valid, certified, {SOUND} AS answer, candidate FROM r WHERE kind = '{_kind}'", _name)(vm_kind(_kind))
+    query(f"{kind_sql(_kind)} SELECT qid, valid, certified, {SOUND} AS answer, candidate FROM r", _name)(vm_kind(_kind))
 
 
 @query(f"WITH {SQL} SELECT qid, kind, kind = 'unparsed' AS parse_error, CASE WHEN kind = 'unparsed' THEN -1 WHEN kind IN ('argmin','argmax','equal','common') THEN 2 WHEN kind IN ('composition','no_anchor','disconnected') THEN 3 ELSE 2 END AS n_evidence FROM g")
@@ -105,39 +112,39 @@ def evaluate_summary(spark, sf_dir):
     return s.select("examples", *[F.round(c, 6).alias(c) for c in ("parse_rate", "valid_rate", "certified_rate", "candidate_rate", "answer_em", "strict_em", "valid_em", "certified_em", "evidence_f1", "joint_em")])
 
 
-BROKEN = "CAST(sum(valid::INT) AS BIGINT) AS valid, CAST(sum(certified::INT) AS BIGINT) AS certified, round(100.0 * avg(CASE WHEN valid THEN em ELSE 0 END), 6) AS strict_em"
-
-
-def _breakdown(spark, sf_dir, by, name):
-    return metrics.breakdown(scored(spark, sf_dir), by, name).select(name, "examples", "valid", "certified", F.round("strict_em", 6).alias("strict_em"))
-
-
 OPS = "CASE WHEN kind IN ('composition','no_anchor','disconnected','uncited') THEN 'copy' ELSE kind END"
+LEVELS = {
+    "operator": OPS, "join_family": "CASE WHEN kind IN ('argmin','argmax','equal','common') THEN 'none' ELSE 'both' END",
+    "mode": "CASE WHEN kind IN ('argmin','argmax','equal','common') THEN 'comparison' WHEN kind IN ('composition','disconnected') THEN 'composition' ELSE 'bridge' END",
+}
 
 
-@query(f"{SCORED} SELECT {OPS} AS operator, count(*) AS examples, {BROKEN} FROM s WHERE kind <> 'unparsed' GROUP BY 1")
-def operator_breakdown(spark, sf_dir):
-    return _breakdown(spark, sf_dir, F.col("program.answer.op"), "operator")
-
+def _breakdown(level):
+    def run(spark, sf_dir):
+        rates = ("share", "answer_valid_rate", "valid_rate", "certified_rate", "answer_f1", "strict_f1")
+        found = reports.coverage(scored(spark, sf_dir)).where(F.col("level") == level)
+        return found.select(F.col("value").alias(level), "examples", *[F.round(c, 6).alias(c) for c in rates])
 
-@query(f"{SCORED} SELECT CASE WHEN kind IN ('argmin','argmax','equal','common') THEN 'none' ELSE 'mixed' END AS family, count(*) AS examples, {BROKEN} FROM s WHERE kind <> 'unparsed' GROUP BY 1")
-def join_family_breakdown(spark, sf_dir):
-    return _breakdown(spark, sf_dir, metrics.join_family(F.col("program")), "family")
+    return run
 
 
-@query(f"{SCORED} SELECT CASE WHEN kind IN ('argmin','argmax','equal','common') THEN 'comparison' WHEN kind IN ('composition','disconnected') THEN 'composition' ELSE 'bridge' END AS mode, count(*) AS examples, {BROKEN} FROM s WHERE kind <> 'unparsed' GROUP BY 1")
-def mode_breakdown(spark, sf_dir):
-    return _breakdown(spark, sf_dir, F.col("program.mode"), "mode")
+for _level, _value in LEVELS.items():
+    query(
+        f"""{SCORED} SELECT {_value} AS {_level}, count(*) AS examples, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share, round(100.0 * avg(sound::INT), 6) AS answer_valid_rate, round(100.0 * avg(valid::INT), 6) AS valid_rate,
+round(100.0 * avg(certified::INT), 6) AS certified_rate, round(100.0 * avg(em), 6) AS answer_f1, round(100.0 * avg(CASE WHEN valid THEN em ELSE 0 END), 6) AS strict_f1 FROM s WHERE kind <> 'unparsed' GROUP BY 1""",
+        f"{_level}_breakdown",
+    )(_breakdown(_level))
 
 
 @query(
-    f"""{OUT}, v AS (SELECT unnest(['full','no_connectivity','citation_only','free_literal']) AS variant)
-SELECT variant, count(*) AS examples, CAST(sum((valid OR sound AND (kind = 'disconnected' AND variant IN ('no_connectivity','citation_only') OR kind = 'no_anchor' AND variant = 'citation_only') OR kind = 'literal' AND variant = 'free_literal')::INT) AS BIGINT) AS valid
-FROM r, v WHERE kind <> 'unparsed' GROUP BY 1"""
+    f"""{SCORED}, v AS (SELECT unnest(['full','no_connectivity','citation_only','free_literal','answer_only']) AS variant),
+x AS (SELECT *, valid OR sound AND (kind = 'disconnected' AND variant IN ('no_connectivity','citation_only') OR kind = 'no_anchor' AND variant = 'citation_only' OR variant = 'answer_only') OR kind = 'literal' AND variant = 'free_literal' AS accepted FROM s, v)
+SELECT variant, count(*) AS examples, CAST(sum((kind <> 'unparsed')::INT) AS BIGINT) AS parsed, CAST(sum(accepted::INT) AS BIGINT) AS accepted, round(100.0 * avg(accepted::INT), 6) AS accepted_rate, round(100.0 * avg(em), 6) AS answer_em, round(100.0 * avg(em), 6) AS answer_f1,
+round(100.0 * avg(CASE WHEN accepted THEN em ELSE 0 END), 6) AS strict_em, round(100.0 * avg(CASE WHEN accepted THEN em ELSE 0 END), 6) AS strict_f1 FROM x GROUP BY 1"""
 )
 def contract_ablation(spark, sf_dir):
-    rows = contracts(orders.programs(spark, sf_dir).where("program is not null"))
-    return rows.groupBy("variant").agg(F.count("*").alias("examples"), F.sum(F.col("result.valid").cast("long")).alias("valid"))
+    rows = reports.ablation(orders.outputs(orders.contexts(spark, sf_dir)))
+    return rows.select("variant", "examples", "parsed", "accepted", *[F.round(c, 6).alias(c) for c in ("accepted_rate", "answer_em", "answer_f1", "strict_em", "strict_f1")])
 
 
 def bound(spark, sf_dir):
@@ -283,7 +290,20 @@ def answer_groups(spark, sf_dir):
     return groups(spark, sf_dir).select("qid", "answer", *[F.round(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
 
 
-@query()
+def meta_sql():
+    lines = "CASE WHEN own = 'unparsed' THEN 0 WHEN own IN ('composition','no_anchor','disconnected') THEN 3 WHEN own IN ('argmin','argmax','equal','common') AND title2 IS NULL THEN 1 ELSE 2 END"
+    asked = "contains('which nation is customer of ' || max(lower(replace(title, '#', ''))) || ' based in', answer) AND answer <> ''"
+    weights, out = MODEL["weight1"], MODEL["weight2"]
+    hidden = " + ".join(f"({out[i]} * tanh(list_inner_product(z, {w}::DOUBLE[]) + {MODEL['bias1'][i]}))" for i, w in enumerate(weights))
+    return f"""{CAND}, b AS (SELECT t.*, title, {lines} AS lines, max(tier) OVER (PARTITION BY qid) AS best, sum((tier = 2)::INT) OVER (PARTITION BY qid) AS strict FROM t JOIN (SELECT qid, title, title2 FROM g) USING (qid)),
+c AS (SELECT *, sum((tier = best)::INT) OVER (PARTITION BY qid) AS bn, row_number() OVER (PARTITION BY qid, answer ORDER BY tier DESC, score DESC, logprob DESC, idx) AS nth FROM b),
+d AS (SELECT qid, answer, max(CASE WHEN nth = 1 THEN idx END) AS idx, list_transform([count(*) / 4.0, sum((tier = best)::INT) / max(bn), max(tier), max(strict) / 4.0, sum((tier = 2)::INT) / count(*), max(logprob), avg(logprob), max(score), avg(score), max(lines), ln(10.0),
+  CASE WHEN answer = '' THEN 0.0 ELSE ln(1.0 + len(string_split(answer, ' '))) END, CASE WHEN {asked} THEN 1.0 ELSE 0.0 END, 0.0, 0.0, 0.0]::DOUBLE[], lambda x: (x - 0.5) / 2.0) AS z FROM c GROUP BY 1, 2),
+e AS (SELECT qid, idx, answer, {hidden} + {MODEL["bias2"]} AS score FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, answer DESC) AS n FROM e)
+SELECT qid, CAST(idx AS INTEGER) AS index, round(score, 6) AS meta_score FROM o WHERE n = 1"""
+
+
+@query(meta_sql())
 def meta_score(spark, sf_dir):
     return selection.by_meta(groups(spark, sf_dir), MODEL).select("qid", "index", F.round("meta_score", 6).alias("meta_score"))
 
@@ -302,75 +322,72 @@ def paired_bootstrap(spark, sf_dir):
 
 # texts
 
-SENTENCES = r"""c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')), s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM c)"""
 
+def folded_sql(text):
+    """Lower case, and letters of the Latin blocks as their compatibility decompositions, by a rule over the code points."""
+    import unicodedata
+
+    out = f"lower({text})"
+    for code in range(0xC0, 0x180):
+        to = unicodedata.normalize("NFKD", chr(code)).casefold()
+        if to != chr(code) and chr(code).lower() == chr(code):
+            out = f"replace({out}, '{chr(code)}', '{to}')"
+    return out
 
-def texts(spark, sf_dir, name, every):
-    """A table with all its rows, or those that the SQL can fold."""
-    rows = table(spark, sf_dir, name)
-    return rows if every else rows.where(r"text rlike '^[\\x00-\\x7F]*$'")
 
+SENTENCES = r"""c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM c)"""
 
-def sentences(spark, sf_dir, every=False):
-    docs = texts(spark, sf_dir, "documents", every)
-    return docs.withColumn("t", t.clean("text")).select("doc_id", t.split_sentences(F.col("t")).alias("s"))
+
+def sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("t", t.clean("text")).select("doc_id", t.split_sentences(F.col("t")).alias("s"))
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS sent, sha256(s[i]) AS sha256 FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)")
-def sentence_cells(spark, sf_dir, every=False):
-    return sentences(spark, sf_dir, every).select("doc_id", F.posexplode("s").alias("sent", "x")).select("doc_id", "sent", t.text_digest(F.col("x")).alias("sha256"))
+def sentence_cells(spark, sf_dir):
+    return sentences(spark, sf_dir).select("doc_id", F.posexplode("s").alias("sent", "x")).select("doc_id", "sent", t.text_digest(F.col("x")).alias("sha256"))
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, sha256('[[0,' || len(s) || ']]') AS structure FROM s")
-def structure_digest(spark, sf_dir, every=False):
+def structure_digest(spark, sf_dir):
     doc = F.array(F.struct(F.lit(0).alias("doc"), F.lit("").alias("title"), F.col("s").alias("sentences")))
-    return sentences(spark, sf_dir, every).select("doc_id", lineage.structure_digest(doc).alias("structure"))
+    return sentences(spark, sf_dir).select("doc_id", lineage.structure_digest(doc).alias("structure"))
 
 
-NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+NORM = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {NORM.format('text')} AS normal FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def normalize_ascii(spark, sf_dir, every=False):
-    return texts(spark, sf_dir, "documents", every).select("doc_id", t.normalize("text").alias("normal"))
+@query(f"SELECT doc_id, {NORM.format(folded_sql('text'))} AS normal FROM documents")
+def normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.normalize("text").alias("normal"))
 
 
-def answer_pairs(spark, sf_dir, every=False):
-    rows = texts(spark, sf_dir, "benchmark", every).select("item_id", t.normalize(F.coalesce("text", F.lit(""))).alias("a"))
+def answer_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", t.normalize(F.coalesce("text", F.lit(""))).alias("a"))
     nxt = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
     return rows.join(nxt, "item_id")
 
 
-PAIRS = f"b AS (SELECT item_id, {NORM.format('text')} AS a FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')), p AS (SELECT x.item_id, x.a, y.a AS b FROM b x JOIN b y ON y.item_id = x.item_id + 1)"
+PAIRS = f"b AS (SELECT item_id, {NORM.format(folded_sql('text'))} AS a FROM benchmark), p AS (SELECT x.item_id, x.a, y.a AS b FROM b x JOIN b y ON y.item_id = x.item_id + 1)"
 
 
 @query(f"""WITH {PAIRS}, ta AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(string_split(a, ' ')) AS w FROM p) WHERE w <> '' GROUP BY 1, 2), tb AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(string_split(b, ' ')) AS w FROM p) WHERE w <> '' GROUP BY 1, 2),
 o AS (SELECT item_id, sum(least(ta.n, tb.n)) AS o FROM ta JOIN tb USING (item_id, w) GROUP BY 1), na AS (SELECT item_id, sum(n) AS n FROM ta GROUP BY 1), nb AS (SELECT item_id, sum(n) AS n FROM tb GROUP BY 1)
 SELECT item_id, round(coalesce(2.0 * o / (na.n + nb.n), 0), 6) AS f1, round(coalesce(o / na.n, 0), 6) AS precision, round(coalesce(o / nb.n, 0), 6) AS recall FROM p LEFT JOIN o USING (item_id) LEFT JOIN na USING (item_id) LEFT JOIN nb USING (item_id)""")
-def token_f1_pairs(spark, sf_dir, every=False):
+def token_f1_pairs(spark, sf_dir):
     s = t.token_prf(F.col("a"), F.array("b"))
-    return answer_pairs(spark, sf_dir, every).withColumn("s", s).select("item_id", *[F.round(F.col(f"s.{c}"), 6).alias(c) for c in ("f1", "precision", "recall")])
+    return answer_pairs(spark, sf_dir).withColumn("s", s).select("item_id", *[F.round(F.col(f"s.{c}"), 6).alias(c) for c in ("f1", "precision", "recall")])
 
 
 @query(f"WITH {PAIRS} SELECT item_id, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS em FROM p")
-def exact_match_pairs(spark, sf_dir, every=False):
-    return answer_pairs(spark, sf_dir, every).select("item_id", t.exact_match(F.col("a"), F.array("b")).alias("em"))
-
+def exact_match_pairs(spark, sf_dir):
+    return answer_pairs(spark, sf_dir).select("item_id", t.exact_match(F.col("a"), F.array("b")).alias("em"))
 
-def every_row(f):
-    return lambda spark, sf_dir: f(spark, sf_dir, every=True)
 
-
-# all rows, which SQL can't fold: no SQL
-for _f, _name in ((sentence_cells, "sentence_cells"), (structure_digest, "structure_digest"), (normalize_ascii, "normalize"), (token_f1_pairs, "token_f1_pairs"), (exact_match_pairs, "exact_match_pairs")):
-    query(name=f"{_name}_all")(every_row(_f))
-
-
-@query("SELECT o_orderkey, CAST(year(o_orderdate) AS DOUBLE) AS y, CAST(month(o_orderdate) AS DOUBLE) AS m, CAST(day(o_orderdate) AS DOUBLE) AS d, CASE WHEN o_totalprice >= 1000 AND o_totalprice < 2100 THEN NULL ELSE floor(o_totalprice) END AS price FROM orders")
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS DOUBLE) AS y, CAST(month(o_orderdate) AS DOUBLE) AS m, CAST(day(o_orderdate) AS DOUBLE) AS d, floor(o_totalprice) AS price, CASE WHEN floor(o_totalprice) BETWEEN 1000 AND 2099 THEN 3 ELSE 1 END AS parts FROM orders")
 def ordered_scalar(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumns({"x": t.ordered_scalar(F.date_format("o_orderdate", "'on' d MMMM yyyy")), "p": t.ordered_scalar(F.format_number("o_totalprice", 2))})
-    price = F.when(~F.col("o_totalprice").between(1000, 2099.999), F.floor(F.get("p", F.lit(0))).cast("double"))
-    return o.select("o_orderkey", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate("ymd")], price.alias("price"))
+    plain = t.ordered_scalar(F.floor("o_totalprice").cast("string"))  # four digits that read as a year have a month and a day
+    o = table(spark, sf_dir, "orders").withColumns({"x": t.ordered_scalar(F.date_format("o_orderdate", "'on' d MMMM yyyy")), "p": t.ordered_scalar(F.format_number("o_totalprice", 2)), "plain": plain})
+    return o.select("o_orderkey", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate("ymd")], F.floor(F.get("p", F.lit(0))).cast("double").alias("price"), F.size("plain").alias("parts"))
 
 
 @query("SELECT conv_id, turn, CAST(CAST('0x' || substr(sha256(conv_id || ':' || turn), 1, 16) AS UBIGINT) % 10000 AS INTEGER) AS bucket, CASE WHEN CAST('0x' || substr(sha256(conv_id || ':' || turn), 1, 16) AS UBIGINT) % 10000 < 500 THEN 'holdout' ELSE 'train' END AS part FROM conversations")
@@ -390,11 +407,19 @@ def sha_topk(spark, sf_dir):
     return sampling.first_by_digest(table(spark, sf_dir, "benchmark"), F.col("item_id").cast("string"), 10).select("item_id")
 
 
-@query("SELECT lang, count(*) AS n, CAST(sum((n_chars <= 2000)::INT) AS BIGINT) AS kept, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY 1")
+PLACE = "list_sort(list(n_chars))[CAST(floor({} * (count(*) - 1)) AS INTEGER) + 1]"
+
+
+@query(f"SELECT lang, count(*) AS n, CAST(sum((n_chars <= 2000)::INT) AS BIGINT) AS kept, min(n_chars) AS shortest, {PLACE.format(0.5)} AS p50, {PLACE.format(0.95)} AS p95, {PLACE.format(0.99)} AS p99, max(n_chars) AS longest FROM documents GROUP BY 1")
 def length_profile(spark, sf_dir):
     return sampling.length_profile(table(spark, sf_dir, "documents"), "n_chars", 2000, "lang")
 
 
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def longest_documents(spark, sf_dir):
+    return sampling.longest(table(spark, sf_dir, "documents"), "n_chars", "doc_id")
+
+
 def event_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("title"), F.col("event_id").alias("revid"), F.col("ts").alias("timestamp"), F.col("event_type").alias("content"))
     return revisions.pairs(rows)
@@ -419,18 +444,28 @@ def title_profiles(spark, sf_dir):
     return revisions.title_profiles(bound(spark, sf_dir), 20)
 
 
-@query()
-def recovery_cases(spark, sf_dir):
-    return updates.recovery_cases(bound(spark, sf_dir)).select("qid", "new_value", F.col("new_result.answer").alias("new_answer"))
+DAYS = f"""WITH {SQL}, x AS (SELECT qid, day, left(day, -4) || (CAST(right(day, 4) AS INTEGER) + 1) AS new_value, 'It was ordered on ' || day || '.' || coalesce('It was ordered on ' || day2 || '.', '') AS cells FROM g),
+cases AS (SELECT * FROM x WHERE (length(cells) - length(replace(cells, day, ''))) // length(day) = 1 AND NOT contains(cells, new_value))"""
 
 
-@query("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) IS NOT NULL AS ok, list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS INTEGER) + 1] AS p95 FROM events GROUP BY 1")
-def floor_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.lit(True).alias("ok"), metrics.floor_percentile(F.col("value"), 0.95).alias("p95"))
+def day_cases(spark, sf_dir):
+    return updates.recovery_cases(lineage.bind(execute(orders.programs_of(spark, sf_dir, "day"))))
+
+
+@query(f"{DAYS} SELECT qid, new_value, new_value AS new_answer FROM cases")
+def recovery_cases(spark, sf_dir):
+    return day_cases(spark, sf_dir).select("qid", "new_value", F.col("new_result.answer").alias("new_answer"))
 
 
+@query(f"{DAYS} SELECT count(*) AS cases, 0.0::DOUBLE AS cached_em, 0.0::DOUBLE AS old_plan_valid, 100.0::DOUBLE AS repaired_valid, 100.0::DOUBLE AS repaired_certified, 100.0::DOUBLE AS repaired_em FROM cases")
+def recovery_report(spark, sf_dir):
+    return updates.recovery_report(day_cases(spark, sf_dir))
 
 
+@query("SELECT event_type, count(value) AS n, list_sort(list(value))[CAST(floor(0.5 * (count(*) - 1)) AS INTEGER) + 1] AS p50, list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS INTEGER) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def floor_percentiles(spark, sf_dir):
+    return metrics.floor_percentiles(table(spark, sf_dir, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_type")
+
 
 @query(f"{OUT} SELECT qid, CASE WHEN kind = 'equal' AND k % 24 = 4 THEN 'literal' WHEN kind IN ('equal','bool') THEN 'bool' ELSE 'copy' END AS op, NOT (kind = 'equal' AND k % 24 = 4) AS valid FROM g")
 def gold_compile(spark, sf_dir):
@@ -443,31 +478,45 @@ def gold_compile(spark, sf_dir):
     return execute(compile_labels(rows.withColumn("support", support))).select("qid", F.col("program.answer.op").alias("op"), "result.valid")
 
 
-@query("SELECT n_nationkey, CASE lower(n_name) WHEN 'american' THEN 'united states' ELSE lower(replace(n_name, '_', '')) END AS plain, 'france' AS country FROM nation")
+WORDS, LANDS = list(DEMONYMS), list(DEMONYMS.values())
+
+
+@query(f"SELECT o_orderkey, CAST({LANDS} AS VARCHAR[])[CAST(o_orderkey % {len(WORDS)} AS INTEGER) + 1] AS country, lower(replace(n_name, '_', '')) AS plain FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def canonical_scalar(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").withColumns({"a": t.normalize("n_name"), "b": t.normalize(F.concat(F.lit("the "), F.lit("French")))})
-    return rows.select("n_nationkey", t.canonical(F.col("a")).alias("plain"), t.canonical(F.col("b")).alias("country"))
+    said = F.get(F.array(*map(F.lit, WORDS)), (F.col("k") % len(WORDS)).cast("int"))
+    rows = orders.facts(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey"), "k")
+    names = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    rows = rows.join(names, F.col("o_custkey") == F.col("c_custkey")).withColumns({"a": t.normalize(F.concat(F.lit("The "), F.initcap(said), F.lit("!"))), "b": t.normalize("n_name")})
+    return rows.select(F.col("k").alias("o_orderkey"), t.canonical(F.col("a")).alias("country"), t.canonical(F.col("b")).alias("plain"))
+
 
+CUES = [*MAXIMUM_CUES, *MINIMUM_CUES, "nothing"]
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'argmin' WHEN o_orderkey % 3 = 1 THEN 'argmax' END AS reducer FROM orders")
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(CUES)} < {len(MAXIMUM_CUES)} THEN 'argmax' WHEN o_orderkey % {len(CUES)} < {len(CUES) - 1} THEN 'argmin' END AS reducer FROM orders")
 def reducer(spark, sf_dir):
-    k = F.col("o_orderkey") % 3
-    asked = F.concat(F.lit("Which order "), F.when(k == 0, "is OLDER?").when(k == 1, "came later than the oldest?").otherwise("is it?"))
+    cue = F.get(F.array(*map(F.lit, CUES)), (F.col("o_orderkey") % len(CUES)).cast("int"))
+    asked = F.concat(F.lit("Which of both is "), F.upper(cue), F.lit("?"))
     return table(spark, sf_dir, "orders").select("o_orderkey", t.reducer_from_question(asked).alias("reducer"))
 
 
-@query("SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) + 17 AS replaced FROM orders")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(round(o_totalprice) AS BIGINT) + 17 AS VARCHAR) WHEN 1 THEN CAST(o_totalprice + 17 AS VARCHAR) WHEN 2 THEN CASE WHEN o_orderkey % 8 = 2 THEN 'no' ELSE 'yes' END
+ELSE '§' || substr(sha256(o_orderpriority), 1, 10) || '§' END AS replaced FROM orders""")
 def disjoint_replacements(spark, sf_dir):
-    quote = F.format_number(F.round("o_totalprice"), 0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", t.disjoint_replacement(quote).cast("long").alias("replaced"))
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    quote = F.when(k % 4 == 0, F.format_number(F.round(price), 0)).when(k % 4 == 1, price.cast("string")).when(k % 8 == 2, " Yes").when(k % 4 == 2, "NO").otherwise(F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.disjoint_replacement(quote).alias("replaced"))
 
 
-@query(f"WITH {SQL} SELECT qid, length('Question: Which nation is the customer of ' || title || ' based in?') AS first_line, CASE WHEN title2 IS NULL THEN 11 ELSE 19 END AS lines FROM g")
-def context_rendering(spark, sf_dir):
-    from strandset.operators.training import context_text
+def documents_sql(s, at):
+    """The lines of three documents of a context."""
+    return f"""'[D{at}:TITLE] ' || title{s} || chr(10) || '[D{at}:S0] ' || title{s} || ' was placed by ' || customer{s} || '.' || chr(10) || '[D{at}:S1] It was ordered on ' || day{s} || '.' || chr(10) || '[D{at}:S2] Its status is ' || status{s} || '.' || chr(10)
+|| '[D{at + 1}:TITLE] ' || customer{s} || chr(10) || '[D{at + 1}:S0] ' || customer{s} || ' is based in ' || nation{s} || '.' || chr(10) || '[D{at + 2}:TITLE] ' || nation{s} || chr(10) || '[D{at + 2}:S0] ' || nation{s} || ' belongs to ' || region{s} || '.'"""
 
-    text = F.split(context_text(), "\n")
-    return orders.contexts(spark, sf_dir).withColumn("x", text).select("qid", F.length(F.get("x", F.lit(0))).cast("long").alias("first_line"), F.size("x").alias("lines"))
+
+@query(f"""WITH {SQL} SELECT qid, sha256('Question: Which nation is the customer of ' || title || ' based in?' || chr(10) || 'Documents:' || chr(10) || {documents_sql('', 0)} || coalesce(chr(10) || {documents_sql('2', 3)}, '') || chr(10) || '{TASKS["program"]}') AS text_sha256 FROM g""")
+def context_rendering(spark, sf_dir):
+    return orders.contexts(spark, sf_dir).select("qid", t.text_digest(context_text()).alias("text_sha256"))
 
 
 @query("SELECT label, count(*) AS n, round(1 / sqrt(count(*)), 6) AS weight FROM embeddings GROUP BY 1")
@@ -475,10 +524,10 @@ def root_weights(spark, sf_dir):
     return sampling.root_weights(table(spark, sf_dir, "embeddings"), "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.first("weight"), 6).alias("weight"))
 
 
-@query("SELECT conv_id, (length(text) - length(replace(text, 'de', ''))) // 2 AS n FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, (length(text) - length(replace(text, 'de', ''))) // 2 AS n FROM conversations")
 def occurrence_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn = 0")
-    return rows.select("conv_id", t.occurrences(F.array("text"), F.lit("de")).cast("long").alias("n"))
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", t.occurrences(F.array("text"), F.lit("de")).cast("long").alias("n"))
 
 
 @query(f"{OUT} SELECT {OPS} AS kind, 'relevant' AS changed, CASE WHEN certified THEN 'replay' ELSE 'recompile' END AS action, count(*) AS n FROM r WHERE valid GROUP BY ALL UNION ALL SELECT {OPS}, 'irrelevant', 'reuse', count(*) FROM r WHERE valid GROUP BY ALL")

@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandset.functions.text import clean, clean_all, split_sentences
+from strandset.functions.text import casefold_all, clean, clean_all, split_sentences
 from strandset.functions.udf import arrow_udf
 from strandset.schema import CONTEXT, DOCUMENTS, PUBLIC, REF
 
 #: Columns that hold or give away answers; serving must not see them.
-SUPERVISION = ("answer", "answers", "support", "supporting_facts", "evidences", "decomposition", "question_decomposition", "answer_aliases", "support_complete", "support_expected")
+SUPERVISION = (
+    "answer", "answers", "support", "supporting_facts", "is_supporting", "evidences", "decomposition", "question_decomposition", "answer_aliases", "support_complete", "support_expected", "gold",
+)
 
 CONTEXT_STRUCT = "struct<title:array<string>,sentences:array<array<string>>>"
 FACTS_STRUCT = "struct<title:array<string>,sent_id:array<int>>"
@@ -48,10 +50,11 @@ def _supported(rows: DataFrame) -> DataFrame:
     """Adds documents, support, support_complete and support_expected from __titles, __sentences, __facts (title, sent)."""
     rows = rows.withColumns({"__titles": clean_all("__titles"), "__sentences": _clean_nested("__sentences"), "__names": clean_all(F.transform("__facts", lambda f: f["title"]))})
     rows = rows.withColumns({"documents": _documents(F.col("__titles"), F.col("__sentences"))})
-    lower = F.transform("__titles", F.lower)
-    at = lambda name: F.size(lower) - F.array_position(F.reverse(lower), F.lower(name)).cast("int")  # the last document of a title counts
-    pairs = F.zip_with("__names", "__facts", lambda n, f: F.struct(F.lower(n).alias("t"), f["sent"].cast("int").alias("s")))
-    known = F.filter(F.zip_with("__names", "__facts", lambda n, f: F.struct(F.when(F.array_contains(lower, F.lower(n)), at(n)).alias("doc"), f["sent"].cast("int").alias("sent"))), lambda r: r["doc"].isNotNull())
+    rows = rows.withColumns({"__folded": casefold_all("__titles"), "__asked": casefold_all("__names")})
+    folded = F.col("__folded")
+    at = lambda name: F.size(folded) - F.array_position(F.reverse(folded), name).cast("int")  # the last document of a title counts
+    pairs = F.zip_with("__asked", "__facts", lambda n, f: F.struct(n.alias("t"), f["sent"].cast("int").alias("s")))
+    known = F.filter(F.zip_with("__asked", "__facts", lambda n, f: F.struct(F.when(F.array_contains(folded, n), at(n)).alias("doc"), f["sent"].cast("int").alias("sent"))), lambda r: r["doc"].isNotNull())
     support, expected = F.array_distinct(known), F.size(F.array_distinct(pairs))
     return rows.withColumns({"support": support.cast(f"array<{REF}>"), "support_expected": expected, "support_complete": F.size(support) == expected})
 
@@ -130,23 +133,46 @@ def musique(raw: DataFrame, split: str = "dev") -> DataFrame:
 READERS = {"hotpotqa": hotpot, "2wiki": wiki2, "musique": musique}
 
 
-def load_contexts(spark: SparkSession, dataset: str, root: str, split: str, variant: str | None = None) -> DataFrame:
+def file_order() -> Column:
+    """Where a row stands in its files: file, place of its split, place in the split (a split is read by one task, in order)."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+
+
+def load_contexts(spark: SparkSession, dataset: str, root: str, split: str, variant: str | None = None, limit: int | None = None) -> DataFrame:
+    """Contexts of a split; ``limit``: only the first rows in the order of files and lines."""
     path = source_files(dataset, root, split, variant)
     raw = spark.read.json(path) if dataset == "musique" else spark.read.parquet(path)
+    if limit is not None:
+        raw = raw.withColumn("__order", file_order()).orderBy("__order").limit(limit).drop("__order")
     return READERS[dataset](raw, split)
 
 
+def raw_counts(spark: SparkSession, root: str, split: str, datasets: tuple[str, ...] = ("hotpotqa", "2wiki", "musique")) -> DataFrame:
+    """(dataset, rows) of the source files."""
+    out = None
+    for dataset in datasets:
+        path = source_files(dataset, root, split)
+        one = (spark.read.json(path) if dataset == "musique" else spark.read.parquet(path)).agg(F.lit(dataset).alias("dataset"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def public(contexts: DataFrame) -> DataFrame:
     """What serving may read."""
     return contexts.select(*PUBLIC)
 
 
-def assert_public(rows: DataFrame) -> None:
-    """Raises when a column or a nested field is supervision or starts with gold."""
+def _told(name: str) -> bool:
+    return name.casefold() in SUPERVISION or name.casefold().startswith("gold")
+
+
+def assert_public(rows: DataFrame, *json_columns: str) -> None:
+    """Raises when a column or a nested field, in any letter case, is supervision or starts with gold, or when a JSON text in
+    ``json_columns`` has such a key at any depth."""
 
     def walk(kind, path):
         for f in getattr(kind, "fields", []):
-            if f.name in SUPERVISION or f.name.startswith("gold"):
+            if _told(f.name):
                 raise ValueError(f"supervision in {'.'.join([*path, f.name])}")
             walk(f.dataType, [*path, f.name])
         for inner in ("elementType", "valueType"):
@@ -154,6 +180,10 @@ def assert_public(rows: DataFrame) -> None:
                 walk(getattr(kind, inner), path)
 
     walk(rows.schema, [])
+    for name in json_columns:
+        keys = F.explode(F.regexp_extract_all(F.col(name), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1))
+        for (key,) in rows.select(keys.alias("key")).distinct().where(F.lower("key").isin(*SUPERVISION) | F.lower("key").startswith("gold")).limit(1).collect():
+            raise ValueError(f"supervision in {name}: {key}")
 
 
 PREDICTION = (
@@ -163,8 +193,9 @@ PREDICTION = (
 
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Stored predictions with their line numbers; a torn last line is dropped; a program object wins over the output text."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("trim(value) != ''")
+    """Stored predictions with ``line``, their place in the order of files and lines; a torn last line is dropped; a program object wins
+    over the output text."""
+    lines = spark.read.text(path).withColumn("line", file_order()).where("trim(value) != ''")
     rows = lines.withColumn("x", F.from_json("value", PREDICTION)).where("x.id is not null").select("x.*", "line")
     return rows.withColumn("output", F.coalesce("program", "output")).drop("program")
 

@@ -7,7 +7,7 @@ from html import unescape
 
 import pytest
 
-from strandset.plans.queries import ORACLES, QUERIES
+from strandset.plans.queries import QUERIES
 
 TEXTS = ["The Straße, an (ﬁne) day! Über 5. Next one.", "One\u00a0two. \u2003Three? 4 is.", "plain. And A &amp; B", "EL AÑO. Él", "el año. él!", "", None, "“The” 中文。 A. B", "yes", "Yés no"]
 
@@ -49,22 +49,18 @@ def tables(spark, tmp_path_factory):
 
 def test_texts_of_all_rows(spark, tables):
     run = lambda name: sorted(map(tuple, QUERIES[name](spark, tables).collect()))
-    assert run("sentence_cells_all") == [(i, k, sha(x)) for i, t in enumerate(TEXTS) for k, x in enumerate(sentences(t))]
-    assert run("structure_digest_all") == [(i, sha(f"[[0,{len(sentences(t))}]]")) for i, t in enumerate(TEXTS)]
-    assert run("normalize_all") == [(i, None if t is None else fold(t)) for i, t in enumerate(TEXTS)]
+    assert run("sentence_cells") == [(i, k, sha(x)) for i, t in enumerate(TEXTS) for k, x in enumerate(sentences(t))]
+    assert run("structure_digest") == [(i, sha(f"[[0,{len(sentences(t))}]]")) for i, t in enumerate(TEXTS)]
+    assert run("normalize") == [(i, None if t is None else fold(t)) for i, t in enumerate(TEXTS)]
 
 
 def test_pairs_of_all_rows(spark, tables):
     pairs = [(fold(a or ""), fold(b or "")) for a, b in zip(TEXTS, TEXTS[1:])]
-    em = {r.item_id: r.em for r in QUERIES["exact_match_pairs_all"](spark, tables).collect()}
+    em = {r.item_id: r.em for r in QUERIES["exact_match_pairs"](spark, tables).collect()}
     assert em == {i: float(a == b) for i, (a, b) in enumerate(pairs)} and sum(em.values()) == 2
-    got = {r.item_id: (r.f1, r.precision, r.recall) for r in QUERIES["token_f1_pairs_all"](spark, tables).collect()}
+    got = {r.item_id: (r.f1, r.precision, r.recall) for r in QUERIES["token_f1_pairs"](spark, tables).collect()}
     assert got == {i: pytest.approx(prf(a, b), abs=1e-6) for i, (a, b) in enumerate(pairs)}
 
 
-def test_all_rows_have_no_sql():
-    assert not [n for n in ORACLES if n.endswith("_all")]
-
-
 def test_bootstrap_draws_as_often_as_the_reference(spark, sf):
     assert QUERIES["paired_bootstrap"](spark, sf).first().bootstrap_samples == 5000

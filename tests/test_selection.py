@@ -41,7 +41,10 @@ def test_set_prf_and_percentile(spark):
     for p, g, want in (([1, 2], [2], (0, 0.5, 1, 2 / 3)), ([], [], (1, 1, 1, 1)), ([], [1], (0, 0, 0, 0)), ([1], [1], (1, 1, 1, 1))):
         r = spark.range(1).select(metrics.set_prf(a(p), a(g)).alias("x")).first().x
         assert all(abs(x - y) < 1e-12 for x, y in zip(r, want))
-    assert spark.range(1, 8).agg(metrics.floor_percentile(F.col("id"), 0.95).alias("x")).first().x == 6
+    assert metrics.floor_percentiles(spark.range(1, 8), "id", {"x": 0.95}).first().x == 6
+    rows = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 3.0), ("a", None), ("b", 7.0)], "g string, v double")
+    got = {r.g: (r.n, r.p0, r.p50, r.p99) for r in metrics.floor_percentiles(rows, "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99}, "g").collect()}
+    assert got == {"a": (3, 1.0, 3.0, 3.0), "b": (1, 7.0, 7.0, 7.0)} and metrics.floor_percentiles(rows.limit(0), "v", {"x": 0.5}).count() == 0
 
 
 def test_last_prediction_wins_and_prefixed_ids_match(spark):
