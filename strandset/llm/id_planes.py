@@ -1,7 +1,7 @@
 """Token ids in byte planes (operator 1).
 
 A chunk holds the ids of whole documents, cut into blocks of BLOCK ids. Each block is transposed into byte planes (all
-lowest bytes, then all next bytes, as many as its largest id needs) or, for few distinct high bits, bit planes; each
+lowest bytes, then all next bytes, as many as its largest id needs) or, where ``kind`` is 1, bit planes; each
 plane is compressed with zstandard by itself. Layout of a chunk, little-endian:
 
     magic b"IDPL1\\0\\0\\0", number of blocks (u32), ids in the chunk (u64)
