@@ -95,9 +95,9 @@ def floor_percentiles(rows: DataFrame, value: str, fractions: dict[str, float],
     Equal values are counted on the map side; the distinct ones of a group are ranked in a sort that spills, and none is held as a list."""
     keys = list(by) or ["__all"]
     rows = rows if by else rows.withColumn("__all", F.lit(1))
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
     own = W.partitionBy(*keys)
-    upto = F.sum("__n").over(own.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = counted.withColumns({"__upto": upto, "n": F.sum("__n").over(own)})
-    at = lambda f: F.min(F.when(F.col("__upto") > F.floor(F.lit(f) * (F.col("n") - 1)), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[at(f).alias(name) for name, f in fractions.items()]).drop("__all")
+    upto = F.sum("__n").over(own.orderBy("__value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counted.withColumns({"__upto": upto, "__total": F.sum("__n").over(own)})
+    at = lambda f: F.min(F.when(F.col("__upto") > F.floor(F.lit(f) * (F.col("__total") - 1)), F.col("__value")))
+    return ranked.groupBy(*keys).agg(F.max("__total").alias("n"), *[at(f).alias(name) for name, f in fractions.items()]).drop("__all")

@@ -91,10 +91,11 @@ def test_passages_and_training_groups(spark):
     g = spark.createDataFrame([("hotpotqa", "q", "a", True), ("hotpotqa", "q", "b", False), ("hotpotqa", "r", "a", True)], "dataset string, qid string, answer string, right boolean")
     assert {(x.qid, x.part) for x in selection.training_groups(g).collect()} == {("q", "train")} and selection.training_groups(g, 0.999999).first().part == "holdout"
     assert selection.accuracy(g).first().accuracy == pytest.approx(2 / 3)
-    s = spark.createDataFrame([(1.0,), (float("nan"),)], "s double")
-    assert s.limit(1).select(selection.required_score(F.col("s"))).first()[0] == 1.0
-    with pytest.raises(Exception, match="ranker_score"):
-        s.select(selection.required_score(F.col("s"))).collect()
+    scores = lambda *x: spark.createDataFrame([(v,) for v in x], "s double").select(selection.required_score(F.col("s")).alias("s"))
+    assert [r.s for r in scores(1.0, -2.5).collect()] == [1.0, -2.5]
+    for bad in (float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="ranker_score"):
+            scores(1.0, bad).collect()
     p = spark.createDataFrame([("q", [("x", "stop", 1), ("y", "stop", 2)], "x")], "qid string, candidates array<struct<output:string,finish_reason:string,generated_tokens:int>>, output string")
     assert selection.reselected(p, spark.createDataFrame([("q", 1)], "qid string, index int")).first().output == "y"
 
