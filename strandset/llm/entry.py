@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandset.llm.common import table
+from strandset.llm.common import Scratch, table
 
 
 def op1_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +82,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strandset.llm.fill_in_middle import fill_in_middle, restored
+
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandset.llm.quality import ledger, passes
+
+    rows = ledger(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes().alias("kept"))
+
+
+def op12_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandset.llm.quality import POLICIES, ablations, ledger
+
+    rows = Scratch(spark, "quality").keep(ledger(table(spark, sf_dir, "documents")).select("failures"), "ledger")
+    out = None
+    for policy in POLICIES:
+        one = ablations(rows, policy)
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandset.llm.resampling import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_planes, op2_top_k, op3_main_text, op4_lm_score, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op8_repeats_lines, op9_token_counts, op10_toxicity)}
+    found = (
+        op1_id_planes, op2_top_k, op3_main_text, op4_lm_score, op5_decontaminate, op6_near_duplicates, op7_pack, op8_repeats, op8_repeats_lines, op9_token_counts, op10_toxicity, op11_fill_in_middle, op12_quality_rules, op12_rule_ablations,
+        op13_resampling,
+    )
+    return {f.__name__: f for f in found}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,5 +184,73 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: Units by a regular expression, two of them ranked by the digest of the id.
+OP11 = """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+c AS (SELECT *, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS x FROM u),
+k AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a+1:b], '') AS middle, array_to_string(u[b+1:n], '') AS suffix FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def quality_sql() -> str:
+    """Measurements of all texts and the bits of the rules that they fail."""
+    from strandset.llm.quality import RULES
+
+    count = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    bits = " + ".join(f"CASE WHEN {r.sql()} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x09-\x0D ]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D ]')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1) GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, {count('[#*$%&|<>]')} AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+             len(l) AS n_lines, {count('[A-Z]')} AS n_upper, {count('[a-z]')} AS n_lower, {count('[!?]')} AS n_marks FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, {bits} AS failures FROM m)"""
+
+
+def op12_sql() -> str:
+    from strandset.llm.quality import CURRENT, mask
+
+    return f"{quality_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {mask('base')} <> 0 AS base_failed, failures & {mask(CURRENT)} = 0 AS kept FROM b"
+
+
+def op12_ablation_sql() -> str:
+    from strandset.llm.quality import BITS, POLICIES, mask
+
+    each = [
+        f"SELECT '{p}' AS policy, '{r}' AS rule, count(*) AS documents, count(*) FILTER (failures & {mask(p)} <> 0) AS rejected, count(*) FILTER (failures & {1 << BITS[r]} <> 0) AS failed, count(*) FILTER (failures & {mask(p)} = {1 << BITS[r]}) AS alone FROM b"
+        for p, names in POLICIES.items()
+        for r in names
+    ]
+    return f"{quality_sql()} {' UNION ALL '.join(each)}"
+
+
+#: Unsigned crc32 of distinct words, byte by byte through a table made by its rule.
+OP13 = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+target AS (SELECT unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS w FROM benchmark),
+source AS (SELECT doc_id, unnest(w) AS w FROM words),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+v AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM source UNION SELECT w FROM target)),
+y AS (SELECT w, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM v),
+k AS (SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, crc),
+s AS (SELECT bucket, count(*) AS s FROM source JOIN k USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM target JOIN k USING (w) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM source) AS all_s, (SELECT count(*) FROM target) AS all_t),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (all_s + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1.0::DOUBLE) * (all_t + 10000.0::DOUBLE)))) AS gain FROM s FULL JOIN t USING (bucket), n),
+d AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM source JOIN k USING (w) JOIN gain USING (bucket) GROUP BY 1),
+e AS (SELECT words.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || words.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM words LEFT JOIN d USING (doc_id)),
+r AS (SELECT *, n_features >= 20 AS takes_part, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS many FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN takes_part AND place <= 10 * many // 100 THEN place END AS rank FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2, "op5_decontaminate": OP5, "op6_near_duplicates": OP6, "op8_repeats": OP8}
+    return {
+        "op2_top_k": OP2, "op5_decontaminate": OP5, "op6_near_duplicates": OP6, "op8_repeats": OP8, "op11_fill_in_middle": OP11, "op12_quality_rules": op12_sql(), "op12_rule_ablations": op12_ablation_sql(), "op13_resampling": OP13,
+    }
