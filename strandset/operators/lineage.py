@@ -17,7 +17,7 @@ KEYS = "array<struct<field:string,doc:int,sent:int>>"
 
 
 @arrow_udf("array<array<string>>")
-def _fold_nested(lists: pd.Series) -> pd.Series:
+def fold_nested(lists: pd.Series) -> pd.Series:
     return lists.map(lambda rows: None if rows is None else [[fold(x) for x in r] for r in rows])
 
 
@@ -57,7 +57,7 @@ def bind(rows: DataFrame, result: str = "result", into: str = "snapshot") -> Dat
     right = lambda j: F.get(documents, j["right_doc"])
     valid = F.coalesce(F.col(f"{result}.valid"), F.lit(False))
     texts = F.transform(program["joins"], lambda j: F.concat(F.array(j["left"]["quote"], right(j)["title"]), right(j)["sentences"]))
-    one = rows.withColumn("__folded", _fold_nested(F.when(valid, texts)))
+    one = rows.withColumn("__folded", fold_nested(F.when(valid, texts)))
 
     def witness(j, i):
         folded = F.get(F.col("__folded"), i)
@@ -89,11 +89,10 @@ def bind(rows: DataFrame, result: str = "result", into: str = "snapshot") -> Dat
     return one.withColumn(into, F.when(valid, snapshot)).drop("__folded")
 
 
-def verify(rows: DataFrame, snapshot: str = "snapshot", into: str = "check") -> DataFrame:
-    """Adds ``into``: struct (current, changed, missing, structure_changed) of a snapshot against the row's context."""
-    s, documents, question = F.col(snapshot), F.col("documents"), F.col("question")
+def check_of(s: Column, dataset: Column, qid: Column, question: Column, documents: Column) -> Column:
+    """Struct (current, changed, missing, structure_changed) of snapshot ``s`` against a context."""
     plain = lambda cells: F.transform(cells, lambda c: key(c["field"], c["doc"], c["sent"]))
-    same = (F.col("dataset") == s["dataset"]) & (F.col("qid") == s["qid"])
+    same = (dataset == s["dataset"]) & (qid == s["qid"])
     missing = plain(F.filter(s["cells"], lambda c: cell_text(c, documents, question).isNull()))
     changed = plain(F.filter(s["cells"], lambda c: cell_text(c, documents, question).isNotNull() & (text_digest(cell_text(c, documents, question)) != c["sha256"])))
     structure = structure_digest(documents) != s["structure_sha256"]
@@ -101,8 +100,13 @@ def verify(rows: DataFrame, snapshot: str = "snapshot", into: str = "check") ->
     none = F.array().cast(KEYS)
     changed, missing, structure = F.when(same, changed).otherwise(none), F.when(same, missing).otherwise(other), F.when(same, structure).otherwise(False)
     current = same & (F.size(changed) == 0) & (F.size(missing) == 0) & ~structure
-    check = F.struct(current.alias("current"), changed.alias("changed"), missing.alias("missing"), structure.alias("structure_changed"))
-    return rows.withColumn(into, F.when(s.isNotNull(), check))
+    return F.struct(current.alias("current"), changed.alias("changed"), missing.alias("missing"), structure.alias("structure_changed"))
+
+
+def verify(rows: DataFrame, snapshot: str = "snapshot", into: str = "check") -> DataFrame:
+    """Adds ``into``: struct (current, changed, missing, structure_changed) of a snapshot against the row's context."""
+    s = F.col(snapshot)
+    return rows.withColumn(into, F.when(s.isNotNull(), check_of(s, F.col("dataset"), F.col("qid"), F.col("question"), F.col("documents"))))
 
 
 def bound_as_committed(program: Column, answer: Column, snapshot: Column) -> Column:

@@ -1,18 +1,13 @@
-"""Prompts, targets and training rows; the audit of compiled labels; deletion provenance."""
+"""Prompts, targets and training rows; the audit of compiled labels."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions.text import exact_match, hash_bucket, normalize, normalize_all
 from strandset.operators.compiler import compile_labels
-from strandset.operators.lineage import key
 from strandset.operators.program import rendered
-from strandset.operators.updates import all_cells, with_cell
 from strandset.operators.vm import execute
 
 #: What each task asks for, after the documents.
@@ -79,25 +74,3 @@ def audit(contexts: DataFrame) -> DataFrame:
         F.count("*").alias("examples"), n(F.col("program").isNotNull()).alias("compiled"), n(F.col("result.valid")).alias("valid"), n(F.col("result.certified")).alias("certified"), n(right).alias("right"),
         *[n(F.col("program.answer.op") == o).alias(o) for o in ops],
     )
-
-
-def deletion_provenance(bound: DataFrame) -> DataFrame:
-    """Adds kept (cells left after blanking each in turn where the answer survives) and executions, for valid results.
-
-    Each step depends on the one before, so steps are rounds over all rows: as many as the largest context has cells. A round
-    is checkpointed in the session's shared folder."""
-    spark = bound.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-    rows = bound.where("result.valid").withColumns({"__cells": all_cells(F.col("documents")), "__old": F.col("documents"), "kept": F.array().cast("array<struct<field:string,doc:int,sent:int>>")}).checkpoint()
-    most = rows.agg(F.max(F.size("__cells"))).first()[0] or 0
-    for i in range(most):
-        cell = F.get("__cells", F.lit(i))
-        tried = rows.withColumns({"__before": F.col("documents"), "documents": with_cell(F.col("documents"), F.coalesce(cell, key("none", F.lit(-9), F.lit(-9))), lambda _: F.lit(""))})
-        tried = execute(tried, into="__now")
-        same = F.col("__now.valid") & (F.col("__now.answer") == F.col("result.answer"))
-        keep = cell.isNotNull() & ~same
-        rows = tried.withColumns({"documents": F.when(same, F.col("documents")).otherwise(F.col("__before")), "kept": F.when(keep, F.array_append("kept", cell)).otherwise(F.col("kept"))}).drop("__before", "__now").checkpoint()
-    return rows.withColumns({"executions": F.size("__cells") + 1, "documents": F.col("__old")}).drop("__cells", "__old")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandset.functions import text as t
-from strandset.operators import reports, revisions, selection, static, training, updates
+from strandset.operators import provenance, reports, revisions, selection, static, updates
 from strandset.plans import orders
 from strandset.plans.orders import SQL, outcome_sql, table
 from strandset.plans.queries import CAND, CELLS, ERRORS, EV, OUT, TRUTH, bound, candidates, query
@@ -151,7 +151,7 @@ WHEN kind IN ('equal','common') THEN 'sentence:1:0 sentence:4:0' ELSE 'title:0:-
 
 @query(f"{OUT} SELECT qid, {KEPT} AS kept, CASE WHEN title2 IS NULL THEN 9 ELSE 17 END AS executions FROM r WHERE valid")
 def deletion_provenance(spark, sf_dir):
-    done = training.deletion_provenance(bound(spark, sf_dir))
+    done = provenance.deletion_provenance(bound(spark, sf_dir))
     return done.select("qid", F.array_join(F.transform("kept", lambda c: F.concat_ws(":", c["field"], c["doc"], c["sent"])), " ").alias("kept"), "executions")
 
 
