@@ -6,7 +6,9 @@ nor moves one into a lambda, where it couldn't run: each text is folded once."""
 from __future__ import annotations
 
 from functools import wraps
+from weakref import WeakKeyDictionary
 
+from pyspark import SparkContext
 from pyspark.sql.functions import pandas_udf
 
 
@@ -23,3 +25,21 @@ def arrow_udf(kind: str):
         return call
 
     return wrap
+
+
+def once(build):
+    """``build`` run once for each JVM and arguments. Columns that refer to others by name alone belong to no table, so that those of large
+    expressions, thousands of calls to the JVM each, can serve all plans."""
+    made = WeakKeyDictionary()
+
+    @wraps(build)
+    def call(*args):
+        gateway = SparkContext._gateway
+        if gateway is None:
+            return build(*args)
+        own = made.setdefault(gateway, {})
+        if args not in own:
+            own[args] = build(*args)
+        return own[args]
+
+    return call

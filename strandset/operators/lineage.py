@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandset.functions.constants import SEMANTICS
 from strandset.functions.text import fold, text_digest
-from strandset.functions.udf import arrow_udf
+from strandset.functions.udf import arrow_udf, once
 from strandset.operators.program import program_digest
 from strandset.operators.vm import execute
 from strandset.schema import CELL
@@ -53,11 +53,17 @@ def bind(rows: DataFrame, result: str = "result", into: str = "snapshot") -> Dat
     Bound are cited sentences, the cells of answer pointers and of join anchors, and for each join one witness: the title
     when it holds the anchor's quote, else the first sentence that does; without one the title and, unless the join
     reads titles only, all sentences of the document."""
+    folded, snapshot = _snapshot(result)
+    return rows.withColumn("__folded", folded).withColumn(into, snapshot).drop("__folded")
+
+
+@once
+def _snapshot(result: str) -> tuple[Column, Column]:
+    """The folded texts of joins, and the snapshot that reads them as ``__folded``."""
     program, documents = F.col("program"), F.col("documents")
     right = lambda j: F.get(documents, j["right_doc"])
     valid = F.coalesce(F.col(f"{result}.valid"), F.lit(False))
     texts = F.transform(program["joins"], lambda j: F.concat(F.array(j["left"]["quote"], right(j)["title"]), right(j)["sentences"]))
-    one = rows.withColumn("__folded", fold_nested(F.when(valid, texts)))
 
     def witness(j, i):
         folded = F.get(F.col("__folded"), i)
@@ -86,7 +92,7 @@ def bind(rows: DataFrame, result: str = "result", into: str = "snapshot") -> Dat
         F.col("dataset"), F.col("qid"), F.lit(SEMANTICS).alias("semantics"), program_digest(program).alias("program_sha256"), text_digest(F.col(f"{result}.answer")).alias("answer_sha256"),
         structure_digest(documents).alias("structure_sha256"), F.col(f"{result}.certified").alias("certified"), cells.cast(f"array<{CELL}>").alias("cells"),
     )
-    return one.withColumn(into, F.when(valid, snapshot)).drop("__folded")
+    return fold_nested(F.when(valid, texts)), F.when(valid, snapshot)
 
 
 def check_of(s: Column, dataset: Column, qid: Column, question: Column, documents: Column) -> Column:
@@ -105,8 +111,13 @@ def check_of(s: Column, dataset: Column, qid: Column, question: Column, document
 
 def verify(rows: DataFrame, snapshot: str = "snapshot", into: str = "check") -> DataFrame:
     """Adds ``into``: struct (current, changed, missing, structure_changed) of a snapshot against the row's context."""
+    return rows.withColumn(into, _check(snapshot))
+
+
+@once
+def _check(snapshot: str) -> Column:
     s = F.col(snapshot)
-    return rows.withColumn(into, F.when(s.isNotNull(), check_of(s, F.col("dataset"), F.col("qid"), F.col("question"), F.col("documents"))))
+    return F.when(s.isNotNull(), check_of(s, F.col("dataset"), F.col("qid"), F.col("question"), F.col("documents")))
 
 
 def bound_as_committed(program: Column, answer: Column, snapshot: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandset.functions.constants import GROUNDED
 from strandset.functions.text import canonical, normalize_all, ordered_scalar
+from strandset.functions.udf import once
 
 TEXTS = "array<string>"
 LITERAL = "ungrounded literal answer is disabled"
@@ -66,8 +67,36 @@ def _errors(*pairs: tuple[Column, Column | str]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(e) if isinstance(e, str) else e) for c, e in pairs]), lambda e: e.isNotNull())
 
 
+def connected(docs: Column, edges: Column) -> Column:
+    """Whether edges (a, b) join all of ``docs``; document -1, the question, may lie between.
+
+    Components are bits: a document is the bit of its place, an edge joins the components that share a bit with it into one. Each edge is looked
+    at once. More than 62 documents don't fit into one number, so places go to words of 62 bits, and a component is an array of words."""
+    nodes = F.concat(docs, F.array(F.lit(-1)))
+    words = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 62).cast("int"))
+    bit = lambda at, w: F.when(F.floor((at - 1) / 62) == w, F.pow(F.lit(2), (at - 1) % 62).cast("long")).otherwise(F.lit(0).cast("long"))
+    both = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseOR(q))
+    meet = lambda x, y: F.exists(F.zip_with(x, y, lambda p, q: p.bitwiseAND(q)), lambda z: z != 0)
+    places = F.transform(edges, lambda e: F.struct(F.array_position(nodes, e["a"]).alias("a"), F.array_position(nodes, e["b"]).alias("b")))
+    masks = F.transform(places, lambda e: F.transform(words, lambda w: bit(e["a"], w).bitwiseOR(bit(e["b"], w))))
+    joined = F.aggregate(
+        masks, F.array().cast("array<array<bigint>>"),
+        lambda parts, m: F.array_append(F.filter(parts, lambda p: ~meet(p, m)), F.aggregate(F.filter(parts, lambda p: meet(p, m)), m, both)),
+    )
+    whole = F.transform(words, lambda w: F.aggregate(F.sequence(F.lit(1), F.size(docs)), F.lit(0).cast("long"), lambda acc, at: acc.bitwiseOR(bit(at, w))))
+    return F.exists(joined, lambda p: F.forall(F.zip_with(p, whole, lambda x, y: x.bitwiseAND(y) == y), lambda ok: ok))
+
+
 def checked(rows: DataFrame) -> DataFrame:
     """Adds __of_evidence, __of_joins, __of_graph, __of_answer (errors by group), __found (what the answer reduces to), __cited and __left."""
+    for columns in _checks():
+        rows = rows.withColumns(columns)
+    return rows
+
+
+@once
+def _checks() -> list[dict[str, Column]]:
+    """The columns of ``checked`` in their order; each step reads those before it."""
     documents, question, program = F.col("documents"), F.col("question"), F.col("program")
     answer = program["answer"]
     evidence = F.array_distinct(program["evidence"])
@@ -78,7 +107,7 @@ def checked(rows: DataFrame) -> DataFrame:
         d = F.get(documents, j["right_doc"])
         return F.when(j["right_field"] == "title", d["title"]).otherwise(F.concat_ws(" ", d["title"], F.array_join(d["sentences"], " ")))
 
-    one = rows.withColumns(
+    steps = [
         {
             "__evidence": evidence,
             "__left": F.transform(joins, lambda j, i: resolved(j["left"], documents, question, _indexed("join", i, ".left"))),
@@ -87,11 +116,11 @@ def checked(rows: DataFrame) -> DataFrame:
             "__operands": F.transform(answer["operands"], lambda p, i: resolved(p, documents, question, _indexed("answer.operand", i))),
             "__labels": F.transform(answer["labels"], lambda p, i: resolved(p, documents, question, _indexed("answer.label", i))),
         }
-    )
+    ]
     values = lambda c: F.transform(c, lambda x: x["value"])
     m, k = F.size("__left"), F.size("__operands")
     texts = F.concat(values(F.col("__left")), F.col("__target"), values(F.col("__operands")), F.array(F.coalesce(answer["value"], F.lit(""))))
-    two = one.withColumn("__normal", normalize_all(texts)).withColumn("__docs", F.array_distinct(F.transform("__evidence", lambda r: r["doc"])))
+    steps.append({"__normal": normalize_all(texts), "__docs": F.array_distinct(F.transform("__evidence", lambda r: r["doc"]))})
 
     seen, docs = F.col("__evidence"), F.col("__docs")
     evidence_errors = F.flatten(
@@ -133,17 +162,13 @@ def checked(rows: DataFrame) -> DataFrame:
 
         return let(facts, checked)
 
-    three = two.withColumn("__joins", F.transform(joins, join_check))
-    three = three.withColumn("__edges", F.filter(F.transform("__joins", lambda x: x["edge"]), lambda e: e.isNotNull()))
+    steps.append({"__joins": F.transform(joins, join_check)})
+    steps.append({"__edges": F.filter(F.transform("__joins", lambda x: x["edge"]), lambda e: e.isNotNull())})
     edges = F.col("__edges")
-    grow = lambda acc, e: F.when(F.array_contains(acc, e["a"]) & ~F.array_contains(acc, e["b"]), F.array_append(acc, e["b"])).when(
-        F.array_contains(acc, e["b"]) & ~F.array_contains(acc, e["a"]), F.array_append(acc, e["a"])
-    ).otherwise(acc)
-    reached = F.aggregate(F.flatten(F.array_repeat(edges, F.size(docs) + 1)), F.slice(docs, 1, 1), grow)
     must_join = (F.size(docs) > 1) & program["mode"].isin("bridge", "composition")
     graph_errors = _errors(
         (must_join & (F.size(program["joins"]) == 0), "multi-document proof has no executable join"),
-        (must_join & (F.size(edges) > 0) & (F.size(F.array_except(docs, reached)) > 0), "multi-document proof join graph is disconnected"),
+        (must_join & (F.size(edges) > 0) & ~connected(docs, edges), "multi-document proof join graph is disconnected"),
     )
 
     op = answer["op"]
@@ -188,14 +213,16 @@ def checked(rows: DataFrame) -> DataFrame:
         .when(ordered & (k >= 2) & same_size & ~unparsed, F.get(label_values, chosen))
         .otherwise("")
     )
-    return three.withColumns(
+    steps.append(
         {
             "__of_evidence": evidence_errors, "__of_joins": F.flatten(F.transform("__joins", lambda x: x["errors"])), "__of_graph": graph_errors, "__of_answer": answer_errors,
             "__found": F.coalesce(found, F.lit("")), "__cited": cited_text,
         }
     )
+    return steps
 
 
+@once
 def _result(allow_literal: bool, require_join: bool, validate_joins: bool) -> Column:
     """The result of a row of ``checked`` under a contract."""
     of_answer, found, op = F.col("__of_answer"), F.col("__found"), F.col("program.answer.op")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandset.functions.udf import once
 from strandset.operators.program import parsed
 from strandset.schema import DOCUMENTS, REF
 
@@ -37,8 +38,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts with the key, its kind and the names that programs quote."""
     one = facts(spark, sf_dir)
+    kind, more = context_columns()
     two = one.select(F.col("k").alias("__k"), *[F.col(c).alias(f"{c}2") for c in one.columns if c != "k"])
     rows = one.join(two, F.col("__k") == F.col("k") + 1, "left").drop("__k")
+    return rows.withColumn("kind", kind).withColumns(more)
+
+
+@once
+def context_columns() -> tuple[Column, dict[str, Column]]:
+    """The kind of a program by its key, and the columns of a context beside its facts."""
     said = lambda *parts: F.concat(*[F.col(p[1:]) if p.startswith("$") else F.lit(p) for p in parts])
 
     def documents(s: str, at: int) -> list[Column]:
@@ -50,7 +58,6 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
 
     kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("k") % 12).cast("int"))
-    rows = rows.withColumn("kind", kind)
     truth = (
         F.when(F.col("kind") == "composition", F.col("region"))
         .when(F.col("kind") == "equal", F.when(F.col("k") % 24 == 4, "neither").when(F.col("nation") == F.col("nation2"), "yes").otherwise("no"))
@@ -59,17 +66,27 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     refs = F.array(F.struct(F.lit(0).alias("doc"), F.lit(0).alias("sent")), F.struct(F.lit(1).alias("doc"), F.lit(0).alias("sent"))).cast(f"array<{REF}>")
     every = F.when(F.col("title2").isNull(), F.array(*documents("", 0))).otherwise(F.array(*documents("", 0), *documents("2", 3)))
-    return rows.withColumns(
+    return (
+        kind,
         {
             "dataset": F.lit("orders"), "qid": F.col("k").cast("string"), "question": said("Which nation is the customer of ", "$title", " based in?"), "documents": every.cast(DOCUMENTS),
             "answers": F.array(truth), "support": refs, "support_complete": F.lit(True),
-        }
+        },
     )
 
 
 def outputs(rows: DataFrame, kind: Column = F.col) -> DataFrame:
     """Adds output: the program text of the row's kind."""
     kind = F.col("kind") if kind is F.col else kind
+    texts = program_texts()
+    text = F.coalesce(*[F.when(kind == k, v) for k, v in texts.items()])
+    wrapped = F.when(F.col("k") % 2 == 0, F.concat(F.lit("Plan: <PROGRAM> "), text, F.lit(" </PROGRAM>"))).otherwise(text)
+    return rows.withColumn("output", F.when(kind == "unparsed", text).otherwise(wrapped))
+
+
+@once
+def program_texts() -> dict[str, Column]:
+    """The program of each kind over the columns of a context."""
     point = lambda doc, sent, quote, field="sentence": F.struct(F.lit(doc).alias("doc"), F.lit(sent).alias("sent"), F.lit(field).alias("field"), F.col(quote).alias("quote"))
     join = lambda left, right, how="equi": F.struct(left.alias("left"), F.lit(right).alias("right_doc"), F.lit("title").alias("right_field"), F.lit(how).alias("kind"))
     ask, to_customer, to_nation = join(point(-1, -1, "title", "question"), 0, "query"), join(point(0, 0, "customer"), 1), join(point(1, 0, "nation"), 2)
@@ -88,7 +105,7 @@ def outputs(rows: DataFrame, kind: Column = F.col) -> DataFrame:
     bridge = refs((0, 0), (1, 0))
     days = {"operands": F.array(point(0, 1, "day"), point(3, 1, "day2")), "labels": F.array(point(0, -1, "title", "title"), point(3, -1, "title2", "title"))}
     nations = {"operands": F.array(point(1, 0, "nation"), point(4, 0, "nation2"))}
-    texts = {
+    return {
         "copy": program("bridge", bridge, F.array(ask, to_customer), by_nation),
         "composition": program("composition", refs((0, 0), (1, 0), (2, 0)), F.array(ask, to_customer, to_nation), answer("copy", point(2, 0, "region"))),
         "argmin": program("comparison", refs((0, 1), (3, 1)), no_joins, answer("argmin", **days)),
@@ -103,9 +120,6 @@ def outputs(rows: DataFrame, kind: Column = F.col) -> DataFrame:
         "unparsed": F.lit("<PROGRAM>{not json}</PROGRAM>"),
         "day": program("bridge", refs((0, 0), (0, 1)), F.array(ask), answer("copy", point(0, 1, "day"))),
     }
-    text = F.coalesce(*[F.when(kind == k, v) for k, v in texts.items()])
-    wrapped = F.when(F.col("k") % 2 == 0, F.concat(F.lit("Plan: <PROGRAM> "), text, F.lit(" </PROGRAM>"))).otherwise(text)
-    return rows.withColumn("output", F.when(kind == "unparsed", text).otherwise(wrapped))
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandset.functions import text as t
-from strandset.operators import provenance, reports, revisions, selection, static, updates
+from strandset.operators import lineage, provenance, reports, revisions, selection, static, updates
+from strandset.operators.vm import execute
 from strandset.plans import orders
 from strandset.plans.orders import SQL, outcome_sql, table
 from strandset.plans.queries import CAND, CELLS, ERRORS, EV, OUT, TRUTH, bound, candidates, query
@@ -155,6 +156,45 @@ def deletion_provenance(spark, sf_dir):
     return done.select("qid", F.array_join(F.transform("kept", lambda c: F.concat_ws(":", c["field"], c["doc"], c["sent"])), " ").alias("kept"), "executions")
 
 
+#: The same lines of two triples of documents, as cells.
+CONTEXT_CELLS = " UNION ALL ".join(
+    f"SELECT id, '{field}' AS field, {doc + at} AS doc, {sent} AS sent, {text.replace('@', s)} AS text FROM p{' WHERE title2 IS NOT NULL' if at else ''}"
+    for s, at in (("", 0), ("2", 3))
+    for field, doc, sent, text in (
+        ("title", 0, -1, "title@"), ("sentence", 0, 0, "title@ || ' was placed by ' || customer@ || '.'"), ("sentence", 0, 1, "'It was ordered on ' || day@ || '.'"), ("sentence", 0, 2, "'Its status is ' || status@ || '.'"),
+        ("title", 1, -1, "customer@"), ("sentence", 1, 0, "customer@ || ' is based in ' || nation@ || '.'"), ("title", 2, -1, "nation@"), ("sentence", 2, 0, "nation@ || ' belongs to ' || region@ || '.'"),
+    )
+)
+DAY_CELLS = " UNION ALL ".join(
+    f"SELECT id, '{field}', {doc}, {sent} FROM p WHERE kind = 'day'" for field, doc, sent in (("question", -1, -1), ("sentence", 0, 0), ("sentence", 0, 1), ("title", 0, -1))
+)
+
+
+@query(
+    f"""{OUT}, {CELLS}, p AS (SELECT qid || ':' || kind AS id, * FROM (SELECT * FROM r WHERE certified) UNION ALL SELECT qid || ':day', * REPLACE ('day' AS kind) FROM r),
+ac AS ({CONTEXT_CELLS}), dep AS (SELECT id, field, doc, sent FROM c JOIN (SELECT qid, kind, id FROM p) USING (qid, kind) UNION ALL {DAY_CELLS}),
+kept AS (SELECT id, split_part(x, ':', 1) AS field, CAST(split_part(x, ':', 2) AS INTEGER) AS doc, CAST(split_part(x, ':', 3) AS INTEGER) AS sent FROM (SELECT id, unnest(string_split(CASE WHEN kind = 'day' THEN 'title:0:-1 sentence:0:1' ELSE {KEPT} END, ' ')) AS x FROM p)),
+cited AS (SELECT DISTINCT id, doc FROM dep WHERE field = 'sentence'),
+sizes AS (SELECT id, count(*) AS n, sum(length('{{"field":"","doc":,"sent":,"sha256":""}},') + 64 + length(field) + length(CAST(doc AS VARCHAR)) + length(CAST(sent AS VARCHAR))) - 1 AS bytes FROM dep GROUP BY 1),
+kept_sizes AS (SELECT id, count(*) AS n, 2 - 1 + sum(length('[["",,],""],') + length(field) + length(CAST(doc AS VARCHAR)) + length(CAST(sent AS VARCHAR)) + length(text)) AS bytes FROM kept JOIN ac USING (id, field, doc, sent) GROUP BY 1),
+runs AS (SELECT id, count(*) + 1 AS n FROM ac GROUP BY 1),
+rel AS (SELECT id, min((field, doc, sent)) AS x FROM dep WHERE field <> 'question' GROUP BY 1), irr AS (SELECT id, min((field, doc, sent)) AS x FROM ac JOIN cited USING (id, doc) ANTI JOIN dep USING (id, field, doc, sent) GROUP BY 1),
+m AS (SELECT p.id, p.qid, sizes.n AS cells, sizes.bytes + length('{{"dataset":"orders","qid":"","vm_semantics_version":"strandset-vm-1","program_sha256":"","answer_sha256":"","structure_sha256":"","lineage_certified":true,"cells":[]}}') + 192 + length(p.qid) AS bytes,
+  kept_sizes.n AS kept_cells, kept_sizes.bytes AS kept_bytes, runs.n AS runs, rel.x AS relevant, irr.x AS irrelevant,
+  (p.id, relevant) IN (SELECT (id, (field, doc, sent)) FROM dep) AS rel_read, (p.id, relevant) IN (SELECT (id, (field, doc, sent)) FROM kept) AS rel_kept, (p.id, relevant[2]) IN (SELECT (id, doc) FROM cited) AS rel_cited,
+  (p.id, irrelevant) IN (SELECT (id, (field, doc, sent)) FROM dep) AS irr_read, (p.id, irrelevant) IN (SELECT (id, (field, doc, sent)) FROM kept) AS irr_kept, (p.id, irrelevant[2]) IN (SELECT (id, doc) FROM cited) AS irr_cited
+  FROM p JOIN sizes USING (id) JOIN kept_sizes USING (id) JOIN runs USING (id) LEFT JOIN rel USING (id) LEFT JOIN irr USING (id))
+SELECT (SELECT 2 * count(*) FROM r) AS examples, (SELECT count(*) + count(*) FILTER (valid) FROM r) AS valid_programs, count(*) AS certified_programs, round(avg(cells), 6) AS mean_cells, round(avg(bytes), 6) AS mean_bytes, round(avg(kept_cells), 6) AS kept_mean_cells,
+round(avg(kept_bytes), 6) AS kept_mean_bytes, round(avg(runs), 6) AS executions_per_program, count(relevant) AS relevant_mutations, count(irrelevant) AS irrelevant_mutations,
+{', '.join(f"round(100.0 * count(*) FILTER (relevant IS NOT NULL AND NOT rel_{c}) / greatest(count(relevant), 1), 6) AS {w}_unsafe_rate, round(100.0 * count(*) FILTER (irrelevant IS NOT NULL AND irr_{c}) / greatest(count(irrelevant), 1), 6) AS {w}_false_invalidation_rate" for w, c in (('cells', 'read'), ('kept', 'kept'), ('versions', 'cited')))} FROM m"""
+)
+def provenance_comparison(spark, sf_dir):
+    """Every order with its own program and with one that cites a sentence it doesn't need."""
+    rows = orders.programs(spark, sf_dir).unionByName(orders.programs_of(spark, sf_dir, "day"))
+    found = provenance.comparison(lineage.bind(execute(rows)))
+    return found.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
+
+
 def event_pages(spark, sf_dir):
     """(pages, moves, profiles): each user's events as revisions of a page; every fifth page was redirected, every next one's title normalised."""
     e = table(spark, sf_dir, "events")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandset.operators.program import parsed
-from strandset.operators.vm import contracts, execute
+from strandset.operators.vm import connected, contracts, execute
 from strandset.schema import CONTEXT
 
 DOCS = [
@@ -109,3 +109,46 @@ def test_parsing_fails_closed(spark):
     assert all(got[i].parse_error and got[i].program is None for i in range(len(bad)))
     assert got[len(bad)].program.evidence[0].asDict() == {"doc": 1, "sent": 2} and got[len(bad) + 1].program.answer.op == "b"
     assert execute(pairs(spark, bad)).where(F.col("result").isNotNull()).count() == 0
+
+
+def test_connected_equals_a_search(spark):
+    import random
+
+    draw, rows = random.Random(8), []
+    for _ in range(300):
+        docs = draw.sample(range(200), draw.choice([1, 2, 3, 5, 61, 62, 63, 90, 130]))
+        nodes = [*docs, -1]
+        edges = [(draw.choice(nodes), draw.choice(nodes)) for _ in range(draw.choice([0, 1, len(docs), 2 * len(docs), 4 * len(docs)]))]
+        if draw.random() < 0.5:  # a path through all in any order
+            path = draw.sample(nodes, len(nodes))
+            edges += list(zip(path, path[1:]))
+            draw.shuffle(edges)
+        rows.append((docs, edges))
+    df = spark.createDataFrame(rows, "docs array<int>, edges array<struct<a:int,b:int>>")
+    got = [r[0] for r in df.select(F.coalesce(connected(F.col("docs"), F.col("edges")), F.lit(False))).collect()]
+
+    def reached(docs, edges):
+        near, seen, todo = {}, set(), [docs[0]]
+        for a, b in edges:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near.get(x, [])
+        return set(docs) <= seen
+
+    assert got == [bool(e) and (reached(d, e) and any(set(x) & set(d) for x in e)) for d, e in rows] and {True, False} == set(got)
+
+
+def test_sixty_documents_and_joins(spark):
+    n = 60
+    docs = [(f"Title{i}x", [f"It names Title{i + 1}x and Title{i + 2}x."]) for i in range(n)]
+    joins = [{"left": ptr(i, 0, f"Title{i + 1}x"), "right_doc": i + 1} for i in range(n - 1)]
+    base = program(evidence=[[i, 0] for i in range(n)], joins=joins[::-1], answer={"op": "copy", "pointer": ptr(n - 1, 0, "Title60x")})
+    cut = base | {"joins": joins[:30] + joins[31:]}
+    around = base | {"joins": joins[:30] + [{"left": ptr(29, 0, "Title31x"), "right_doc": 31}] + joins[31:]}
+    rows = execute(pairs(spark, [base, cut, around], [context(f"q{i}", docs) for i in range(3)])).select("qid", "result.valid", "result.errors").collect()
+    errors = ["multi-document proof join graph is disconnected"]
+    assert {r.qid: (r.valid, list(r.errors)) for r in rows} == {"q0": (True, []), "q1": (False, errors), "q2": (True, [])}
