@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from strandset.functions import text as t
 from strandset.functions.constants import DEMONYMS, MAXIMUM_CUES, MINIMUM_CUES
-from strandset.operators import lineage, metrics, reports, revisions, sampling, selection, significance, updates
+from strandset.operators import lineage, metrics, readings, reports, revisions, sampling, selection, significance, updates
 from strandset.operators.training import TASKS, context_text
 from strandset.operators.vm import execute
 from strandset.plans import orders
 from strandset.plans.orders import SQL, outcome_sql, table
+from strandset.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,13 +173,15 @@ def bind_cells(spark, sf_dir):
 
 
 def moved(spark, sf_dir):
+    """Bound results with the documents of ``news``."""
+    return bound(spark, sf_dir).where("snapshot is not null").withColumns({"documents": news(F.col("documents")), "cached_answer": F.col("result.answer")})
+
+
+def news(d):
     """Each third customer moves to another nation, each fifth order changes status, each seventh loses its status sentence."""
-    rows = bound(spark, sf_dir).where("snapshot is not null")
-    d = F.col("documents")
     new = updates.with_cell(d, lineage.key("sentence", F.lit(1), F.when(F.col("k") % 3 == 0, 0).otherwise(-9)), lambda x: F.concat(F.col("customer"), F.lit(" is based in NATION_99.")))
     new = updates.with_cell(new, lineage.key("sentence", F.lit(0), F.when(F.col("k") % 5 == 0, 2).otherwise(-9)), lambda x: F.lit("Its status is X."))
-    new = updates.with_sentences(new, F.when(F.col("k") % 7 == 0, 0).otherwise(-9), lambda s: F.slice(s, F.lit(1), F.lit(2)))
-    return rows.withColumns({"documents": new, "cached_answer": F.col("result.answer")})
+    return updates.with_sentences(new, F.when(F.col("k") % 7 == 0, 0).otherwise(-9), lambda s: F.slice(s, F.lit(1), F.lit(2)))
 
 
 @query(f"{OUT}, {CELLS} SELECT qid, field, doc, sent FROM c WHERE k % 3 = 0 AND field = 'sentence' AND doc = 1")
@@ -186,6 +189,32 @@ def verify_changed(spark, sf_dir):
     return lineage.verify(moved(spark, sf_dir)).select("qid", F.explode("check.changed").alias("c")).select("qid", "c.field", "c.doc", "c.sent")
 
 
+def stale(spark, sf_dir, changes, buckets=64):
+    """Results made stale by changes, from a table of readings written for this run."""
+    path = shared.new_path(spark, "readings")
+    readings.write_readings(readings.readings(bound(spark, sf_dir)), path, buckets)
+    return readings.stale(shared.written(changes, "changes"), readings.read_readings(spark, path), buckets)
+
+
+@query(f"{OUT}, {CELLS} SELECT qid, field, doc, sent FROM c WHERE k % 3 = 0 AND field = 'sentence' AND doc = 1")
+def verify_by_changes(spark, sf_dir):
+    rows = orders.contexts(spark, sf_dir)
+    found = stale(spark, sf_dir, readings.changes_between(rows.withColumn("new_documents", news(F.col("documents")))))
+    return found.select("qid", F.explode("changed").alias("c")).select("qid", "c.field", "c.doc", "c.sent")
+
+
+@query(
+    f"""{OUT}, {CELLS}, m AS (SELECT qid, list_sort(list(field || ':' || doc || ':' || sent)) AS cells FROM c WHERE k % 3 = 0 AND field = 'sentence' AND doc = 1 GROUP BY 1)
+SELECT qid, coalesce(array_to_string(cells, ' '), '') AS changed, '' AS missing, k % 7 = 0 AS structure_changed FROM r LEFT JOIN m USING (qid) WHERE valid AND (k % 7 = 0 OR cells IS NOT NULL)"""
+)
+def stale_results(spark, sf_dir):
+    """Results to look at after the news, without a look at the others."""
+    rows = orders.contexts(spark, sf_dir)
+    found = stale(spark, sf_dir, readings.changes_between(rows.withColumn("new_documents", news(F.col("documents")))))
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["field"], x["doc"], x["sent"])), " ").alias(c)
+    return found.select("qid", told("changed"), told("missing"), "structure_changed")
+
+
 @query(f"{OUT}, {CELLS} SELECT qid, field, doc, sent FROM c WHERE field = 'sentence' AND sent = (CASE WHEN kind IN ('argmin','argmax') THEN 1 ELSE 0 END) AND doc = 0")
 def verify_missing(spark, sf_dir):
     rows = bound(spark, sf_dir).where("snapshot is not null")
