@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from strandset.functions.text import exact_match, normalize, normalize_all, token_prf
 from strandset.operators.program import parsed
+from strandset.operators.ranges import running
 from strandset.operators.vm import execute
 
 
@@ -92,12 +92,11 @@ def error_histogram(rows: DataFrame, *by: str) -> DataFrame:
 def floor_percentiles(rows: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
     """(*by, n, name, …): for each fraction the value at place floor(fraction * (n - 1)) of a group's sorted values.
 
-    Equal values are counted on the map side; the distinct ones of a group are ranked in a sort that spills, and none is held as a list."""
+    Equal values are counted on the map side; running counts over ranges of the distinct ones tell where each place lies, so that a group may have
+    any number of values and no task sorts more than a range of them."""
     keys = list(by) or ["__all"]
     rows = rows if by else rows.withColumn("__all", F.lit(1))
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
-    own = W.partitionBy(*keys)
-    upto = F.sum("__n").over(own.orderBy("__value").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = counted.withColumns({"__upto": upto, "__total": F.sum("__n").over(own)})
-    at = lambda f: F.min(F.when(F.col("__upto") > F.floor(F.lit(f) * (F.col("__total") - 1)), F.col("__value")))
+    ranked = running(counted, tuple(keys), ("__value",), "__n", "__before", "__total")
+    at = lambda f: F.min(F.when(F.col("__before") + F.col("__n") > F.floor(F.lit(f) * (F.col("__total") - 1)), F.col("__value")))
     return ranked.groupBy(*keys).agg(F.max("__total").alias("n"), *[at(f).alias(name) for name, f in fractions.items()]).drop("__all")

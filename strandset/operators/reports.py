@@ -119,17 +119,3 @@ def candidate_report(scores: DataFrame, examples: int | None = None) -> DataFram
         whole.alias("examples"), n.alias("candidates"), hundred(F.col("parsed"), n).alias("parse_rate"), hundred(F.col("sound"), n).alias("sound_rate"), hundred(F.col("sound") > 0, whole).alias("answered"),
         *[hundred(F.col(c), whole).alias(c) for c in names],
     )
-
-
-def run_scores(rows: DataFrame) -> DataFrame:
-    """(dataset, qid, answer_f1, strict_f1) of scored rows."""
-    f1 = F.col("prf.f1")
-    return rows.select("dataset", "qid", F.coalesce(f1, F.lit(0.0)).alias("answer_f1"), F.when(F.col("status") == "valid", f1).otherwise(0.0).alias("strict_f1"))
-
-
-def paired_runs(contexts: DataFrame, base: DataFrame, other: DataFrame, metric: str = "answer_f1") -> DataFrame:
-    """(dataset, qid, difference) for every context: what ``other`` scores above ``base``; a run without the example scores 0."""
-    one = base.select("dataset", "qid", F.col(metric).alias("__a"))
-    two = other.select("dataset", "qid", F.col(metric).alias("__b"))
-    rows = contexts.select("dataset", "qid").join(one, ["dataset", "qid"], "left").join(two, ["dataset", "qid"], "left")
-    return rows.select("dataset", "qid", (F.coalesce("__b", F.lit(0.0)) - F.coalesce("__a", F.lit(0.0))).alias("difference"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandset.functions import text as t
-from strandset.operators import lineage, provenance, reports, revisions, selection, static, updates
+from strandset.operators import lineage, provenance, reports, revisions, selection, significance, static, updates
 from strandset.operators.vm import execute
 from strandset.plans import orders
 from strandset.plans.orders import SQL, outcome_sql, table
-from strandset.plans.queries import CAND, CELLS, ERRORS, EV, OUT, TRUTH, bound, candidates, query
+from strandset.plans.queries import CAND, CELLS, ERRORS, EV, OUT, SCORED, TRUTH, bound, candidates, query
+from strandset.sources import shared
 
 RATES = ("parse_rate", "valid_rate", "certified_rate", "candidate_rate", "answer_em", "answer_f1", "strict_em", "strict_f1", "valid_em", "valid_f1", "certified_em", "certified_f1", "evidence_em", "evidence_precision", "evidence_recall", "evidence_f1", "joint_em", "joint_f1")
 
@@ -83,16 +84,21 @@ SELECT 'answer' AS task, count(*) AS examples, {_hundred('(k % 4 <> 3)::INT')} A
 UNION ALL SELECT 'citation', count(*), {_hundred('(k % 5 <> 0)::INT')}, {_hundred('em * (k % 5 <> 0)::INT')}, {_hundred('em * (k % 5 <> 0)::INT')}, {_hundred('(k % 5 > 1)::INT')}, {_hundred('CASE k % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END')} FROM p"""
 
 
+def said(task):
+    """Stored outputs of a protocol."""
+    k = F.col("k")
+    if task == "answer":
+        return F.when(k % 4 == 3, F.col("nation")).otherwise(F.concat(F.lit("So: <ANSWER>\n "), "nation", F.lit(" </ANSWER>")))
+    cited = F.when(k % 5 == 1, "[[0,0],[9,9]]").otherwise("[[0,0],[1,0]]")
+    return F.when(k % 5 == 0, "<CITATION>{</CITATION>").otherwise(F.concat(F.lit('<CITATION>{"answer":"'), "nation", F.lit('","evidence":'), cited, F.lit("}</CITATION>")))
+
+
 @query(PROTOCOLS)
 def output_baselines(spark, sf_dir):
     rows = orders.contexts(spark, sf_dir)
-    k = F.col("k")
-    answer = F.when(k % 4 == 3, F.col("nation")).otherwise(F.concat(F.lit("So: <ANSWER>\n "), "nation", F.lit(" </ANSWER>")))
-    cited = F.when(k % 5 == 1, "[[0,0],[9,9]]").otherwise("[[0,0],[1,0]]")
-    cite = F.when(k % 5 == 0, "<CITATION>{</CITATION>").otherwise(F.concat(F.lit('<CITATION>{"answer":"'), "nation", F.lit('","evidence":'), cited, F.lit("}</CITATION>")))
     out = None
-    for task, output in (("answer", answer), ("citation", cite)):
-        one = reports.output_baseline(rows.withColumn("output", output), task)
+    for task in ("answer", "citation"):
+        one = reports.output_baseline(rows.withColumn("output", said(task)), task)
         one = one.select(F.lit(task).alias("task"), "examples", *[F.round(c, 6).alias(c) for c in one.columns if c != "examples"])
         out = one if out is None else out.unionByName(one)
     return out
@@ -261,3 +267,44 @@ def history_report(spark, sf_dir):
     linked = revisions.linked_documents(bound(spark, sf_dir))
     found = revisions.history_report(revisions.history_events(linked, customer_history(spark, sf_dir)))
     return found.withColumns({c: F.round(c, 6) for c in ("reuse_rate", "replay_rate", "recompile_rate", "spared")})
+
+
+@query(
+    f"""{JUDGED}, b AS (SELECT qid, max(CASE WHEN idx = 0 THEN em END) AS a0, max(CASE WHEN idx = 1 THEN em END) AS a1, max(CASE WHEN idx = 0 AND tier = 2 THEN em ELSE 0.0 END) AS s0, max(CASE WHEN idx = 1 AND tier = 2 THEN em ELSE 0.0 END) AS s1 FROM j WHERE idx < 2 GROUP BY 1),
+d AS (SELECT 'answer_f1' AS metric, a1 - a0 AS d FROM b UNION ALL SELECT 'strict_answer_f1', s1 - s0 FROM b)
+SELECT metric, count(*) AS examples, round(100.0 * avg(d), 6) AS mean_difference, CAST(sum((d > 0)::INT) AS BIGINT) AS wins, CAST(sum((d < 0)::INT) AS BIGINT) AS losses, CAST(sum((d = 0)::INT) AS BIGINT) AS ties FROM d GROUP BY 1"""
+)
+def run_comparison(spark, sf_dir):
+    """Programs of each order's own kind against those of the next kind; intervals are in ``paired_bootstrap``."""
+    rows = orders.contexts(spark, sf_dir)
+    other = orders.outputs(rows, F.get(F.array(*map(F.lit, orders.KINDS)), ((F.col("k") + 1) % 12).cast("int")))
+    return significance.run_comparison(rows, orders.outputs(rows), other, intervals=False).withColumn("mean_difference", F.round("mean_difference", 6))
+
+
+#: (base, its score, other, its score, whether examples are eligible): scores of stored outputs as in ``output_baselines``.
+TASKS = (
+    ("answer", "(k % 4 <> 3)::INT * said", "program-certified", "certified::INT * em", "certified"), ("citation", "(k % 5 <> 0)::INT * said", "program-strict", "valid::INT * em", "true"),
+    ("program-answer", "em", "program-literal", "valid::INT * em", "true"),
+)
+
+
+@query(
+    f"""{SCORED}, x AS (SELECT *, (nation = truth)::INT AS said FROM s), p AS ({' UNION ALL '.join(f"SELECT '{a}' AS baseline_task, '{b}' AS candidate_task, {x} AS a, {y} AS b, {e} AS eligible FROM x" for a, x, b, y, e in TASKS)}),
+v AS (SELECT *, 'all' AS subset, true AS used FROM p UNION ALL SELECT *, 'candidate-eligible', eligible FROM p)
+SELECT baseline_task, candidate_task, subset, count(*) AS total_examples, CAST(sum(eligible::INT) AS BIGINT) AS candidate_eligible_examples, {_hundred('eligible::INT')} AS candidate_eligibility_rate, CAST(sum(used::INT) AS BIGINT) AS compared_examples,
+round(100.0 * avg(a) FILTER (used), 6) AS baseline_answer_f1, round(100.0 * avg(b) FILTER (used), 6) AS candidate_answer_f1, round(100.0 * avg(b - a) FILTER (used), 6) AS mean_difference,
+count(*) FILTER (used AND b > a) AS wins, count(*) FILTER (used AND b < a) AS losses, count(*) FILTER (used AND b = a) AS ties FROM v GROUP BY 1, 2, 3"""
+)
+def task_comparison(spark, sf_dir):
+    rows = orders.contexts(spark, sf_dir)
+    stored = {"answer": said("answer"), "citation": said("citation")}
+    of = lambda task: rows.withColumn("output", stored[task]) if task in stored else orders.outputs(rows)
+    out = None
+    for base, _, other, _, _ in TASKS:
+        pairs = shared.written(significance.paired_scores(rows, of(base), of(other), base, other), "scores")
+        for name, only in (("all", False), ("candidate-eligible", True)):
+            one = significance.compared(pairs, only)
+            rates = [F.round(c, 6).alias(c) for c in ("candidate_eligibility_rate", "baseline_answer_f1", "candidate_answer_f1", "mean_difference")]
+            one = one.select(F.lit(base).alias("baseline_task"), F.lit(other).alias("candidate_task"), F.lit(name).alias("subset"), *rates, *[F.col(c).cast("long").alias(c) for c in ("total_examples", "candidate_eligible_examples", "compared_examples", "wins", "losses", "ties")])
+            out = one if out is None else out.unionByName(one)
+    return out
