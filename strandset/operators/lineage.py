@@ -89,7 +89,7 @@ def _snapshot(result: str) -> tuple[Column, Column]:
         lambda k: F.struct(k["field"].alias("field"), k["doc"].alias("doc"), k["sent"].alias("sent"), text_digest(cell_text(k, documents, F.col("question"))).alias("sha256")),
     )
     snapshot = F.struct(
-        F.col("dataset"), F.col("qid"), F.lit(SEMANTICS).alias("semantics"), program_digest(program).alias("program_sha256"), text_digest(F.col(f"{result}.answer")).alias("answer_sha256"),
+        F.col("dataset"), F.col("qid"), F.lit(SEMANTICS).alias("semantics"), program_digest("program").alias("program_sha256"), text_digest(F.col(f"{result}.answer")).alias("answer_sha256"),
         structure_digest(documents).alias("structure_sha256"), F.col(f"{result}.certified").alias("certified"), cells.cast(f"array<{CELL}>").alias("cells"),
     )
     return fold_nested(F.when(valid, texts)), F.when(valid, snapshot)
@@ -120,7 +120,7 @@ def _check(snapshot: str) -> Column:
     return F.when(s.isNotNull(), check_of(s, F.col("dataset"), F.col("qid"), F.col("question"), F.col("documents")))
 
 
-def bound_as_committed(program: Column, answer: Column, snapshot: Column) -> Column:
+def bound_as_committed(program: str, answer: Column, snapshot: Column) -> Column:
     return (snapshot["semantics"] == SEMANTICS) & (snapshot["program_sha256"] == program_digest(program)) & (snapshot["answer_sha256"] == text_digest(answer))
 
 
@@ -130,7 +130,7 @@ def refresh(rows: DataFrame, cached: str = "cached_answer", snapshot: str = "sna
     Digests decide first; only certified results whose read cells changed, and nothing else, are executed again."""
     s = F.col(snapshot)
     step = (
-        F.when(~bound_as_committed(F.col("program"), F.col(cached), s), "unbound")
+        F.when(~bound_as_committed("program", F.col(cached), s), "unbound")
         .when(F.col("__check.current"), "reuse")
         .when(F.col("__check.structure_changed"), "structure")
         .when(~s["certified"], "uncertified")

@@ -8,7 +8,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from strandset.functions.udf import arrow_udf
+from pyspark.sql import types as T
+
+from strandset.functions.udf import arrow_udf, once
 from strandset.schema import PROGRAM
 
 WRAPPED = r"(?s)<PROGRAM>\s*(\{.*?\})\s*</PROGRAM>"
@@ -118,5 +120,38 @@ def rendered(program: Column) -> Column:
     return F.to_json(F.struct(answer.alias("answer"), evidence.alias("evidence"), joins.alias("joins"), program["mode"].alias("mode"), program["version"].alias("version")))
 
 
-def program_digest(program: Column) -> Column:
-    return F.sha2(F.to_json(program, {"ignoreNullFields": "false"}).cast("binary"), 256)
+def _by_name(column: Column, kind: T.DataType) -> Column:
+    """``column`` with the fields of all its structures in the order of their names."""
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_by_name(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(column.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(column, lambda x: _by_name(x, kind.elementType))
+    return column
+
+
+#: Control characters that Spark writes with capital hexadecimal digits.
+CAPITAL = ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F")
+
+
+def canonical_json(column: Column, kind: T.DataType) -> Column:
+    """Compact JSON with sorted keys, nulls written out, as Python's json gives it without escaping other scripts; the order of a schema's fields doesn't matter."""
+    text = F.to_json(_by_name(column, kind), {"ignoreNullFields": "false"})
+    small = text
+    for code in CAPITAL:  # not after an escaped backslash
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    return F.when(F.contains(text, F.lit(r"\u00")), small).otherwise(text)
+
+
+@once
+def canonical_program(program: str = "program") -> Column:
+    """A program's canonical JSON: evidence as pairs, keys sorted, whatever else stood in its text left out."""
+    p = F.col(program)
+    kind = T.StructType.fromDDL(f"program {PROGRAM}")["program"].dataType
+    pairs = T.StructType([T.StructField(f.name, T.ArrayType(T.ArrayType(T.IntegerType())) if f.name == "evidence" else f.dataType) for f in kind.fields])
+    return canonical_json(F.when(p.isNotNull(), p.withField("evidence", F.transform(p["evidence"], lambda r: F.array(r["doc"], r["sent"])))), pairs)
+
+
+def program_digest(program: str = "program") -> Column:
+    """Digest of the canonical JSON, which any other reader of the same program gets as well."""
+    return F.sha2(canonical_program(program).cast("binary"), 256)
