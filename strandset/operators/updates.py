@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from strandset.functions.text import disjoint_replacement, mutate_number, normalize, occurrences
+from strandset.functions.text import disjoint_replacement, exact_match, mutate_number, normalize, normalize_all, occurrences, text_digest, token_prf
 from strandset.operators.lineage import cell_text, document_digest, key, refresh, verify
+from strandset.operators.program import parsed, wrapped_answer
 from strandset.operators.vm import execute
 from strandset.schema import DOCUMENTS, PROGRAM
 
@@ -186,18 +188,25 @@ def document_gate(bound: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def recovery_cases(bound: DataFrame) -> DataFrame:
-    """Certified copies whose quote stands once in the context and can be edited as a number: changed documents, the repaired
-    program and the new answer, where the repaired program is certified."""
-    p = F.col("program.answer.pointer")
-    documents = F.col("documents")
-    rows = bound.where("result.certified and program.answer.op = 'copy' and program.answer.pointer.quote != '' and program.answer.pointer.field != 'question'")
-    rows = rows.withColumn("new_value", mutate_number(p["quote"])).where("new_value is not null")
+    """Certified copies with a right answer whose value stands once in the context and can be edited as a number: changed_documents, the repaired program, new_result
+    (where it is certified and answers something else), old_answer, and new_answers, the one right answer from now on. ``bound`` has answers."""
+    documents, p = F.col("documents"), F.col("__pointer")
+    rows = bound.where("result.certified and program.answer.op = 'copy'").withColumns({"__p": normalize(F.col("result.answer")), "__a": normalize_all("answers")})
+    rows = rows.where(exact_match(F.col("__p"), F.col("__a")) == 1).drop("__p", "__a").withColumn("__pointer", value_pointer(F.col("program"), documents))
+    rows = rows.where(p.isNotNull()).withColumn("new_value", mutate_number(p["quote"])).where("new_value is not null")
     cells = F.concat(F.array(F.col("question")), F.flatten(F.transform(documents, lambda d: F.concat(F.array(d["title"]), d["sentences"]))))
     rows = rows.where((occurrences(cells, p["quote"]) == 1) & (occurrences(cells, F.col("new_value")) == 0))
-    rows = rows.withColumns({"repaired": repaired(F.col("program"), p, F.col("new_value")), "__old": documents, "__program": F.col("program")})
+    rows = rows.withColumns({"repaired": repaired(F.col("program"), p, F.col("new_value")), "__old": documents, "__program": F.col("program"), "old_answer": F.col("result.answer")})
     rows = rows.withColumns({"documents": with_cell(documents, p, lambda t: F.replace(t, p["quote"], F.col("new_value")))})
-    rows = execute(rows.withColumn("program", F.col("repaired")), into="new_result").where("new_result.certified")
-    return rows.withColumns({"program": F.col("__program"), "changed_documents": F.col("documents"), "documents": F.col("__old")}).drop("__old", "__program")
+    rows = execute(rows.withColumn("program", F.col("repaired")), into="new_result").where("new_result.certified and new_result.answer != old_answer")
+    rows = rows.withColumns({"program": F.col("__program"), "changed_documents": F.col("documents"), "documents": F.col("__old"), "new_answers": F.array("new_result.answer")})
+    return rows.drop("__old", "__program", "__pointer")
+
+
+def first_cases(cases: DataFrame, most: int = 200) -> DataFrame:
+    """The ``most`` cases of each dataset with the lowest digest of dataset:qid."""
+    place = F.row_number().over(W.partitionBy("dataset").orderBy(text_digest(F.concat_ws(":", "dataset", "qid")), "qid"))
+    return cases.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
 
 
 def update_summary(bound: DataFrame, suffix: str = " [updated]") -> DataFrame:
@@ -222,15 +231,41 @@ def update_summary(bound: DataFrame, suffix: str = " [updated]") -> DataFrame:
     return both.withColumn("expected_recompute", 100.0 * F.col("dependency_cells") / F.greatest("corpus_cells", F.lit(1)))
 
 
-def recovery_report(cases: DataFrame) -> DataFrame:
-    """One row over recovery cases: how often the cached answer and the old program still stand, and what the repaired program answers.
+def _hundred(c: Column) -> Column:
+    return 100.0 * F.coalesce(F.avg(F.coalesce(c.cast("double"), F.lit(0.0))), F.lit(0.0))
+
+
+def _with_outputs(cases: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Cases in their changed contexts, with the stored output of their question (null: none)."""
+    stored = outputs.select("dataset", "qid", F.col("output").alias("__output"))
+    rows = cases.withColumns({"documents": F.col("changed_documents"), "__right": normalize_all("new_answers")})
+    return rows.drop("output").join(stored, ["dataset", "qid"], "left")
+
+
+def recovery_report(cases: DataFrame, outputs: DataFrame, *by: str) -> DataFrame:
+    """Recompilations after the change, one row (a group): cases, cached_em and cached_f1 of the old answers, old_plan_valid, and of the stored programs
+    (dataset, qid, output): parse_rate, valid_rate, certified_rate, candidate_em, candidate_f1, strict_em, strict_f1, per hundred cases. A case without an output counts 0."""
+    rows = execute(_with_outputs(cases, outputs), into="__old_plan")
+    rows = execute(parsed(rows, "__output"), into="__again")
+    again = F.col("__again")
+    said = lambda c: normalize(F.coalesce(c, F.lit("")))
+    rows = rows.withColumns({"__o": said(F.col("old_answer")), "__c": said(again["candidate_answer"]), "__s": said(again["answer"])})
+    right = F.col("__right")
+    f1 = lambda c: token_prf(F.col(c), right)["f1"]
+    em = lambda c: exact_match(F.col(c), right)
+    sound, valid = F.coalesce(again["answer_valid"], F.lit(False)), F.coalesce(again["valid"], F.lit(False))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("cases"), _hundred(em("__o")).alias("cached_em"), _hundred(f1("__o")).alias("cached_f1"), _hundred(F.col("__old_plan.valid")).alias("old_plan_valid"),
+        _hundred(F.col("program").isNotNull()).alias("parse_rate"), _hundred(valid).alias("valid_rate"), _hundred(valid & again["certified"]).alias("certified_rate"),
+        _hundred(F.when(sound, em("__c"))).alias("candidate_em"), _hundred(F.when(sound, f1("__c"))).alias("candidate_f1"), _hundred(F.when(valid, em("__s"))).alias("strict_em"), _hundred(F.when(valid, f1("__s"))).alias("strict_f1"),
+    )
+
 
-    The right answer of a case is its new value."""
-    old = execute(cases.withColumn("documents", F.col("changed_documents")), into="__old")
-    same = lambda a, b: normalize(F.coalesce(a, F.lit(""))) == normalize(b)
-    rows = old.withColumns({"__cached": same(F.col("result.answer"), F.col("new_value")), "__now": same(F.col("new_result.answer"), F.col("new_value"))})
-    rate = lambda c: 100.0 * F.avg(c.cast("double"))
-    return rows.agg(
-        F.count("*").alias("cases"), rate(F.col("__cached")).alias("cached_em"), rate(F.col("__old.valid")).alias("old_plan_valid"), rate(F.col("new_result.valid")).alias("repaired_valid"),
-        rate(F.col("new_result.certified")).alias("repaired_certified"), rate(F.col("__now")).alias("repaired_em"),
+def recovery_answers(cases: DataFrame, outputs: DataFrame, *by: str) -> DataFrame:
+    """The same for stored answers: cases, parse_rate (a tagged answer that isn't empty), answer_em, answer_f1."""
+    rows = _with_outputs(cases, outputs).withColumn("__said", F.coalesce(wrapped_answer(F.col("__output")), F.lit("")))
+    rows = rows.withColumn("__p", normalize(F.col("__said")))
+    some, right = F.col("__said") != "", F.col("__right")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("cases"), _hundred(some).alias("parse_rate"), _hundred(F.when(some, exact_match(F.col("__p"), right))).alias("answer_em"), _hundred(F.when(some, token_prf(F.col("__p"), right)["f1"])).alias("answer_f1"),
     )

@@ -70,21 +70,20 @@ def _errors(*pairs: tuple[Column, Column | str]) -> Column:
 def connected(docs: Column, edges: Column) -> Column:
     """Whether edges (a, b) join all of ``docs``; document -1, the question, may lie between.
 
-    Components are bits: a document is the bit of its place, an edge joins the components that share a bit with it into one. Each edge is looked
-    at once. More than 62 documents don't fit into one number, so places go to words of 62 bits, and a component is an array of words."""
+    A document is the bit of its place, an edge the bits of its ends, and what is reached from the first document grows by each edge that shares a bit with
+    it; as many rounds over the edges as there are documents reach all that can be. More than 62 documents don't fit into one number and are kept in an array.
+    No inner function uses a variable of an outer one here: the optimizer can't hand such an expression to an Arrow function."""
     nodes = F.concat(docs, F.array(F.lit(-1)))
-    words = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 62).cast("int"))
-    bit = lambda at, w: F.when(F.floor((at - 1) / 62) == w, F.pow(F.lit(2), (at - 1) % 62).cast("long")).otherwise(F.lit(0).cast("long"))
-    both = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseOR(q))
-    meet = lambda x, y: F.exists(F.zip_with(x, y, lambda p, q: p.bitwiseAND(q)), lambda z: z != 0)
-    places = F.transform(edges, lambda e: F.struct(F.array_position(nodes, e["a"]).alias("a"), F.array_position(nodes, e["b"]).alias("b")))
-    masks = F.transform(places, lambda e: F.transform(words, lambda w: bit(e["a"], w).bitwiseOR(bit(e["b"], w))))
-    joined = F.aggregate(
-        masks, F.array().cast("array<array<bigint>>"),
-        lambda parts, m: F.array_append(F.filter(parts, lambda p: ~meet(p, m)), F.aggregate(F.filter(parts, lambda p: meet(p, m)), m, both)),
-    )
-    whole = F.transform(words, lambda w: F.aggregate(F.sequence(F.lit(1), F.size(docs)), F.lit(0).cast("long"), lambda acc, at: acc.bitwiseOR(bit(at, w))))
-    return F.exists(joined, lambda p: F.forall(F.zip_with(p, whole, lambda x, y: x.bitwiseAND(y) == y), lambda ok: ok))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), (at - 1).cast("int"))
+    masks = F.transform(edges, lambda e: bit(F.array_position(nodes, e["a"])).bitwiseOR(bit(F.array_position(nodes, e["b"]))))
+    rounds = lambda each: F.flatten(F.array_repeat(each, F.size(docs) + 1))
+    reached = F.aggregate(rounds(masks), F.lit(1).cast("long"), lambda acc, m: F.when(acc.bitwiseAND(m) != 0, acc.bitwiseOR(m)).otherwise(acc))
+    whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(docs)) - 1
+    grow = lambda acc, e: F.when(F.array_contains(acc, e["a"]) & ~F.array_contains(acc, e["b"]), F.array_append(acc, e["b"])).when(
+        F.array_contains(acc, e["b"]) & ~F.array_contains(acc, e["a"]), F.array_append(acc, e["a"])
+    ).otherwise(acc)
+    many = F.aggregate(rounds(edges), F.slice(docs, 1, 1), grow)
+    return F.when(F.size(nodes) <= 62, reached.bitwiseAND(whole) == whole).otherwise(F.size(F.array_except(docs, many)) == 0)
 
 
 def checked(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandset.functions import text as t
 from strandset.functions.constants import DEMONYMS, MAXIMUM_CUES, MINIMUM_CUES
 from strandset.operators import lineage, metrics, readings, reports, revisions, sampling, selection, significance, updates
+from strandset.operators.program import rendered
 from strandset.operators.training import TASKS, context_text
 from strandset.operators.vm import execute
 from strandset.plans import orders
@@ -473,22 +474,49 @@ def title_profiles(spark, sf_dir):
     return revisions.title_profiles(bound(spark, sf_dir), 20)
 
 
-DAYS = f"""WITH {SQL}, x AS (SELECT qid, day, left(day, -4) || (CAST(right(day, 4) AS INTEGER) + 1) AS new_value, 'It was ordered on ' || day || '.' || coalesce('It was ordered on ' || day2 || '.', '') AS cells FROM g),
-cases AS (SELECT * FROM x WHERE (length(cells) - length(replace(cells, day, ''))) // length(day) = 1 AND NOT contains(cells, new_value))"""
+#: Orders with a program that copies their day, which is the right answer but for every fourth; cases have a day that stands once.
+DAYS = f"""WITH {SQL}, x AS (SELECT *, left(day, -4) || (CAST(right(day, 4) AS INTEGER) + 1) AS new_value, 'It was ordered on ' || day || '.' || coalesce('It was ordered on ' || day2 || '.', '') AS cells FROM g WHERE k % 4 <> 3),
+cases AS (SELECT *, 2.0 * len(list_intersect(string_split(day, ' '), string_split(new_value, ' '))) / (len(string_split(day, ' ')) + len(string_split(new_value, ' '))) AS near FROM x WHERE (length(cells) - length(replace(cells, day, ''))) // length(day) = 1 AND NOT contains(cells, new_value))"""
 
 
 def day_cases(spark, sf_dir):
-    return updates.recovery_cases(lineage.bind(execute(orders.programs_of(spark, sf_dir, "day"))))
+    rows = orders.programs_of(spark, sf_dir, "day").withColumn("answers", F.array(F.when(F.col("k") % 4 == 3, F.col("nation")).otherwise(F.col("day"))))
+    return updates.recovery_cases(lineage.bind(execute(rows)))
 
 
-@query(f"{DAYS} SELECT qid, new_value, new_value AS new_answer FROM cases")
+@query(f"{DAYS} SELECT qid, day AS old_answer, new_value, new_value AS new_answer FROM cases")
 def recovery_cases(spark, sf_dir):
-    return day_cases(spark, sf_dir).select("qid", "new_value", F.col("new_result.answer").alias("new_answer"))
+    return day_cases(spark, sf_dir).select("qid", "old_answer", "new_value", F.col("new_result.answer").alias("new_answer"))
 
 
-@query(f"{DAYS} SELECT count(*) AS cases, 0.0::DOUBLE AS cached_em, 0.0::DOUBLE AS old_plan_valid, 100.0::DOUBLE AS repaired_valid, 100.0::DOUBLE AS repaired_certified, 100.0::DOUBLE AS repaired_em FROM cases")
+@query(f"{DAYS} SELECT qid, new_value FROM cases ORDER BY sha256('orders:' || qid) LIMIT 200")
+def recovery_sample(spark, sf_dir):
+    return updates.first_cases(day_cases(spark, sf_dir)).select("qid", "new_value")
+
+
+def _rates(found):
+    return found.select("cases", *[F.round(c, 6).alias(c) for c in found.columns if c != "cases"])
+
+
+@query(
+    f"""{DAYS}, y AS (SELECT *, k % 5 AS kind5, CASE WHEN contains(replace(cells, day, new_value), day) THEN 1.0 ELSE 0.0 END AS stands FROM cases)
+SELECT count(*) AS cases, round(100.0 * avg(CASE WHEN day = new_value THEN 1.0 ELSE 0.0 END), 6) AS cached_em, round(100.0 * avg(near), 6) AS cached_f1, round(100.0 * avg(stands), 6) AS old_plan_valid,
+round(100.0 * avg((kind5 > 1)::INT), 6) AS parse_rate, round(100.0 * avg((kind5 > 2)::INT), 6) AS valid_rate, round(100.0 * avg((kind5 > 2)::INT), 6) AS certified_rate,
+round(100.0 * avg((kind5 = 3)::INT), 6) AS candidate_em, round(100.0 * avg((kind5 = 3)::INT), 6) AS candidate_f1, round(100.0 * avg((kind5 = 3)::INT), 6) AS strict_em, round(100.0 * avg((kind5 = 3)::INT), 6) AS strict_f1 FROM y"""
+)
 def recovery_report(spark, sf_dir):
-    return updates.recovery_report(day_cases(spark, sf_dir))
+    """By key modulo 5: no output, no program, the old program, the repaired one, one that answers something else."""
+    cases = day_cases(spark, sf_dir)
+    output = F.when(F.col("k") % 5 == 1, "none").when(F.col("k") % 5 == 2, rendered(F.col("program"))).when(F.col("k") % 5 == 3, rendered(F.col("repaired"))).otherwise(orders.program_texts()["copy"])
+    return _rates(updates.recovery_report(cases, cases.where("k % 5 > 0").select("dataset", "qid", output.alias("output"))))
+
+
+@query(f"{DAYS} SELECT count(*) AS cases, round(100.0 * avg((k % 3 < 2)::INT), 6) AS parse_rate, round(100.0 * avg((k % 3 = 0)::INT), 6) AS answer_em, round(100.0 * avg(CASE k % 3 WHEN 0 THEN 1.0 WHEN 1 THEN near ELSE 0.0 END), 6) AS answer_f1 FROM cases")
+def recovery_answers(spark, sf_dir):
+    """By key modulo 3: the new answer, the old one, no tags."""
+    cases = day_cases(spark, sf_dir)
+    output = F.when(F.col("k") % 3 == 0, F.concat(F.lit("<ANSWER>"), "new_value", F.lit("</ANSWER>"))).when(F.col("k") % 3 == 1, F.concat(F.lit("<ANSWER> "), "old_answer", F.lit("</ANSWER>"))).otherwise(F.col("new_value"))
+    return _rates(updates.recovery_answers(cases, cases.select("dataset", "qid", output.alias("output"))))
 
 
 @query("SELECT event_type, count(value) AS n, list_sort(list(value))[CAST(floor(0.5 * (count(*) - 1)) AS INTEGER) + 1] AS p50, list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS INTEGER) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from test_vm import DOCS, context, pairs, program, ptr
 
 from strandset.operators.lineage import bind, refresh, verify
-from strandset.operators.updates import attacks, document_gate, one_cell_updates, recovery_cases, update_stress
+from strandset.operators.updates import attacks, document_gate, first_cases, one_cell_updates, recovery_answers, recovery_cases, recovery_report, update_stress
 from strandset.operators.vm import execute
 from strandset.schema import CONTEXT
 
@@ -77,7 +77,27 @@ def test_attacks_and_gate(spark):
 
 
 def test_recovery(spark):
-    p = program(evidence=[[0, 0], [1, 1]], joins=[{"left": ptr(0, 0, "Ada Writer"), "right_doc": 1}], answer={"op": "copy", "pointer": ptr(1, 1, "1999")})
-    got = recovery_cases(bound(spark, [p, program()])).collect()
-    assert [(r.new_value, r.new_result.answer, r.changed_documents[1].sentences[1]) for r in got] == [("2000", "2000", "She wrote in 2000.")]
+    """The value pointer is edited, not a quote that a join shares; a wrong old answer, a value that stands twice and an answer without a number make no case."""
+    years = {"evidence": [[0, 0], [1, 1]], "joins": [{"left": ptr(0, 0, "Ada Writer"), "right_doc": 1}], "answer": {"op": "copy", "pointer": ptr(1, 1, "1999")}}
+    contexts = [context(f"q{i}", docs, answers=(a,)) for i, (docs, a) in enumerate([(DOCS, "1999"), (DOCS, "2001"), (DOCS, "Delta City"), (changed(DOCS, 2, 0, "In 1999."), "1999"), (changed(DOCS, 2, 0, "In 2000."), "1999")])]
+    rows = bound(spark, [program(**years), program(**years), program(), program(**years), program(**years)], contexts)
+    cases = recovery_cases(rows)
+    got = cases.collect()
+    assert [(r.qid, r.old_answer, r.new_value, r.new_result.answer, r.changed_documents[1].sentences[1], list(r.new_answers)) for r in got] == [("q0", "1999", "2000", "2000", "She wrote in 2000.", ["2000"])]
     assert json.dumps([d.title for d in got[0].documents]) == json.dumps([t for t, _ in DOCS])
+    again = spark.createDataFrame([("hotpotqa", "q0", json.dumps(program(**(years | {"answer": {"op": "copy", "pointer": ptr(1, 1, "in 2000")}}))))], "dataset string, qid string, output string")
+    r = recovery_report(cases, again, "dataset").first()
+    assert [x if isinstance(x, str) else round(x, 6) for x in r] == ["hotpotqa", 1, 0, 0, 0, 100, 100, 100, 0, 66.666667, 0, 66.666667]
+    assert tuple(recovery_report(cases, again.limit(0)).first())[:5] == (1, 0, 0, 0, 0)
+    said = spark.createDataFrame([("hotpotqa", "q0", "<ANSWER>2000</ANSWER>")], "dataset string, qid string, output string")
+    assert tuple(recovery_answers(cases, said).first()) == (1, 100, 100, 100)
+    assert tuple(recovery_answers(cases.where("false"), said).first()) == (0, 0, 0, 0)
+
+
+def test_first_cases_by_digest(spark):
+    from hashlib import sha256
+
+    rows = spark.createDataFrame([("ab"[i % 2], f"q{i}") for i in range(50)], "dataset string, qid string")
+    got = {tuple(r) for r in first_cases(rows, 7).collect()}
+    want = {("ab"[d], f"q{i}") for d in (0, 1) for i in sorted(range(d, 50, 2), key=lambda i: sha256(f"{'ab'[d]}:q{i}".encode()).hexdigest())[:7]}
+    assert got == want

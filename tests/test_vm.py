@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from strandset.functions.text import normalize
 from strandset.operators.program import parsed
 from strandset.operators.vm import connected, contracts, execute
 from strandset.schema import CONTEXT
@@ -139,7 +140,13 @@ def test_connected_equals_a_search(spark):
                 todo += near.get(x, [])
         return set(docs) <= seen
 
-    assert got == [bool(e) and (reached(d, e) and any(set(x) & set(d) for x in e)) for d, e in rows] and {True, False} == set(got)
+    assert got == [reached(d, e) for d, e in rows] and {True, False} == set(got)
+
+
+def test_a_result_can_go_to_an_arrow_function(spark):
+    """With one use only, the whole result is written into the function's argument."""
+    rows = execute(pairs(spark, [program()]))
+    assert rows.where("result.certified").select(normalize(F.col("result.answer"))).first()[0] == "delta city"
 
 
 def test_sixty_documents_and_joins(spark):
