@@ -1,6 +1,8 @@
 import sys
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 import test_decontaminate
@@ -55,3 +57,24 @@ def test_every_stage_against_brute_force(spark, sf, tmp_path):
         assert {k: r.text for k, r in got.items()} == want
         assert all(r.n_chars == len(r.text) for r in got.values() if r.text)
         docs, before = after, got
+
+
+#: Names that operators give to what they add, or use on the way.
+CLASHING = ("score", "predicted", "held_out", "removed", "n_units", "n_removed", "n_words", "n_hit", "n_items", "spans", "items", "contaminated", "kept", "component_id", "n_shingles", "id", "clean", "later", "tie", "label", "item_id", "a.b", "length", "start", "sequence_id")
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_clashing_columns_repeated_rows_and_empty_tables(spark, sf, name, stage):
+    """Stages keep what extra columns hold, whatever they are called; a repeated row goes or stays as its like does."""
+    plain = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 = 0")
+    odd = spark.createDataFrame([(None, "no id at all", "en", "x", 12), (-5, None, "en", "x", None), (-6, "", "en", "x", 0)], plain.schema)
+    plain = plain.unionAll(odd).unionAll(plain.where("doc_id % 30 = 0"))
+    docs = plain.select("*", *[F.concat_ws("-", F.lit(c), "doc_id", "lang").alias(c) for c in CLASHING])
+    got, want = stage(spark, docs, sf), stage(spark, plain, sf)
+    rows = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
+    assert rows(got) == rows(want) and got.count() > 0
+    assert stage(spark, docs.where("false"), sf).count() == 0
+    if name != "packing":
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+        for c in CLASHING:
+            assert got.where(~F.col(f"`{c}`").eqNullSafe(F.concat_ws("-", F.lit(c), "doc_id", "lang"))).count() == 0
