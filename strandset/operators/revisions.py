@@ -14,6 +14,12 @@ def streams(rows: DataFrame, title: str = "title", id: str = "revid", time: str
     return rows.groupBy(title, id).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (title, id)]), line).alias("x")).select(title, id, "x.*")
 
 
+def _once_each(rows: DataFrame, *key: str) -> DataFrame:
+    """One row for each revision, the last one read where rows have a line (else the latest), so that a revision fetched twice makes no pair with itself."""
+    rest = [c for c in ("timestamp", "sha1", "content") if c in rows.columns]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "line" if "line" in rows.columns else F.struct(*rest)).alias("x")).select(*key, "x.*")
+
+
 def pairs(rows: DataFrame, title: str = "title", id: str = "revid", time: str = "timestamp", value: str = "content") -> DataFrame:
     """Consecutive revisions of each title: (title, revid, next_revid, old, new)."""
     w = W.partitionBy(title).orderBy(time, id)
@@ -30,14 +36,16 @@ def lost_cells(changes: DataFrame, k: int, seed: Column) -> DataFrame:
     return changes.withColumn("read", read).withColumn("recompute", F.size(F.array_except("read", "new")) > 0)
 
 
-def resolved_pages(pages: DataFrame, moves: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pages joined with the profile that asked for them: by the title that was redirected or, else, normalised to theirs, else by their own.
+def resolved_pages(pages: DataFrame, moves: DataFrame, profiles: DataFrame, order: str = "dataset") -> DataFrame:
+    """Pages joined with the profile that asked for them: by the title that was redirected or, else, normalised to theirs, else by their own. Of several
+    profiles of a title the last by ``order`` counts, so that a page asked for twice has its events once.
 
     ``pages``: (response, title, missing, …), a row for each revision; ``moves``: (response, from, to, redirect), ``profiles``: (dataset, title, dependency_cells)."""
     one = lambda redirect, name: moves.where(F.col("redirect") == redirect).groupBy("response", F.col("to").alias("title")).agg(F.max("from").alias(name))
     rows = pages.where(~F.coalesce("missing", F.lit(False))).join(one(True, "__r"), ["response", "title"], "left").join(one(False, "__n"), ["response", "title"], "left")
     rows = rows.withColumn("__asked", F.coalesce("__r", "__n", "title"))
-    p = lambda name: profiles.select(F.col("title").alias(f"__{name}"), F.struct("dataset", "title", "dependency_cells").alias(f"__p{name}"))
+    one_each = profiles.groupBy("title").agg(F.max_by(F.struct("dataset", "title", "dependency_cells"), F.struct(order, "dataset")).alias("x"))
+    p = lambda name: one_each.select(F.col("title").alias(f"__{name}"), F.col("x").alias(f"__p{name}"))
     rows = rows.join(p("asked"), "__asked", "left").join(p("own"), F.col("title") == F.col("__own"), "left")
     profile = F.coalesce("__pasked", "__pown")
     rows = rows.where(profile.isNotNull()).withColumns({"dataset": profile["dataset"], "requested": profile["title"], "dependency_cells": profile["dependency_cells"]})
@@ -47,6 +55,7 @@ def resolved_pages(pages: DataFrame, moves: DataFrame, profiles: DataFrame) -> D
 def stream_events(rows: DataFrame) -> DataFrame:
     """One row for each pair of consecutive revisions of a page whose older one has cells: selected cells (``dependency_cells`` of the old ones
     by digest), lost ones, page_changed, and the timestamps. ``rows``: (dataset, requested, title, dependency_cells, revid, timestamp, sha1, content)."""
+    rows = _once_each(rows, "dataset", "requested", "title", "dependency_cells", "revid")
     w = W.partitionBy("dataset", "title").orderBy("timestamp", "revid")
     known = ("revid", "timestamp", "sha1", "__cells")
     own = rows.withColumn("__cells", wiki_cells(F.coalesce("content", F.lit("")))).select("dataset", "requested", "title", "dependency_cells", *known)
@@ -94,6 +103,7 @@ def history_events(linked: DataFrame, revisions: DataFrame) -> DataFrame:
 
     Pages are stripped and folded once each, before the join; consecutive ones are paired within a title, so a program meets
     only the pairs of its own titles."""
+    revisions = _once_each(revisions, "title", "revid")
     pages = revisions.withColumn("folded", normalize(strip_wiki(F.coalesce("content", F.lit(""))))).select("title", "revid", "timestamp", F.struct("folded", "sha1").alias("page"))
     steps = pairs(pages, value="page").withColumnsRenamed({"old": "__old", "new": "__new"})
     rows = linked.withColumns({"__sentences": normalize_all("sentences"), "__quotes": normalize_all("quotes")}).join(steps, "title")

@@ -182,3 +182,15 @@ def test_wiki_markup(spark):
     assert spark.createDataFrame([(text,)], "x string").select(t.strip_wiki(F.col("x")).alias("y")).first().y == "A C & D E F G"
     cells = spark.createDataFrame([("a  long line of   many words\r\nshort\n[[Category:something of length]]\na long line of many words",)], "x string").select(t.wiki_cells(F.col("x")).alias("y")).first().y
     assert cells == ["a long line of many words"]
+
+
+def test_a_page_asked_for_or_fetched_twice_counts_once(spark):
+    line = "The first line of this page has a few words."
+    pages = spark.createDataFrame([(1, "P", False, 5, "2020", "a", line), (1, "P", False, 5, "2020", "a", line), (1, "P", False, 6, "2021", "b", "x")], "response int, title string, missing boolean, revid int, timestamp string, sha1 string, content string")
+    moves = spark.createDataFrame([], "response int, from string, to string, redirect boolean")
+    profiles = spark.createDataFrame([("two", "P", 1), ("one", "P", 1)], "dataset string, title string, dependency_cells int")
+    events = revisions.stream_events(revisions.resolved_pages(pages, moves, profiles)).collect()
+    assert [(r.dataset, r.revid, r.next_revid, r.lost) for r in events] == [("two", 5, 6, 1)]
+    linked = spark.createDataFrame([("d", "q", "P", ["first line"], ["words"])], "dataset string, qid string, title string, sentences array<string>, quotes array<string>")
+    found = revisions.history_events(linked, pages.select("title", "revid", "timestamp", "sha1", "content")).collect()
+    assert [(r.revid, r.next_revid, r.action) for r in found] == [(5, 6, "recompile")]
