@@ -81,6 +81,37 @@ def stream_report(events: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def page_summaries(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """(dataset, requested, title, dependency_cells, revisions, events, recomputations): one row for each page that ``resolved_pages`` found, those without
+    events too. A revision fetched twice counts once."""
+    own = pages.groupBy("dataset", "requested", "title", "dependency_cells").agg(F.count_distinct("revid").alias("revisions"))
+    told = events.groupBy("dataset", "requested", "title").agg(F.count("*").alias("events"), F.sum((F.col("lost") > 0).cast("long")).alias("recomputations"))
+    return own.join(told, ["dataset", "requested", "title"], "left").na.fill(0, ["events", "recomputations"])
+
+
+def unresolved(profiles: DataFrame, pages: DataFrame) -> DataFrame:
+    """(title): titles of ``profiles`` for which no page came."""
+    return profiles.where("title is not null").select("title").distinct().join(pages.select(F.col("requested").alias("title")).distinct(), "title", "left_anti")
+
+
+def stream_summary(profiles: DataFrame, pages: DataFrame, events: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One row: titles asked for, pages found, those with two revisions or more, titles without a page, failed fetches (rows of ``errors``), and the fields of
+    ``stream_report`` with the share of events that cells spare. Without events its counts and rates are 0 and its timestamps null."""
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    found = page_summaries(pages, events).agg(F.count("*").alias("resolved_pages"), F.count_if(F.col("revisions") > 1).alias("pages_with_two_revisions"))
+    parts = [count(profiles.where("title is not null").select("title").distinct(), "requested_titles"), found, count(unresolved(profiles, pages), "unresolved_titles"), stream_report(events)]
+    if errors is not None:
+        parts.append(count(errors, "fetch_errors"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    whole = whole.agg(*[F.max(c).alias(c) for c in whole.columns])
+    if errors is None:
+        whole = whole.withColumn("fetch_errors", F.lit(0).cast("long"))
+    whole = whole.na.fill(0, [c for c, kind in whole.dtypes if kind in ("bigint", "double")])
+    return whole.withColumn("spared", F.when(F.col("events") > 0, 100.0 - F.col("recompute_rate")).otherwise(0.0))
+
+
 def linked_documents(bound: DataFrame) -> DataFrame:
     """(dataset, qid, title, sentences, quotes) of each document that a certified program cites: its cited sentences, and the quotes that the
     program reads in it or joins to it."""
