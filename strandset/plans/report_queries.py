@@ -239,6 +239,52 @@ def revision_stream_report(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("recompute_rate", "document_recompute_rate")})
 
 
+def asked_pages(spark, sf_dir):
+    """(pages, profiles): pages of users and suppliers, found for profiles of users, suppliers and nations. Every seventh user's page is missing, a supplier's
+    has one revision, and of nations there is no page."""
+    pages, moves, profiles = event_pages(spark, sf_dir)
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    line = F.concat(F.lit("The supplier is "), "s_name", F.lit(" and no other"))
+    own = s.select((-F.col("s_suppkey")).cast("long").alias("response"), F.col("s_name").alias("title"), F.lit(False).alias("missing"), F.col("s_suppkey").cast("long").alias("revid"), F.lit("2020-01-01").cast("timestamp").cast(pages.schema["timestamp"].dataType).alias("timestamp"), t.text_digest(line).alias("sha1"), line.alias("content"))
+    pages = pages.withColumns({"missing": F.col("response") % 7 == 3, "response": F.col("response").cast("long"), "revid": F.col("revid").cast("long")}).unionByName(own)
+    for dataset, title in (("supplier", s.select("s_name")), ("nation", n.select("n_name"))):
+        profiles = profiles.unionByName(title.toDF("title").select(F.lit(dataset).alias("dataset"), "title", F.lit(2).alias("dependency_cells")))
+    return revisions.resolved_pages(pages, moves, profiles), profiles
+
+
+ASKED = f"""{STREAM}, shown AS (SELECT * FROM ev WHERE user_id % 7 <> 3),
+pages AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, 'user ' || user_id AS requested, any_value(title) AS title, count(DISTINCT event_id) AS revisions, user_id FROM p WHERE user_id % 7 <> 3 GROUP BY user_id
+UNION ALL SELECT 'supplier', s_name, s_name, 1, NULL FROM supplier),
+lost AS (SELECT 'user ' || user_id AS title FROM events WHERE user_id % 7 = 3 UNION SELECT n_name FROM nation)"""
+
+
+@query(
+    f"""WITH {ASKED}, told AS (SELECT user_id, count(*) AS events, CAST(sum((lost > 0)::INT) AS BIGINT) AS recomputations FROM shown GROUP BY 1)
+SELECT dataset, requested, title, 2 AS dependency_cells, revisions, coalesce(events, 0) AS events, coalesce(recomputations, 0) AS recomputations FROM pages LEFT JOIN told USING (user_id)"""
+)
+def revision_pages(spark, sf_dir):
+    pages, _ = asked_pages(spark, sf_dir)
+    return revisions.page_summaries(pages, revisions.stream_events(pages))
+
+
+@query(f"WITH {ASKED} SELECT title FROM lost")
+def revision_unresolved(spark, sf_dir):
+    pages, profiles = asked_pages(spark, sf_dir)
+    return revisions.unresolved(profiles, pages)
+
+
+@query(
+    f"""WITH {ASKED} SELECT (SELECT count(*) FROM pages) + (SELECT count(*) FROM lost) AS requested_titles, (SELECT count(*) FROM pages) AS resolved_pages, (SELECT count(*) FROM pages WHERE revisions > 1) AS pages_with_two_revisions,
+(SELECT count(*) FROM lost) AS unresolved_titles, 0 AS fetch_errors, count(*) AS events, CAST(sum(page_changed::INT) AS BIGINT) AS changed_events, CAST(sum(selected) AS BIGINT) AS selected_cells, CAST(sum(lost) AS BIGINT) AS changed_cells,
+CAST(sum((lost > 0)::INT) AS BIGINT) AS recomputations, {_hundred('(lost > 0)::INT')} AS recompute_rate, {_hundred('page_changed::INT')} AS document_recompute_rate, round(100.0 - 100.0 * sum((lost > 0)::INT) / greatest(count(*), 1), 6) AS spared,
+min(ts) AS earliest, max(next_ts) AS latest FROM shown"""
+)
+def revision_summary(spark, sf_dir):
+    pages, profiles = asked_pages(spark, sf_dir)
+    found = revisions.stream_summary(profiles, pages, revisions.stream_events(pages))
+    return found.withColumns({c: F.round(c, 6) for c in ("recompute_rate", "document_recompute_rate", "spared")})
+
+
 def customer_history(spark, sf_dir):
     """Two revisions of each customer's page, in wiki markup: a third moves, a third is worded anew, a third stays."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
