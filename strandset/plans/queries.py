@@ -338,6 +338,21 @@ def meta_score(spark, sf_dir):
     return selection.by_meta(groups(spark, sf_dir), MODEL).select("qid", "index", F.round("meta_score", 6).alias("meta_score"))
 
 
+RIGHT = "answer = lower(replace(nation, '_', ''))"
+
+
+@query(
+    f"""{meta_sql().rsplit("SELECT qid, CAST(idx", 1)[0]}, x AS (SELECT qid, answer, sum((tier = best)::INT) AS nb, max(CASE WHEN tier = best THEN logprob END) AS bl, max(score) AS top, count(*) AS n FROM c GROUP BY 1, 2),
+y AS (SELECT qid, {RIGHT} AS ok, row_number() OVER (PARTITION BY qid ORDER BY nb DESC, bl DESC NULLS LAST, answer DESC) AS a, row_number() OVER (PARTITION BY qid ORDER BY top DESC NULLS LAST, n DESC, answer DESC) AS b FROM x JOIN (SELECT qid, nation FROM g) USING (qid)),
+z AS (SELECT 'execution' AS chooser, ok FROM y WHERE a = 1 UNION ALL SELECT 'ranker', ok FROM y WHERE b = 1 UNION ALL SELECT 'model', {RIGHT} FROM o JOIN (SELECT qid, nation FROM g) USING (qid) WHERE n = 1)
+SELECT chooser, count(*) AS questions, round(avg(coalesce(ok, false)::INT), 6) AS accuracy FROM z GROUP BY 1"""
+)
+def chooser_accuracy(spark, sf_dir):
+    right = orders.facts(spark, sf_dir).select(F.col("k").cast("string").alias("qid"), t.normalize("nation").alias("right"))
+    rows = groups(spark, sf_dir).join(right, "qid").withColumn("right", F.col("answer") == F.col("right"))
+    return selection.chooser_accuracy(rows, MODEL).withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query(f"{OUT} SELECT qid FROM g WHERE k % 4 <> 0")
 def pending_anti_join(spark, sf_dir):
     rows = orders.contexts(spark, sf_dir)

@@ -194,10 +194,12 @@ PREDICTION = (
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Stored predictions with ``line``, their place in the order of files and lines; a torn last line is dropped; a program object wins
-    over the output text."""
+    over the output text, a program text counts only where there is no output."""
     lines = spark.read.text(path).withColumn("line", file_order()).where("trim(value) != ''")
-    rows = lines.withColumn("x", F.from_json("value", PREDICTION)).where("x.id is not null").select("x.*", "line")
-    return rows.withColumn("output", F.coalesce("program", "output")).drop("program")
+    rows = lines.withColumn("x", F.from_json("value", PREDICTION)).where("x.id is not null").select("x.*", "line", "value")
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.program", "variant"))
+    given = F.when(F.col("program").startswith("{"), F.when(kind.startswith("OBJECT"), F.col("program")))
+    return rows.withColumn("output", F.coalesce(given, "output", "program")).drop("program", "value")
 
 
 def file_digest(path: str) -> str:

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from strandset.plans.queries import ORACLES, QUERIES
 
-NAMES = ["vm_copy_bridge", "vm_argmin", "vm_errors", "error_histogram", "evaluate_summary", "contract_ablation", "bind_cells", "refresh_actions", "update_stress_matrix", "attack_matrix", "select_execution", "sentence_cells", "token_f1_pairs", "revision_pairs", "gold_compile", "evaluation_report", "candidate_report", "output_baselines", "static_answers", "ranker_passages", "revision_stream", "revision_pages", "revision_unresolved", "revision_summary", "history_events", "recovery_cases", "recovery_sample", "recovery_report", "recovery_answers", "verify_by_changes", "stale_results", "provenance_comparison", "deletion_provenance", "run_comparison", "task_comparison", "meta_score", "normalize", "floor_percentiles", "length_profile"]
+NAMES = ["vm_copy_bridge", "vm_argmin", "vm_errors", "error_histogram", "evaluate_summary", "contract_ablation", "bind_cells", "refresh_actions", "update_stress_matrix", "attack_matrix", "select_execution", "sentence_cells", "token_f1_pairs", "revision_pairs", "gold_compile", "evaluation_report", "candidate_report", "output_baselines", "static_answers", "ranker_passages", "revision_stream", "revision_pages", "revision_unresolved", "revision_summary", "history_events", "recovery_cases", "recovery_sample", "recovery_report", "recovery_answers", "verify_by_changes", "stale_results", "provenance_comparison", "deletion_provenance", "run_comparison", "task_comparison", "meta_score", "chooser_accuracy", "normalize", "floor_percentiles", "length_profile"]
 
 
 @pytest.fixture(scope="module")

@@ -78,3 +78,20 @@ def test_bootstrap(spark):
     r = paired_bootstrap(rows, samples=100, seed=7).first()
     assert (r.two_sided_p, r.mean_difference, r.ci95_lower, r.wins, r.examples) == (2 / 101, 100.0, 100.0, 3, 3)
     assert paired_bootstrap(rows.limit(0)).count() == 0
+
+
+def test_choosers_over_answer_groups(spark):
+    """A tie of counts goes to likelihoods of the best tier alone, then to the larger text; a missing score or likelihood comes last."""
+    from strandset.operators.selection import by_best_tier, by_ranker_score, chooser_accuracy
+
+    model = {"means": [0.0] * 16, "scales": [1.0] * 16, "weight1": [[1.0] + [0.0] * 15], "bias1": [0.0], "weight2": [1.0], "bias2": 0.0}
+    rows = [  # qid, answer, n, n_best, best_logprob, ranker_score, first feature, right
+        ("a", "x", 3, 1, -2.0, 0.5, 0.1, False), ("a", "y", 1, 1, -1.0, None, 0.2, True), ("a", "z", 2, 0, None, 0.5, 0.2, None),
+        ("b", "x", 1, 2, None, 1.0, 0.9, True), ("b", "y", 1, 2, None, 1.0, 0.9, False), ("c", "only", 1, 0, None, None, 0.0, True),
+    ]
+    g = spark.createDataFrame(rows, "qid string, answer string, n long, n_best int, best_logprob double, ranker_score double, f double, right boolean")
+    g = g.withColumn("features", F.concat(F.array("f"), F.array_repeat(F.lit(0.0), 15)))
+    assert {(r.qid, r.answer) for r in by_best_tier(g).collect()} == {("a", "y"), ("b", "y"), ("c", "only")}
+    assert {(r.qid, r.answer) for r in by_ranker_score(g).collect()} == {("a", "x"), ("b", "y"), ("c", "only")}
+    assert {r.chooser: (r.questions, round(r.accuracy, 6)) for r in chooser_accuracy(g, model).collect()} == {"execution": (3, 0.666667), "ranker": (3, 0.333333), "model": (3, 0.333333)}
+    assert chooser_accuracy(g.limit(0), model).count() == 0

@@ -39,6 +39,8 @@ def test_predictions_and_manifest(spark, tmp_path):
     path = tmp_path / "p.jsonl"
     path.write_text('{"id": "a", "output": "1"}\n\n{"id": "a", "output": "2", "program": {"answer": 3}}\n{"id": "b", "outp')
     assert sorted((r.id, r.output) for r in load_predictions(spark, str(path)).collect()) == [("a", "1"), ("a", '{"answer":3}')]
+    path.write_text('{"id": "a", "output": "1", "program": "{\\"answer\\": 3}"}\n{"id": "b", "program": "{}"}\n{"id": "c", "output": "2", "program": null}\n{"id": "d", "output": "3", "program": {}}\n{"id": "e", "output": "4", "program": [1]}\n{"id": "f"}')
+    assert sorted((r.id, r.output) for r in load_predictions(spark, str(path)).collect()) == [("a", "1"), ("b", "{}"), ("c", "2"), ("d", "{}"), ("e", "4"), ("f", None)]
     m = str(tmp_path / "m.json")
     with pytest.raises(ValueError):
         check_manifest(m, {"a": 1}, True)
