@@ -362,6 +362,7 @@ def pending_anti_join(spark, sf_dir):
 @query()
 def paired_bootstrap(spark, sf_dir):
     rows = candidates(spark, sf_dir).withColumn("em", (F.col("answer") == t.normalize("nation")).cast("double"))
+    rows = shared.written(rows.select("qid", "index", "tier", "answer", "logprob", "certified", "em"), "candidates")  # programs are executed once
     return significance.paired_bootstrap(significance.differences(selection.by_likelihood(rows), selection.by_execution(rows), "em"), order="qid", samples=5000)
 
 

@@ -40,3 +40,18 @@ def test_every_sql_has_a_query():
 
 def test_flagship(spark, sf):
     assert entry.entry(spark).count() > 0
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["ranker_pairs", "paired_bootstrap", "candidate_scores", "candidate_report"])
+def test_candidates_are_executed_once(spark, sf, name):
+    """No more readers of programs than in the candidates themselves; stored candidates have none."""
+    assert plan(QUERIES[name](spark, sf)).count("_read(") <= 2  # one call and its name in the Arrow step
+
+
+def test_passages_leave_contexts_behind(spark, sf):
+    text = plan(QUERIES["ranker_passages"](spark, sf))
+    assert "__cited" in text and "documents" not in text[: text.index("Window")]
