@@ -49,7 +49,7 @@ def plan(frame):
 @pytest.mark.parametrize("name", ["ranker_pairs", "paired_bootstrap", "candidate_scores", "candidate_report"])
 def test_candidates_are_executed_once(spark, sf, name):
     """No more readers of programs than in the candidates themselves; stored candidates have none."""
-    assert plan(QUERIES[name](spark, sf)).count("_read(") <= 2  # one call and its name in the Arrow step
+    assert plan(QUERIES[name](spark, sf)).count("_read(") <= 1
 
 
 def test_passages_leave_contexts_behind(spark, sf):
