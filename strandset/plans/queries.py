@@ -525,7 +525,9 @@ def recovery_report(spark, sf_dir):
     """By key modulo 5: no output, no program, the old program, the repaired one, one that answers something else."""
     cases = day_cases(spark, sf_dir)
     output = F.when(F.col("k") % 5 == 1, "none").when(F.col("k") % 5 == 2, rendered(F.col("program"))).when(F.col("k") % 5 == 3, rendered(F.col("repaired"))).otherwise(orders.program_texts()["copy"])
-    return _rates(updates.recovery_report(cases, cases.where("k % 5 > 0").select("dataset", "qid", output.alias("output"))))
+    names = ("dataset", "qid", "k", "question", "changed_documents", "program", "old_answer", "new_answers")
+    cases = shared.written(cases.select(*names, output.alias("output")), "cases")  # found once, for both sides
+    return _rates(updates.recovery_report(cases, cases.where("k % 5 > 0").select("dataset", "qid", "output")))
 
 
 @query(f"{DAYS} SELECT count(*) AS cases, round(100.0 * avg((k % 3 < 2)::INT), 6) AS parse_rate, round(100.0 * avg((k % 3 = 0)::INT), 6) AS answer_em, round(100.0 * avg(CASE k % 3 WHEN 0 THEN 1.0 WHEN 1 THEN near ELSE 0.0 END), 6) AS answer_f1 FROM cases")
@@ -533,7 +535,8 @@ def recovery_answers(spark, sf_dir):
     """By key modulo 3: the new answer, the old one, no tags."""
     cases = day_cases(spark, sf_dir)
     output = F.when(F.col("k") % 3 == 0, F.concat(F.lit("<ANSWER>"), "new_value", F.lit("</ANSWER>"))).when(F.col("k") % 3 == 1, F.concat(F.lit("<ANSWER> "), "old_answer", F.lit("</ANSWER>"))).otherwise(F.col("new_value"))
-    return _rates(updates.recovery_answers(cases, cases.select("dataset", "qid", output.alias("output"))))
+    cases = shared.written(cases.select("dataset", "qid", "new_answers", output.alias("output")), "cases")
+    return _rates(updates.recovery_answers(cases, cases.select("dataset", "qid", "output")))
 
 
 @query("SELECT event_type, count(value) AS n, list_sort(list(value))[CAST(floor(0.5 * (count(*) - 1)) AS INTEGER) + 1] AS p50, list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS INTEGER) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")

@@ -51,6 +51,12 @@ def test_gate_executes_programs_once(spark, sf):
     assert plan(QUERIES["doc_version_gate"](spark, sf)).count("_read(") == 1
 
 
+@pytest.mark.parametrize("name,readers", [("recovery_answers", 0), ("recovery_report", 1)])
+def test_cases_are_found_once(spark, sf, name, readers):
+    """What is left of the plan reads stored cases, and the report their outputs."""
+    assert plan(QUERIES[name](spark, sf)).count("_read(") == readers
+
+
 @pytest.mark.parametrize("name", ["ranker_pairs", "paired_bootstrap", "candidate_scores", "candidate_report"])
 def test_candidates_are_executed_once(spark, sf, name):
     """No more readers of programs than in the candidates themselves; stored candidates have none."""
