@@ -263,12 +263,14 @@ r AS ({outcome_sql('own', 'a')}), t AS (SELECT qid, k, idx, own, logprob, score,
   CASE WHEN sound THEN lower(replace(replace(found, '_', ''), '#', '')) ELSE '' END AS answer FROM r)"""
 
 
-def candidates(spark, sf_dir):
+def candidates(spark, sf_dir, **texts):
+    """Executed candidates; other columns of texts are folded in the Arrow call that folds the answers."""
     rows = execute(orders.candidate_rows(spark, sf_dir))
     r = F.col("result")
     tier = F.coalesce(F.when(r["valid"], 2).when(r["answer_valid"], 1), F.lit(0))
     raw = F.coalesce(F.when(r["answer_valid"], r["candidate_answer"]), F.lit(""))
-    return rows.withColumns({"tier": tier, "answer": t.normalize(raw), "certified": F.coalesce(r["certified"], F.lit(False))})
+    folded = {name: t.normalize(text) for name, text in texts.items()}
+    return rows.withColumns({"tier": tier, "answer": t.normalize(raw), "certified": F.coalesce(r["certified"], F.lit(False)), **folded})
 
 
 @query(f"""{CAND}, b AS (SELECT *, max(tier) OVER (PARTITION BY qid) AS best FROM t), e AS (SELECT *, CASE WHEN answer = '' THEN 0 ELSE count(*) OVER (PARTITION BY qid, answer) END AS votes, max(logprob) OVER (PARTITION BY qid, answer) AS top FROM b WHERE tier = best),
@@ -295,7 +297,7 @@ def consensus(spark, sf_dir):
 
 @query(f"{CAND} SELECT t.qid, max(CASE WHEN t.answer = lower(replace(nation, '_', '')) THEN 1.0 ELSE 0.0 END) AS em FROM t JOIN g USING (qid) GROUP BY 1")
 def oracle_at_n(spark, sf_dir):
-    rows = candidates(spark, sf_dir).withColumn("em", (F.col("answer") == t.normalize("nation")).cast("double"))
+    rows = candidates(spark, sf_dir, right="nation").withColumn("em", (F.col("answer") == F.col("right")).cast("double"))
     return selection.oracle(rows.withColumn("f1", F.col("em"))).select("qid", "em")
 
 
@@ -309,7 +311,7 @@ MODEL = {"means": [0.5] * 16, "scales": [2.0] * 16, "weight1": [[(i * j % 5 - 2)
 
 
 def groups(spark, sf_dir):
-    rows = candidates(spark, sf_dir).withColumns({"question": t.normalize("question"), "evidence_lines": F.coalesce(F.size("result.cited_text"), F.lit(0)), "generated_tokens": F.lit(9), "n_candidates": F.lit(4)})
+    rows = candidates(spark, sf_dir, question="question").withColumns({"evidence_lines": F.coalesce(F.size("result.cited_text"), F.lit(0)), "generated_tokens": F.lit(9), "n_candidates": F.lit(4)})
     return selection.answer_groups(rows)
 
 
