@@ -263,14 +263,19 @@ r AS ({outcome_sql('own', 'a')}), t AS (SELECT qid, k, idx, own, logprob, score,
   CASE WHEN sound THEN lower(replace(replace(found, '_', ''), '#', '')) ELSE '' END AS answer FROM r)"""
 
 
-def candidates(spark, sf_dir, **texts):
-    """Executed candidates; other columns of texts are folded in the Arrow call that folds the answers."""
-    rows = execute(orders.candidate_rows(spark, sf_dir))
+def candidates(spark, sf_dir, taken=None, cited=None, **texts):
+    """Executed candidates; other columns of texts are folded in the Arrow call that folds the answers. Rows wait for that call, so what is used of their results
+    and programs is taken out before (``taken``: more columns of that kind; ``cited``: a column of their documents, taken before they are executed), and the optimizer
+    leaves the rest behind."""
+    rows = orders.candidate_rows(spark, sf_dir)
+    rows = execute(rows if cited is None else rows.withColumn("cited", cited))
     r = F.col("result")
     tier = F.coalesce(F.when(r["valid"], 2).when(r["answer_valid"], 1), F.lit(0))
     raw = F.coalesce(F.when(r["answer_valid"], r["candidate_answer"]), F.lit(""))
-    folded = {name: t.normalize(text) for name, text in texts.items()}
-    return rows.withColumns({"tier": tier, "answer": t.normalize(raw), "certified": F.coalesce(r["certified"], F.lit(False)), **folded})
+    rows = rows.withColumns({"tier": tier, "raw": raw, "certified": F.coalesce(r["certified"], F.lit(False)), **(taken or {})})
+    folded = {name: t.normalize_all(text) if dict(rows.dtypes)[text].startswith("array") else t.normalize(text) for name, text in texts.items()}
+    # an empty text needs no folding; as raw stands here twice, the optimizer doesn't put the result back in its place
+    return rows.withColumns({"answer": F.coalesce(t.normalize(F.when(F.col("raw") != "", F.col("raw"))), F.lit("")), **folded})
 
 
 @query(f"""{CAND}, b AS (SELECT *, max(tier) OVER (PARTITION BY qid) AS best FROM t), e AS (SELECT *, CASE WHEN answer = '' THEN 0 ELSE count(*) OVER (PARTITION BY qid, answer) END AS votes, max(logprob) OVER (PARTITION BY qid, answer) AS top FROM b WHERE tier = best),
@@ -303,7 +308,7 @@ def oracle_at_n(spark, sf_dir):
 
 @query(f"{CAND}, p AS (SELECT DISTINCT t.qid, t.answer AS passage, t.answer = lower(replace(nation, '_', '')) AS ok FROM t JOIN g USING (qid)) SELECT a.qid, a.passage AS positive, b.passage AS negative FROM p a JOIN p b USING (qid) WHERE a.ok AND NOT b.ok")
 def ranker_pairs(spark, sf_dir):
-    rows = candidates(spark, sf_dir).withColumns({"right": F.col("answer") == t.normalize("nation"), "passage": F.col("answer")})
+    rows = candidates(spark, sf_dir, right="nation").withColumns({"right": F.col("answer") == F.col("right"), "passage": F.col("answer")})
     return selection.ranker_pairs(rows)
 
 
@@ -311,7 +316,7 @@ MODEL = {"means": [0.5] * 16, "scales": [2.0] * 16, "weight1": [[(i * j % 5 - 2)
 
 
 def groups(spark, sf_dir):
-    rows = candidates(spark, sf_dir, question="question").withColumns({"evidence_lines": F.coalesce(F.size("result.cited_text"), F.lit(0)), "generated_tokens": F.lit(9), "n_candidates": F.lit(4)})
+    rows = candidates(spark, sf_dir, {"evidence_lines": F.coalesce(F.size("result.cited_text"), F.lit(0))}, question="question").withColumns({"generated_tokens": F.lit(9), "n_candidates": F.lit(4)})
     return selection.answer_groups(rows)
 
 
@@ -364,9 +369,10 @@ def pending_anti_join(spark, sf_dir):
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    rows = candidates(spark, sf_dir).withColumn("em", (F.col("answer") == t.normalize("nation")).cast("double"))
-    rows = shared.written(rows.select("qid", "index", "tier", "answer", "logprob", "certified", "em"), "candidates")  # programs are executed once
-    return significance.paired_bootstrap(significance.differences(selection.by_likelihood(rows), selection.by_execution(rows), "em"), order="qid", samples=5000)
+    rows = candidates(spark, sf_dir, right="nation").withColumn("em", (F.col("answer") == F.col("right")).cast("double"))
+    chosen = selection.by_execution(rows.withColumn("base", selection.of_likeliest("em")))  # both choices of a question where its rows meet
+    difference = F.coalesce("em", F.lit(0.0)) - F.coalesce("base", F.lit(0.0))
+    return significance.paired_bootstrap(chosen.select("qid", difference.alias("difference")), order="qid", samples=5000)
 
 
 # texts

@@ -98,3 +98,54 @@ def test_summary_of_updates_executes_contexts_once(spark, sf, duck):
     assert plan(df).count("_read(") == 1
     names = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(names) and plain(df.select(*names).collect()) == plain(found.fetchall())
+
+
+def calls(frame):
+    """The columns of the rows that wait for each Arrow call of a plan, the last call first."""
+    out, left = [], [frame._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop(0)
+        if node.nodeName() == "ArrowEvalPython":
+            rows = node.children().apply(0).output()
+            out.append({rows.apply(i).name() for i in range(rows.size())})
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+CANDIDATES = ["answer_groups", "candidate_report", "candidate_scores", "chooser_accuracy", "meta_score", "select_execution", "select_ranker", "consensus", "oracle_at_n", "ranker_pairs", "ranker_passages"]
+
+
+@pytest.mark.parametrize("name", CANDIDATES)
+def test_candidates_wait_for_arrow_without_contexts(spark, sf, name):
+    """A row that waits may go to disk: when answers are folded nothing is left of its documents, program and result, and its program is read before it has documents."""
+    *_, folding, resolving, reading = calls(QUERIES[name](spark, sf))
+    assert "documents" not in reading and not folding & {"documents", "program", "result", "__lines"}
+    assert "__lines" in resolving and "documents" not in resolving
+
+
+@pytest.mark.parametrize("name", ["select_ranker", "consensus"])
+def test_candidates_move_once(spark, sf, name):
+    """Beside the two moves that pair orders."""
+    assert QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(qid") == 1
+
+
+def test_scores_of_candidates_store_nothing(spark, sf):
+    assert all("candidates-" not in f and "judged-" not in f for name in ("candidate_scores", "candidate_report") for f in QUERIES[name](spark, sf).inputFiles())
+
+
+def test_texts_are_sent_to_the_reader(spark):
+    """Nulls in place of the texts that need no reader would let Spark run ahead and keep all rows of a task."""
+    from strandset.operators.program import parsed
+
+    text = plan(parsed(spark.createDataFrame([("{}",)], "output string")))
+    assert "_read(__payload" in text
+
+
+def test_bootstrap_of_choices_equals_separate_choices(spark):
+    from strandset.operators import selection, significance
+
+    rows = [(str(q), i, (q * 3 + i) % 3, "ab"[(q + i) % 2] if (q + i) % 3 else "", -((q * 7 + i * 5) % 4) / 4.0, True, float((q + 2 * i) % 3 == 0)) for q in range(40) for i in range(4)]
+    df = spark.createDataFrame(rows, "qid string, index int, tier int, answer string, logprob double, certified boolean, em double")
+    want = significance.differences(selection.by_likelihood(df), selection.by_execution(df), "em")
+    got = selection.by_execution(df.withColumn("base", selection.of_likeliest("em"))).selectExpr("qid", "em - base as difference")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
